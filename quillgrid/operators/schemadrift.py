@@ -208,8 +208,8 @@ def edit_script(before: dict, after: dict, profiles: dict[str, dict], path: str
                 if i < n and j < m:
                     inner = edit_script(before[gone[i]][1], after[new[j]][1], {})[0] * 0.1
                     retype = RETYPE * (before[gone[i]][0] != after[new[j]][0])
-                    c = 0.6 * value_distance(profiles.get(path + gone[i]), profiles.get(path + new[j])) + 0.4 * name_distance(gone[i], new[j]) + retype + inner
-                    table[i][j] = c if c < RENAMED_BELOW else NEVER
+                    c = 0.6 * value_distance(profiles.get(path + gone[i]), profiles.get(path + new[j])) + 0.4 * name_distance(gone[i], new[j])
+                    table[i][j] = c + retype + inner if c < RENAMED_BELOW else NEVER
                 elif i < n:  # a removal stands in the row's own extra column, an addition in the column's own extra row
                     table[i][j] = REMOVE * (1 + 0.1 * size(before[gone[i]][1])) if j - m == i else NEVER
                 elif j < m:
