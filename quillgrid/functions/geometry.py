@@ -78,3 +78,9 @@ def positive_median(v: Column, default: float) -> Column:
 def half_even_key(v: Column, step: int) -> Column:
     """The nearest multiple's number, halves to even."""
     return F.bround(v / step, 0).cast("long")
+
+
+def round_to(v: Column, digits: int) -> Column:
+    """Rounded half up on the decimal value: what lies within 1e-9 of a half goes up, so float noise decides nothing."""
+    scale = float(10**digits)
+    return F.floor(v * scale + (0.5 + 1e-9)) / scale
