@@ -23,7 +23,7 @@ def polygon_bounds(bbox: Column) -> tuple[Column, Column, Column, Column]:
 def polygon_center(bbox: Column) -> tuple[Column, Column]:
     """Mean of the vertices, which for a skewed polygon isn't the centre of its box."""
     n = F.size(bbox)
-    return tuple(F.aggregate(bbox, F.lit(0.0), lambda a, p, k=k: a + p[k]) / n for k in (0, 1))
+    return F.aggregate(bbox, F.lit(0.0), lambda a, p: a + p[0]) / n, F.aggregate(bbox, F.lit(0.0), lambda a, p: a + p[1]) / n
 
 
 def valid_polygon(bbox: Column) -> Column:

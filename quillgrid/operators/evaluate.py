@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillgrid.config import DEFAULT, Config
 from quillgrid.functions import geometry as g
@@ -95,7 +96,7 @@ def compare_rows(baseline: DataFrame, current: DataFrame, c: Config = DEFAULT) -
     return left.unionByName(extra)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of the lower-cased texts; 0 if one is missing."""
     return pd.Series([round(difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio(), 4) if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b)])

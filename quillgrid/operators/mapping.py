@@ -10,6 +10,7 @@ from quillgrid.config import DEFAULT, SUPPORT_EXCLUDED, Config
 from quillgrid.functions import geometry as g
 from quillgrid.functions import text as t
 from quillgrid.operators import structure as s
+from quillgrid.session import store
 
 
 def column_split(items: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -38,19 +39,20 @@ class Layout:
     """The layout relations of all pages, each computed once from items, lines and regions."""
 
     def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame):
-        self.items, self.lines, self.regions = items, lines, regions
-        self.metrics = s.metrics(items, lines, regions)
-        self.entities = s.entities(items, lines, regions)
-        self.band_members = s.banded(self.entities, self.metrics)
+        # stored once: every later relation is built from these, some of them several times
+        self.items, self.lines, self.regions = store(items, "items"), store(lines, "lines"), store(regions, "regions")
+        self.metrics = store(s.metrics(self.items, self.lines, self.regions), "metrics")
+        self.entities = s.entities(self.items, self.lines, self.regions)
+        self.band_members = store(s.banded(self.entities, self.metrics), "bands")
         self.bands = s.bands(self.band_members, self.metrics)
-        self.label_members = s.columned(self.entities, self.metrics, "label")
-        self.field_members = s.columned(self.entities, self.metrics, "field")
+        self.label_members = store(s.columned(self.entities, self.metrics, "label"), "columns")
+        self.field_members = store(s.columned(self.entities, self.metrics, "field"), "columns")
         self.label_columns = s.columns(self.label_members, self.metrics, "label")
         self.field_columns = s.columns(self.field_members, self.metrics, "field")
         self.label_zones = s.zones(self.band_members, self.label_members, self.bands, "label")
         self.field_zones = s.zones(self.band_members, self.field_members, self.bands, "field")
         self.owned = s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics)
-        self.excluded = s.excluded_regions(regions, self.field_zones, self.bands, self.metrics)
+        self.excluded = s.excluded_regions(self.regions, self.field_zones, self.bands, self.metrics)
 
     def placed(self, kind: str) -> DataFrame:
         """Labels or lines with zone, band and column, and for lines the excluded flag: one row per thing."""

@@ -9,13 +9,10 @@ from quillgrid.functions import geometry as g
 from quillgrid.functions import text as t
 from quillgrid.operators.folds import first_fit_rows
 
-PAGE = Window.partitionBy("page_id")
-
-
 def with_median_height(items: DataFrame, default: float = 24.0) -> DataFrame:
     """Adds median_height: the page's exact median of positive heights."""
     h = F.col("y2") - F.col("y1")
-    return items.withColumn("median_height", F.coalesce(F.median(F.when(h > 0, h)).over(PAGE), F.lit(default)))
+    return items.withColumn("median_height", F.coalesce(F.median(F.when(h > 0, h)).over(Window.partitionBy("page_id")), F.lit(default)))
 
 
 def drop_noise(items: DataFrame) -> DataFrame:

@@ -17,10 +17,10 @@ def metrics(items: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFrame
     parts = parts.unionByName(lines.select("page_id", "x2", "y2", null.alias("h"), null.alias("w"), F.col("length").alias("l"), F.lit("l").alias("k")))
     parts = parts.unionByName(regions.select("page_id", (F.col("x") + F.col("width")).cast("double").alias("x2"), (F.col("y") + F.col("height")).cast("double").alias("y2"), null.alias("h"), null.alias("w"), null.alias("l"), F.lit("r").alias("k")))
     m = parts.groupBy("page_id").agg(
-        F.greatest(F.max("x2"), F.lit(1.0)).alias("W"), F.greatest(F.max("y2"), F.lit(1.0)).alias("H"), g.positive_median(F.col("h"), 18.0).alias("h"), g.positive_median(F.col("w"), 80.0).alias("w"), g.positive_median(F.col("l"), 220.0).alias("l"),
+        F.greatest(F.max("x2"), F.lit(1.0)).alias("_pw"), F.greatest(F.max("y2"), F.lit(1.0)).alias("_ph"), g.positive_median(F.col("h"), 18.0).alias("_th"), g.positive_median(F.col("w"), 80.0).alias("_tw"), g.positive_median(F.col("l"), 220.0).alias("_ll"),
         F.count_if(F.col("k") == "i").alias("ocr_count"), F.count_if(F.col("k") == "l").alias("field_line_count"), F.count_if(F.col("k") == "r").alias("semantic_region_count"),
     )
-    w, h, th, tw, ll = (F.col(c) for c in ("W", "H", "h", "w", "l"))
+    w, h, th, tw, ll = (F.col(c) for c in ("_pw", "_ph", "_th", "_tw", "_ll"))
 
     def most(*v: Column | float) -> Column:
         return g.round_to(F.greatest(*[x if isinstance(x, Column) else F.lit(float(x)) for x in v]), 2)
@@ -50,13 +50,9 @@ def entities(items: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFram
     )
 
 
-#: Kinds go before each other in the reference order of entities.
-_KIND = F.when(F.col("kind") == "ocr", 0).otherwise(1)
-
-
 def banded(ents: DataFrame, m: DataFrame) -> DataFrame:
     """Items and lines with their band: adds band_idx and center_y (the band's mean height)."""
-    rows = ents.filter("kind <> 'semantic_region'").withColumn("_k", _KIND).join(m.select("page_id", "band_tolerance"), "page_id")
+    rows = ents.filter("kind <> 'semantic_region'").withColumn("_k", F.when(F.col("kind") == "ocr", 0).otherwise(1)).join(m.select("page_id", "band_tolerance"), "page_id")
     return running_mean_groups(rows, ["page_id"], "cy", ["_k", "idx"], "band_tolerance", "band_idx").withColumnRenamed("band_idx_mean", "center_y").drop("_k", "band_tolerance")
 
 

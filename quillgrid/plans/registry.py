@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.plans import corpus
+from quillgrid.plans import corpus, pages
 
-_PARTS = (corpus,)
+_PARTS = (pages, corpus)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

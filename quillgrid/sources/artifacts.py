@@ -17,7 +17,7 @@ EXTENSIONS = ("png", "jpg", "jpeg", "pdf")
 MODES = ("rule", "ml")
 MAX_BYTES = 20 * 1024 * 1024
 # Names of default inputs, images before documents.
-DEFAULT_INPUTS = ("input.png", "input.jpg", "input.jpeg", "form.png", "input.pdf", "form.pdf")
+DEFAULT_INPUTS = ("form.png", "image.png", "image_2.png", "imange.png", "form.pdf", "image_2.pdf")
 
 
 def json_array(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
