@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,26 +38,85 @@ def labels(items: DataFrame, m: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 
 class Layout:
-    """The layout relations of all pages, each computed once from items, lines and regions."""
+    """The layout relations of all pages, each built when it is first asked for.
+
+    What several later relations start from is stored once in the shared
+    folder, so that no plan grows without bound and no fold runs twice.
+    """
 
     def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame):
-        # stored once: every later relation is built from these, some of them several times
-        self.items, self.lines, self.regions = store(items, "items"), store(lines, "lines"), store(regions, "regions")
-        self.metrics = store(s.metrics(self.items, self.lines, self.regions), "metrics")
-        self.entities = s.entities(self.items, self.lines, self.regions)
-        self.band_members = store(s.banded(self.entities, self.metrics), "bands")
-        self.bands = s.bands(self.band_members, self.metrics)
-        self.label_members = store(s.columned(self.entities, self.metrics, "label"), "columns")
-        self.field_members = store(s.columned(self.entities, self.metrics, "field"), "columns")
-        self.label_columns = s.columns(self.label_members, self.metrics, "label")
-        self.field_columns = s.columns(self.field_members, self.metrics, "field")
-        self.label_zones = s.zones(self.band_members, self.label_members, self.bands, "label")
-        self.field_zones = s.zones(self.band_members, self.field_members, self.bands, "field")
-        self.owned = s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics)
-        self.excluded = s.excluded_regions(self.regions, self.field_zones, self.bands, self.metrics)
-
-    def placed(self, kind: str) -> DataFrame:
-        """Labels or lines with zone, band and column, and for lines the excluded flag: one row per thing."""
+        self._source = items, lines, regions
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return store(self._source[0], "items")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return store(self._source[1], "lines")
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        return store(self._source[2], "regions")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return store(s.metrics(self.items, self.lines, self.regions), "metrics")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return s.entities(self.items, self.lines, self.regions)
+
+    @cached_property
+    def band_members(self) -> DataFrame:
+        return store(s.banded(self.entities, self.metrics), "bands")
+
+    @cached_property
+    def bands(self) -> DataFrame:
+        return s.bands(self.band_members, self.metrics)
+
+    @cached_property
+    def label_members(self) -> DataFrame:
+        return store(s.columned(self.entities, self.metrics, "label"), "columns")
+
+    @cached_property
+    def field_members(self) -> DataFrame:
+        return store(s.columned(self.entities, self.metrics, "field"), "columns")
+
+    @cached_property
+    def label_columns(self) -> DataFrame:
+        return s.columns(self.label_members, self.metrics, "label")
+
+    @cached_property
+    def field_columns(self) -> DataFrame:
+        return s.columns(self.field_members, self.metrics, "field")
+
+    @cached_property
+    def label_zones(self) -> DataFrame:
+        return s.zones(self.band_members, self.label_members, self.bands, "label")
+
+    @cached_property
+    def field_zones(self) -> DataFrame:
+        return s.zones(self.band_members, self.field_members, self.bands, "field")
+
+    @cached_property
+    def owned(self) -> DataFrame:
+        return s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics)
+
+    @cached_property
+    def excluded(self) -> DataFrame:
+        return s.excluded_regions(self.regions, self.field_zones, self.bands, self.metrics)
+
+    @cached_property
+    def placed_labels(self) -> DataFrame:
+        return store(self._placed("label"), "placed")
+
+    @cached_property
+    def placed_lines(self) -> DataFrame:
+        return store(self._placed("line"), "placed")
+
+    def _placed(self, kind: str) -> DataFrame:
+        """Items or lines with zone, band and column, and for lines the excluded flag: one row per thing."""
         source, key = (self.items, "item_idx") if kind == "label" else (self.lines, "line_idx")
         zone_rows, cols = (self.label_zones, self.label_columns) if kind == "label" else (self.field_zones, self.field_columns)
         p = s.best_zone(source.select("page_id", key, "x1", "y1", "x2", "y2"), key, zone_rows, "zone_idx", "zone")
@@ -80,9 +141,9 @@ def pair_features(lay: Layout, label_rows: DataFrame) -> DataFrame:
     """Every label with every line of its page, with geometric and structural features (4 decimals)."""
     m = lay.metrics.select("page_id", "page_width", "row_tolerance", "multiline_band_gap", "column_tolerance", "avg_line_length", "band_tolerance")
     a = label_rows.select("page_id", "item_idx", "text", "confidence", "column_split", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
-    ap = lay.placed("label").select("page_id", "item_idx", *[F.col(c).alias(f"a_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "zone_x2")])
+    ap = lay.placed_labels.select("page_id", "item_idx", *[F.col(c).alias(f"a_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "zone_x2")])
     b = lay.lines.select("page_id", "line_idx", "sx", "sy", "ex", "ey", "field_type", "length", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
-    bp = lay.placed("line").select("page_id", "line_idx", "excluded", *[F.col(c).alias(f"b_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "is_primary")])
+    bp = lay.placed_lines.select("page_id", "line_idx", "excluded", *[F.col(c).alias(f"b_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "is_primary")])
     o = lay.owned.select("page_id", "label_zone", "field_zone", F.col("confidence").alias("_oc"))
     # the ownership of a pair of zones is unique, of a label zone too; a missing side is a wildcard
     pairs = a.join(ap, ["page_id", "item_idx"]).join(b.join(bp, ["page_id", "line_idx"]), "page_id").join(m, "page_id")
@@ -156,13 +217,13 @@ def candidate_pool(lay: Layout, label_rows: DataFrame) -> DataFrame:
     nothing else is left, then all lines of the page that aren't excluded, then all.
     """
     m = lay.metrics.select("page_id", "band_tolerance", "column_tolerance")
-    a = label_rows.select("page_id", "item_idx").join(lay.placed("label").select("page_id", "item_idx", "zone", "band", "center_y", "zone_x2"), ["page_id", "item_idx"]).join(m, "page_id")
+    a = label_rows.select("page_id", "item_idx").join(lay.placed_labels.select("page_id", "item_idx", "zone", "band", "center_y", "zone_x2"), ["page_id", "item_idx"]).join(m, "page_id")
     z = lay.field_zones.join(lay.bands.select("page_id", "band_idx", F.col("center_y").alias("_zy")), ["page_id", "band_idx"]).select("page_id", "band_idx", "zone_idx", "_zy", *[F.col(c).alias(f"z_{c}") for c in ("x1", "y1", "x2", "y2")])
     level = F.when(F.col("band_idx") == F.col("band"), 0).when(F.abs(F.col("_zy") - F.col("center_y")) <= F.col("band_tolerance") * 1.5, 1).otherwise(2)
     right = F.col("zone").isNotNull() & (F.col("z_x1") >= F.col("zone_x2") - F.col("column_tolerance") * 0.2)
     by_label = Window.partitionBy("page_id", "item_idx")
     zoned = a.join(z, "page_id").withColumn("_level", level).withColumn("_least", F.min("_level").over(by_label)).filter("_level = _least").withColumn("_right", right).withColumn("_any", F.max("_right").over(by_label)).filter(F.col("_right") | ~F.col("_any"))
-    free = lay.lines.select("page_id", "line_idx", "cx", "cy").join(lay.placed("line").select("page_id", "line_idx", "excluded"), ["page_id", "line_idx"])
+    free = lay.lines.select("page_id", "line_idx", "cx", "cy").join(lay.placed_lines.select("page_id", "line_idx", "excluded"), ["page_id", "line_idx"])
     inside = zoned.join(free.filter("excluded = 0"), "page_id").filter(g.inside(F.col("cx"), F.col("cy"), g.box("z_"), 4.0)).select("page_id", "item_idx", "line_idx")
     beside = a.filter("zone is not null").join(free.filter("excluded = 0"), "page_id").filter(F.col("cx") >= F.col("zone_x2") - F.col("column_tolerance")).join(lay.field_zones.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "item_idx", "line_idx")
     chosen = inside.unionByName(beside).distinct()

@@ -261,8 +261,8 @@ def ownership_best_zone(spark, sf_dir):
 @query
 def best_zone_for_item(spark, sf_dir):
     lay = _Pages(spark, sf_dir).layout
-    a = lay.placed("label").select("page_id", F.lit("label").alias("kind"), F.col("item_idx").alias("idx"), "zone", "band")
-    return a.unionByName(lay.placed("line").select("page_id", F.lit("line").alias("kind"), F.col("line_idx").alias("idx"), "zone", "band"))
+    a = lay.placed_labels.select("page_id", F.lit("label").alias("kind"), F.col("item_idx").alias("idx"), "zone", "band")
+    return a.unionByName(lay.placed_lines.select("page_id", F.lit("line").alias("kind"), F.col("line_idx").alias("idx"), "zone", "band"))
 
 
 @query
