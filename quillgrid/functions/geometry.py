@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def clamp01(v: Column) -> Column:
-    """v limited to [0, 1]; null stays null."""
-    return F.when(v < 0, F.lit(0.0)).when(v > 1, F.lit(1.0)).otherwise(v)
+    """v limited to [0, 1], evaluated once; v must not be null (null would give 1)."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
 
 def polygon_bounds(bbox: Column) -> tuple[Column, Column, Column, Column]:
@@ -47,7 +47,7 @@ def overlaps(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Colu
 def overlap_ratio(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Common area over the area of a (1 at least): not symmetric; a flat line has none."""
     ox, oy = overlaps(a, b)
-    return F.when((ox <= 0) | (oy <= 0), F.lit(0.0)).otherwise(ox * oy / F.greatest((a[2] - a[0]) * (a[3] - a[1]), F.lit(1.0)))
+    return ox * oy / F.greatest((a[2] - a[0]) * (a[3] - a[1]), F.lit(1.0))
 
 
 def vertical_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -73,7 +73,7 @@ class Layout:
 
     @cached_property
     def bands(self) -> DataFrame:
-        return s.bands(self.band_members, self.metrics)
+        return store(s.bands(self.band_members, self.metrics), "bands")
 
     @cached_property
     def label_members(self) -> DataFrame:
@@ -93,15 +93,15 @@ class Layout:
 
     @cached_property
     def label_zones(self) -> DataFrame:
-        return s.zones(self.band_members, self.label_members, self.bands, "label")
+        return store(s.zones(self.band_members, self.label_members, self.bands, "label"), "zones")
 
     @cached_property
     def field_zones(self) -> DataFrame:
-        return s.zones(self.band_members, self.field_members, self.bands, "field")
+        return store(s.zones(self.band_members, self.field_members, self.bands, "field"), "zones")
 
     @cached_property
     def owned(self) -> DataFrame:
-        return s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics)
+        return store(s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics), "owned")
 
     @cached_property
     def excluded(self) -> DataFrame:
@@ -198,7 +198,7 @@ def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT) ->
     beside = F.col("b_cy").between(F.col("a_y1"), F.col("a_y2") + F.col("lh") * 0.8)
     row = F.when(beside, 1.0).otherwise(g.clamp01(1 - F.least(F.abs(F.col("b_cy") - F.col("a_y1")), F.abs(F.col("b_cy") - F.col("a_y2"))) / F.greatest("relaxed", F.lit(1.0))))
     semantic = 0.55 + F.when(F.col("field_type").isin("box", "weak_line", "fallback_text_region"), 0.06).otherwise(0.0) + F.when(F.col("length") <= 260, 0.04).otherwise(0.0)
-    sure = F.coalesce(g.clamp01(F.col("confidence")), F.lit(0.75))
+    sure = F.when(F.col("confidence").isNotNull(), g.clamp01(F.col("confidence"))).otherwise(0.75)
     local = horizontal * 0.12 + vertical * 0.12 + row * 0.12 + F.col("alignment_score") * 0.18 + F.col("vertical_continuation") * 0.10 + F.col("x_overlap_ratio") * 0.07 + F.col("spacing_similarity") * 0.07 + F.col("size_consistency") * 0.08 + semantic * 0.06 + sure * 0.05
     wide = F.col("global_structure_score") * 0.60 + F.col("column_consistency") * 0.16 + F.col("ownership_confidence") * 0.16 + F.col("ownership_strength") * 0.04 + F.col("region_support") * 0.04
     left_of = F.col("b_cx") <= F.col("a_x2") - F.col("column_tolerance") * 0.25
