@@ -267,7 +267,7 @@ def best_zone_for_item(spark, sf_dir):
 
 @query
 def excluded_flag(spark, sf_dir):
-    return _Pages(spark, sf_dir).layout.placed("line").select("page_id", "line_idx", "excluded")
+    return _Pages(spark, sf_dir).layout.placed_lines.select("page_id", "line_idx", "excluded")
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:

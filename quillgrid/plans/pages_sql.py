@@ -310,6 +310,9 @@ def _safe(label: str) -> str:
 
 _DELTA = {"mapping_count_delta": "mapping_count", "unmatched_label_delta": "unmatched_label_count", "strong_match_delta": "strong_match_count", "weak_match_delta": "weak_match_count", "ambiguous_delta": "ambiguous_mapping_count", "unresolved_delta": "unresolved_mapping_count"}
 
+SYMBOLS = r"length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / greatest(length(text), 1)"
+ALNUM = r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"
+
 ORACLES: dict[str, str] = {
     "flagship_label_field_match": build(f"select page_id, labels, coalesce(matched, 0) as matched, coalesce(lines_used, 0) as lines_used, mean_distance from (select page_id, count(*) as labels from flag_i group by page_id) left join (select page_id, count(*) as matched, count(distinct line_idx) as lines_used, {r('avg(d)', 4)} as mean_distance from flag_m group by page_id) using (page_id)", "flag_i", "flag_m"),
     "geom_bounds": build("select page_id, item_idx, x1, y1, x2, y2, cx, cy from items", "items"),
@@ -364,7 +367,7 @@ ORACLES: dict[str, str] = {
     "union_candidates": build(f"select page_id, line_idx, sx, sy, ex, ey, field_type from (select page_id, sx, sy, ex, ey, field_type, row_number() over (partition by page_id order by s, line_idx) - 1 as line_idx from (select 0 as s, page_id, line_idx, sx, sy, ex, ey, field_type from lines union all select 1, page_id, line_idx, sx, sy, ex, ey, field_type from fallback)) {DEDUP}", "lines", "fallback"),
     "entities_union": build("select page_id, kind, id, text, entity_type, confidence, length, x1, y1, x2, y2, cx, cy from ents", "ents"),
     "label_keyword_filter": build(f"select i.page_id, item_idx, text, column_split from items i join split using (page_id) join (select page_id, {r('greatest(image_height, 1.0)', 2)} as ph from sizes) using (page_id) where cx < column_split and {mappable('ph')}", "items", "split", "sizes"),
-    "text_case_ratio": build(rf"select page_id, item_idx, {r(UPPER, 6)} as upper_ratio, {r("length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / greatest(length(text), 1)", 6)} as symbol_ratio, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) as alnum, {PROMPT} as prompt from items", "items"),
+    "text_case_ratio": build(f"select page_id, item_idx, {r(UPPER, 6)} as upper_ratio, {r(SYMBOLS, 6)} as symbol_ratio, {ALNUM} as alnum, {PROMPT} as prompt from items", "items"),
     "field_name_sanitize": build(f"select mapping_id, {_safe('label')} || '_' || mapping_id as name from maps", "maps"),
     "class_histogram": build("select coalesce(confidence_class, 'unknown') as confidence_class, count(*) as n from maps group by 1", "maps"),
     "region_histogram": build("select coalesce(nullif(region_support, ''), nullif(field_type, ''), 'unknown') as region_type, count(*) as n from maps group by 1", "maps"),

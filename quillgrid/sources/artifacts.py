@@ -21,12 +21,13 @@ DEFAULT_INPUTS = ("form.png", "image.png", "image_2.png", "imange.png", "form.pd
 
 
 def json_array(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
-    """Objects of JSON arrays (one or more files); other values are dropped, or raise if strict."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    filled = F.lit(False)
-    for c in df.columns:
-        filled = filled | F.col(c).isNotNull()
-    return df.filter(filled)
+    """Objects of JSON arrays, one array a file; other elements are dropped. A file that holds no array gives no rows, or raises if strict."""
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("a"), F.rlike("value", F.lit(r"^\s*\[")).alias("is_array"))
+    if strict:
+        wrong = F.raise_error(F.lit("a file does not hold a JSON array")).cast("array<string>")
+        files = files.withColumn("a", F.when(F.col("is_array") & F.col("a").isNotNull(), F.col("a")).otherwise(wrong))
+    each = files.filter("is_array").select(F.explode("a").alias("e")) if not strict else files.select(F.explode("a").alias("e"))
+    return each.filter(F.col("e").startswith("{")).select(F.from_json("e", schema).alias("r")).filter("r is not null").select("r.*")
 
 
 def upgraded_mappings(df: DataFrame) -> DataFrame:
