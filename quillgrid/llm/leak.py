@@ -83,40 +83,38 @@ def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 def _own_words(n: int, shared_run: int):
     """Words of each item without the openings it shares with other items."""
 
-    def run(rows: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in rows:
-            out = []
-            for item, text, shared in zip(pdf["item_id"], pdf["text"], pdf["shared"]):
-                w = words(text or "")
-                common = np.zeros(len(w) + 1, bool)
-                for p in shared if shared is not None else ():
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[str]] = []
+            for text, shared in zip(batch.column("text").to_pylist(), batch.column("shared").to_pylist()):
+                w = words(text)
+                common = np.zeros(len(w), bool)
+                for p in shared or ():
                     common[p : p + n] = True
-                own, run_ = [], []
-                for k, word in enumerate(w):
-                    if common[k]:
-                        run_.append(word)
-                    else:
-                        own += run_ if len(run_) < shared_run else ["\0"]  # a break that no text holds
-                        run_ = []
-                        own.append(word)
-                own += run_ if len(run_) < shared_run else []
-                out.append((item, own))
-            yield pd.DataFrame(out, columns=["item_id", "own"])
+                own: list[str] = []
+                run_: list[str] = []
+                for k in range(len(w) + 1):
+                    if k < len(w) and common[k]:
+                        run_.append(w[k])
+                        continue
+                    own += run_ if len(run_) < shared_run else ["\0"]  # a break that no text holds
+                    run_ = []
+                    own += w[k : k + 1]
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(out, pa.list_(pa.string()))], names=["item_id", "own"])
 
     return run
 
 
 def _item_shingles(n: int):
-    def run(rows: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in rows:
-            for item, text in zip(pdf["item_id"], pdf["text"]):
-                w = words(text or "")
-                k = max(0, len(w) - n + 1)
-                yield pd.DataFrame({"item_id": [item] * k, "body": [" ".join(w)] * k, "pos": range(k), "shingle": [" ".join(w[p : p + n]) for p in range(k)]})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item, body, pos, shingle = [], [], [], []
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                w = words(text)
+                for p in range(len(w) - n + 1):
+                    item.append(i), body.append(" ".join(w)), pos.append(p), shingle.append(" ".join(w[p : p + n]))
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(body, pa.string()), pa.array(pos, pa.int32()), pa.array(shingle, pa.string())], names=["item_id", "body", "pos", "shingle"])
 
     return run
 
@@ -124,10 +122,10 @@ def _item_shingles(n: int):
 def own_text(items: DataFrame, n: int = 5, shared_run: int = 10) -> DataFrame:
     """item_id, own: the item's words without runs of `shared_run` or more words that items of another text hold too."""
     base = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").dropDuplicates()
-    grams = base.mapInPandas(_item_shingles(n), "item_id long, body string, pos int, shingle string")
+    grams = base.mapInArrow(_item_shingles(n), "item_id long, body string, pos int, shingle string")
     shared = grams.groupBy("shingle").agg(F.count_distinct("body").alias("c")).filter("c > 1").select("shingle")
     at = grams.join(shared, "shingle").groupBy("item_id", "body").agg(F.collect_set("pos").alias("shared"))
-    return base.join(at.groupBy("item_id").agg(F.first("shared").alias("shared")), "item_id", "left").mapInPandas(_own_words(n, shared_run), "item_id long, own array<string>")
+    return base.join(at.groupBy("item_id").agg(F.first("shared").alias("shared")), "item_id", "left").select("item_id", "text", "shared").mapInArrow(_own_words(n, shared_run), "item_id long, own array<string>")
 
 
 class _Index:

@@ -122,7 +122,7 @@ def _measure(least: int):
                 if total < least:
                     continue
                 english = sum(c for w, c in counts.items() if w in ENGLISH)
-                if english < 0.1 * total or english <= sum(c for w, c in counts.items() if w in OTHERS):
+                if english < 0.05 * total or english <= sum(c for w, c in counts.items() if w in OTHERS):
                     continue
                 for w in counts:
                     if w not in known:
