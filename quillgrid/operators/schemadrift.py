@@ -13,8 +13,8 @@ import json
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -276,22 +276,39 @@ def _read_layouts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("export_id").cast(pa.int64()), batch.column("feed_id").cast(pa.int64()), batch.column("exported_at").cast(pa.timestamp("us")), pa.array(trees, pa.string()), pa.array(stats, pa.string())], schema=_LAYOUTS)
 
 
-def _merge_stats(rows: pd.DataFrame) -> dict[str, dict]:
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _merged(profiles: Iterable[str]) -> dict[str, dict]:
     out: dict[str, dict] = {}
-    for text in rows["profile"]:
+    for text in profiles:
         for name, p in json.loads(text).items():
             out[name] = merge_profiles(out[name], p) if name in out else p
     return out
 
 
-def _range_state(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _range_states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What later ranges need of a feed's files in one range: the last layout, the last types, the values' profile."""
-    rows = rows.sort_values(["exported_at", "export_id"])
-    types: dict[str, list] = {}
-    last = None
-    for text in rows["layout"]:
-        last = _with_types(json.loads(text), types)
-    return pd.DataFrame([(key[0], key[1], json.dumps(last), json.dumps(types), json.dumps(_merge_stats(rows)))], columns=["feed_id", "range", "last", "types", "profile"])
+    out = []
+    for (feed, range_), rows in groupby(_rows(batches), key=lambda r: r[:2]):
+        types: dict[str, list] = {}
+        last, profiles = None, []
+        for r in rows:
+            last = _with_types(json.loads(r[4]), types)
+            profiles.append(r[5])
+        out.append((feed, range_, json.dumps(last), json.dumps(types), json.dumps(_merged(profiles))))
+    yield _batch(out, _STATES)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_STATES = pa.schema([("feed_id", pa.int64()), ("range", pa.int32()), ("last", pa.string()), ("types", pa.string()), ("profile", pa.string())])
+_CHANGES = pa.schema([("feed_id", pa.int64()), ("export_id", pa.int64()), ("field_before", pa.string()), ("field_after", pa.string()), ("change", pa.string())])
 
 
 def _with_types(tree: dict, types: dict[str, list]) -> dict:
@@ -304,24 +321,23 @@ def _with_types(tree: dict, types: dict[str, list]) -> dict:
     return tree
 
 
-def _scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["exported_at", "export_id"])
-    before = json.loads(rows["before"].iloc[0]) if isinstance(rows["before"].iloc[0], str) else None
-    types: dict[str, list] = {}
-    for text in rows["earlier"].iloc[0] if rows["earlier"].iloc[0] is not None else ():
-        types.update(json.loads(text))
-    profiles: dict[str, dict] = {}
-    for text in rows["profiles"].iloc[0]:
-        for name, p in json.loads(text).items():
-            profiles[name] = merge_profiles(profiles[name], p) if name in profiles else p
-    last = json.loads(before) if isinstance(before, str) else before
-    out = []
-    for export_id, text in zip(rows["export_id"], rows["layout"]):
-        now = _with_types(json.loads(text), types)
-        if last is not None:
-            out += [(key[0], export_id, *e) for e in edit_script(last, now, profiles)[1]]
-        last = now
-    return pd.DataFrame(out, columns=["feed_id", "export_id", "field_before", "field_after", "change"])
+def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edits of each file of a feed and range; the first row of a group is the state that it starts from."""
+    for (feed, _), rows in groupby(_rows(batches), key=lambda r: r[:2]):
+        out, types = [], {}
+        last, profiles = None, {}
+        for _, _, _, export_id, text, before, earlier, stats in rows:
+            if export_id is None:
+                last = json.loads(before) if before else None
+                for known in earlier or ():
+                    types.update(json.loads(known))
+                profiles = _merged(stats)
+                continue
+            now = _with_types(json.loads(text), types)
+            if last is not None:
+                out += [(feed, export_id, *e) for e in edit_script(last, now, profiles)[1]]
+            last = now
+        yield _batch(out, _CHANGES)
 
 
 def read_layouts(exports: DataFrame) -> DataFrame:
@@ -344,11 +360,15 @@ def changes(exports: DataFrame, ranges: int = 0) -> DataFrame:
     spark = exports.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = store(read_layouts(exports).repartitionByRange(ranges, "feed_id", "exported_at", "export_id").withColumn("range", F.spark_partition_id()), "layouts")
-    states = store(ranged.groupBy("feed_id", "range").applyInPandas(_range_state, "feed_id long, range int, last string, types string, profile string"), "states")
+    # dealt explicitly: scanning takes far more time than the few bytes of the layouts suggest
+    dealt = lambda df: df.repartition(ranges, "feed_id", "range").sortWithinPartitions("feed_id", "range", "exported_at", "export_id")
+    states = store(dealt(ranged).select("feed_id", "range", "exported_at", "export_id", "layout", "profile").mapInArrow(_range_states, "feed_id long, range int, last string, types string, profile string"), "states")
     before = Window.partitionBy("feed_id").orderBy("range")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    carried = states.select("feed_id", "range", F.lag("last").over(before).alias("before"), F.collect_list("types").over(earlier).alias("earlier"), F.collect_list("profile").over(Window.partitionBy("feed_id")).alias("profiles"))
-    return ranged.select("feed_id", "range", "export_id", "exported_at", "layout").join(carried, ["feed_id", "range"]).groupBy("feed_id", "range").applyInPandas(_scan, "feed_id long, export_id long, field_before string, field_after string, change string")
+    none = lambda kind: F.lit(None).cast(kind)
+    starts = states.select("feed_id", "range", none("timestamp_ntz").alias("exported_at"), none("long").alias("export_id"), none("string").alias("layout"), F.lag("last").over(before).alias("before"), F.collect_list("types").over(earlier).alias("earlier"), F.collect_list("profile").over(Window.partitionBy("feed_id")).alias("profiles"))
+    files = ranged.select("feed_id", "range", "exported_at", "export_id", "layout", none("string").alias("before"), none("array<string>").alias("earlier"), none("array<string>").alias("profiles"))
+    return dealt(starts.unionByName(files)).mapInArrow(_scan, "feed_id long, export_id long, field_before string, field_after string, change string")
 
 
 def lineage(found: DataFrame, most_fields: int = 100_000) -> dict[tuple[int, str], str]:
