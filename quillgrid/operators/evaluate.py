@@ -158,3 +158,21 @@ def markdown(report: DataFrame, most_rows: int = 1000) -> str:
     rows = report.limit(most_rows).collect()
     head = "| " + " | ".join(report.columns) + " |\n|" + " --- |" * len(report.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def first_labels(items: DataFrame, limit: int = 8) -> DataFrame:
+    """page_id, labels: the first texts of each page in order, joined by ' | '."""
+    w = Window.partitionBy("page_id").orderBy("item_idx")
+    top = items.filter("text <> ''").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    return top.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "text"))), lambda p: p["text"]), " | ").alias("labels"))
+
+
+def region_types(regions: DataFrame, clusters: DataFrame, bands: DataFrame, owned: DataFrame) -> DataFrame:
+    """page_id, types (distinct, in order of first appearance, joined by commas), multiline: whether one of them is."""
+    parts = [(0, regions, "region_idx"), (1, clusters, "row_idx"), (2, bands, "band_idx"), (3, owned, "label_zone")]
+    all_ = None
+    for k, df, idx in parts:
+        one = df.select("page_id", F.lit(k).alias("k"), F.col(idx).cast("long").alias("i"), "type")
+        all_ = one if all_ is None else all_.unionByName(one)
+    ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "type"))), lambda p: p["type"]))
+    return all_.groupBy("page_id").agg(F.array_join(ordered, ",").alias("types"), F.bool_or(F.col("type").contains("multiline")).alias("multiline"))

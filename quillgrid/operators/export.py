@@ -61,3 +61,14 @@ def write_json(df: DataFrame, path: str) -> int:
     if not n:
         raise RuntimeError(f"{path} is empty")
     return n
+
+
+def valid_number(value: Column) -> Column:
+    """Whether a value can be read as a number and is one."""
+    number = value.try_cast("double")
+    return F.coalesce(number.isNotNull() & ~F.isnan(number), F.lit(False))
+
+
+def rooted_path(path: Column, root: str) -> Column:
+    """Absolute paths as they are, others under the root."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))

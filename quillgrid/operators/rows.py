@@ -133,3 +133,13 @@ def map_rows(rows: DataFrame, lines: DataFrame, c: Config = DEFAULT) -> DataFram
     j = valid.select("page_id", "row_idx", "text", "bottom_y", "right_x").join(clean.select("page_id", "line_idx", "cy", "x1", "x2"), "page_id").filter(F.col("cy").between(F.col("bottom_y") - c.above, F.col("bottom_y") + c.below) & (F.col("x1") >= F.col("right_x") - 40))
     pool = j.join(below, ["page_id", "line_idx"], "left").select("page_id", "row_idx", "text", "line_idx", F.abs(F.col("cy") - F.col("bottom_y")).alias("distance"), (F.col("x2") - F.col("x1")).alias("width"), "below")
     return pool.groupBy("page_id").applyInPandas(_assign(c), _MAPPED)
+
+
+def useful_rows(rows: DataFrame) -> DataFrame:
+    """Rows with any text that isn't blank."""
+    return rows.filter(F.col("text").rlike(r"\S"))
+
+
+def is_table_row(line_count: Column, threshold: int = 10) -> Column:
+    """Whether so many lines in a row make a table row."""
+    return line_count >= threshold

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillgrid.session import store
 
 #: Costs of one edit; a rename must cost less than a removal and an addition.
-REMOVE, ADD, RETYPE, RENAMED_BELOW, NEVER = 0.35, 0.35, 0.05, 0.7, 99.0
+REMOVE, ADD, RETYPE, RENAMED_BELOW, NEVER = 0.4, 0.4, 0.05, 0.7, 99.0
 
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 _NUMBER = re.compile(r"^\s*([-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)\s*(%?)\s*$")

@@ -246,3 +246,51 @@ def membership_edges(ents: DataFrame, band_rows: DataFrame, label_zones: DataFra
 def adjacency(edges: DataFrame) -> DataFrame:
     """page_id, source, degree, targets (sorted, joined by commas)."""
     return edges.groupBy("page_id", "source").agg(F.count("*").alias("degree"), F.array_join(F.array_sort(F.collect_list("target")), ",").alias("targets"))
+
+
+def simple_metrics(m: DataFrame) -> DataFrame:
+    """The older metrics: no band tolerance, a column tolerance from text width alone."""
+    return m.select("page_id", "page_width", "page_height", "avg_line_length", "row_tolerance", g.round_to(F.greatest(F.lit(28.0), F.col("avg_text_width") * 0.8), 2).alias("column_tolerance"), F.col("multiline_band_gap").alias("multiline_y_gap"), "indent_tolerance", "distance_limit")
+
+
+def simple_pair_features(items: DataFrame, lines: DataFrame, regions: DataFrame, groups: DataFrame, m: DataFrame) -> DataFrame:
+    """The older features of every item with every line of its page, without zones.
+
+    Ownership is raised to .42 where the item meets a label group from above or
+    at its level, to .55 if that group has several items; region support is the
+    best confidence of a text-bearing region that both boxes overlap.
+    """
+    a = items.select("page_id", "item_idx", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
+    b = lines.select("page_id", "line_idx", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
+    limits = m.select("page_id", "avg_line_length", "row_tolerance", F.greatest(F.lit(28.0), F.col("avg_text_width") * 0.8).alias("_ct"), F.col("multiline_band_gap").alias("_gap"))
+    ab, bb = g.box("a_"), g.box("b_")
+    (acx, acy) = g.center(ab)
+    lw, lh, fw = (F.greatest(v, F.lit(1.0)) for v in (ab[2] - ab[0], ab[3] - ab[1], bb[2] - bb[0]))
+    row, gap, col = F.greatest("row_tolerance", lh * 1.25), F.greatest("_gap", lh * 2.4), F.greatest(g.round_to(F.col("_ct"), 2), lw * 0.8)
+    r = groups.select(F.col("page_id"), "item_count", *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
+    tall = F.greatest(F.col("row_tolerance"), F.greatest(F.col("a_y2") - F.col("a_y1"), F.lit(1.0)) * 1.25)
+    met = a.join(r, "page_id").join(limits.select("page_id", "row_tolerance"), "page_id").filter((F.col("a_x1") < F.col("g_x2")) & (F.col("a_x2") > F.col("g_x1")) & (F.col("a_y1") >= F.col("g_y1") - tall))
+    raised = met.groupBy("page_id", "item_idx").agg(F.max(F.when(F.col("item_count") > 1, 0.55).otherwise(0.42)).alias("_raised"))
+    z = regions.filter(F.col("type").isin("multiline_text_region", "standard_input", "table_like_region")).select("page_id", "region_idx", "confidence", F.col("x").alias("z_x1"), F.col("y").alias("z_y1"), (F.col("x") + F.col("width")).alias("z_x2"), (F.col("y") + F.col("height")).alias("z_y2"))
+    in_a = a.join(z, "page_id").filter(g.overlap_ratio(ab, g.box("z_")) > 0).select("page_id", "item_idx", "region_idx", "confidence")
+    in_b = b.join(z, "page_id").filter(g.overlap_ratio(bb, g.box("z_")) > 0).select("page_id", "line_idx", "region_idx")
+    support = in_a.join(in_b, ["page_id", "region_idx"]).groupBy("page_id", "item_idx", "line_idx").agg(F.max("confidence").alias("_support"))
+    dy, dx = F.col("b_cy") - acy, F.col("b_cx") - acx
+    near = lambda d, tol: g.clamp01(1 - d / F.greatest(tol, F.lit(1.0)))
+    p = a.join(b, "page_id").join(limits, "page_id").withColumns({"_row": near(F.abs(dy), row), "_col": near(F.abs(dx), col), "_cont": F.when(dy >= 0, near(dy, gap)).otherwise(F.lit(0.0)), "_space": near(F.abs(dy), gap)})
+    p = p.withColumn("_align", g.clamp01(F.col("_row") * 0.35 + F.col("_col") * 0.2 + F.col("_cont") * 0.25 + F.col("_space") * 0.2))
+    p = p.join(raised, ["page_id", "item_idx"], "left").join(support, ["page_id", "item_idx", "line_idx"], "left")
+    strength = F.greatest(g.clamp01(F.col("_row") * 0.32 + F.col("_cont") * 0.44 + F.col("_align") * 0.24), F.coalesce("_raised", F.lit(0.0)))
+    size = g.clamp01(1 - F.abs(fw - F.col("avg_line_length")) / F.greatest(F.col("avg_line_length") * 1.4, F.lit(1.0)))
+    out = {"same_row": F.col("_row"), "same_column": F.col("_col"), "vertical_continuation": F.col("_cont"), "x_overlap_ratio": g.x_overlap(ab, bb), "spacing_similarity": F.col("_space"), "size_consistency": size, "ownership_strength": strength, "region_support": F.coalesce("_support", F.lit(0.0)), "alignment_score": F.col("_align")}
+    return p.select("page_id", "item_idx", "line_idx", *[g.round_to(v, 4).alias(k) for k, v in out.items()])
+
+
+def page_priors(bands_: DataFrame, label_columns: DataFrame, field_columns: DataFrame, label_zones: DataFrame, field_zones: DataFrame, excluded: DataFrame) -> DataFrame:
+    """page_id, band_count, column and zone counts, excluded_count and the primary columns (null if none)."""
+    out = bands_.groupBy("page_id").agg(F.count("*").alias("band_count"))
+    for name, cols in (("label", label_columns), ("field", field_columns)):
+        out = out.join(cols.groupBy("page_id").agg(F.count("*").alias(f"{name}_column_count"), F.max(F.when(F.col("is_primary"), F.col("column_idx"))).alias(f"primary_{name}_column")), "page_id", "left")
+    z = label_zones.select("page_id").unionAll(field_zones.select("page_id")).groupBy("page_id").agg(F.count("*").alias("zone_count"))
+    e = excluded.groupBy("page_id").agg(F.count("*").alias("excluded_count"))
+    return out.join(z, "page_id", "left").join(e, "page_id", "left").fillna(0, ["label_column_count", "field_column_count", "zone_count", "excluded_count"])

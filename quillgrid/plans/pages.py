@@ -544,6 +544,44 @@ def overlay_draw_list(spark, sf_dir):
     return ex.draw_list(_Pages(spark, sf_dir).layout.entities)
 
 
+@query
+def layout_metrics_older(spark, sf_dir):
+    return st.simple_metrics(_Pages(spark, sf_dir).layout.metrics)
+
+
+@query
+def pair_features_older(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    lay = p.layout
+    return st.simple_pair_features(lay.items, lay.lines, lay.regions, st.label_groups(lay.entities, lay.metrics), lay.metrics)
+
+
+@query
+def page_priors(spark, sf_dir):
+    lay = _Pages(spark, sf_dir).layout
+    return st.page_priors(lay.bands, lay.label_columns, lay.field_columns, lay.label_zones, lay.field_zones, lay.excluded)
+
+
+@query
+def row_window_counts(spark, sf_dir):
+    """Lines within the row tolerance of each label's height."""
+    lay = _Pages(spark, sf_dir).layout
+    a = lay.items.join(lay.metrics.select("page_id", "row_tolerance"), "page_id").select("page_id", "item_idx", F.col("cy").alias("_cy"), "row_tolerance")
+    hit = a.join(lay.lines.select("page_id", "cy"), "page_id").filter(F.abs(F.col("cy") - F.col("_cy")) <= F.col("row_tolerance")).groupBy("page_id", "item_idx").agg(F.count("*").alias("n"))
+    return a.join(hit, ["page_id", "item_idx"], "left").select("page_id", "item_idx", F.coalesce("n", F.lit(0)).alias("row_window_candidates"))
+
+
+@query
+def first_labels(spark, sf_dir):
+    return ev.first_labels(tables.items(spark, sf_dir))
+
+
+@query
+def region_type_list(spark, sf_dir):
+    lay = _Pages(spark, sf_dir).layout
+    return ev.region_types(lay.regions, st.field_clusters(lay.entities, lay.metrics), lay.bands, lay.owned)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

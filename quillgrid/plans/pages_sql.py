@@ -310,6 +310,11 @@ def _safe(label: str) -> str:
 
 _DELTA = {"mapping_count_delta": "mapping_count", "unmatched_label_delta": "unmatched_label_count", "strong_match_delta": "strong_match_count", "weak_match_delta": "weak_match_count", "ambiguous_delta": "ambiguous_mapping_count", "unresolved_delta": "unresolved_mapping_count"}
 
+cte("lgroup", "select page_id, group_idx, count(*) as n, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from lg group by page_id, group_idx", "lg")
+cte("old0", f"select a.page_id, a.item_idx, b.line_idx, a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2, b.x1 as bx1, b.x2 as bx2, b.cy - (a.y1 + a.y2) / 2 as dy, b.cx - (a.x1 + a.x2) / 2 as dx, greatest(a.x2 - a.x1, 1.0) as lw, greatest(a.y2 - a.y1, 1.0) as lh, greatest(b.x2 - b.x1, 1.0) as fw, row_tolerance, multiline_band_gap, {r('greatest(28.0, avg_text_width * 0.8)', 2)} as column_tolerance, avg_line_length, coalesce((select max(case when q.n > 1 then 0.55 else 0.42 end) from lgroup q where q.page_id = a.page_id and a.x1 < q.x2 and a.x2 > q.x1 and a.y1 >= q.y1 - greatest(row_tolerance, greatest(a.y2 - a.y1, 1.0) * 1.25)), 0.0) as raised, coalesce((select max(z.confidence) from textual z where z.page_id = a.page_id and {overlap('a.', 'z.')} > 0 and {overlap('b.', 'z.')} > 0), 0.0) as region_support from items a join lines b on a.page_id = b.page_id join m on m.page_id = a.page_id", "items", "lines", "m", "lgroup", "textual")
+cte("textual", "select page_id, x as x1, y as y1, x + width as x2, y + height as y2, confidence from regions where type in ('multiline_text_region', 'standard_input', 'table_like_region')", "regions")
+cte("old1", "select *, " + ", ".join(f"{_clamped(v)} as {k}" for k, v in _FEATURES.items()) + " from old0", "old0")
+cte("old2", "select *, " + _clamped("clamp1(same_row * 0.35 + same_column * 0.2 + vertical_continuation * 0.25 + spacing_similarity * 0.2)") + " as alignment_score from old1", "old1")
 SYMBOLS = r"length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / greatest(length(text), 1)"
 ALNUM = r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"
 
@@ -386,5 +391,11 @@ ORACLES: dict[str, str] = {
     "field_boxes": build("select mapping_id, page_id, box_idx, x, y, width, height, field_type from boxes", "boxes"),
     "pdf_field_geometry": build(f"select page_id, mapping_id, box_idx, {_safe(chr(40) + 'coalesce(label, ' + chr(39) + 'field' + chr(39) + ') || ' + chr(39) + '_' + chr(39) + ' || (box_idx + 1)' + chr(41))} || '_' || mapping_id as name, case when field_type = 'checkbox' then 'checkbox' else 'text' end as kind, {r('x * 612.0 / image_width + 5', 4)} as x, {r('792 - (y + height) * (792.0 / image_height)', 4)} as y, {r('case when field_type = ' + chr(39) + 'checkbox' + chr(39) + ' then greatest(10.0, least(width * (612.0 / image_width), greatest(12.0, height * (792.0 / image_height)))) else greatest(10.0, width * (612.0 / image_width) - 10) end', 4)} as width, {r('case when field_type = ' + chr(39) + 'checkbox' + chr(39) + ' then greatest(10.0, least(width * (612.0 / image_width), greatest(12.0, height * (792.0 / image_height)))) else greatest(12.0, height * (792.0 / image_height)) end', 4)} as height from boxes join sizes using (page_id) where width > 0 and height > 0 and image_width > 0 and image_height > 0", "boxes", "sizes"),
     "overlay_percent_boxes": build(f"select page_id, mapping_id, box_idx, {r('x / image_width * 100', 4)} as \"left\", {r('y / image_height * 100', 4)} as top, {r('width / image_width * 100', 4)} as width, {r('height / image_height * 100', 4)} as height from boxes join sizes using (page_id) where image_width > 0 and image_height > 0", "boxes", "sizes"),
+    "layout_metrics_older": build(f"select page_id, page_width, page_height, avg_line_length, row_tolerance, {r('greatest(28.0, avg_text_width * 0.8)', 2)} as column_tolerance, multiline_band_gap as multiline_y_gap, indent_tolerance, distance_limit from m", "m"),
+    "pair_features_older": build("select page_id, item_idx, line_idx, " + ", ".join(f"{r(k, 4)} as {k}" for k in _FEATURES) + f", {r('greatest(' + _clamped('clamp1(same_row * 0.32 + vertical_continuation * 0.44 + alignment_score * 0.24)') + ', raised)', 4)} as ownership_strength, {r('region_support', 4)} as region_support, {r('alignment_score', 4)} as alignment_score from old2", "old2"),
+    "page_priors": build("select b.page_id, band_count, coalesce(lc, 0) as label_column_count, lp as primary_label_column, coalesce(fc, 0) as field_column_count, fp as primary_field_column, coalesce(zc, 0) as zone_count, coalesce(ec, 0) as excluded_count from (select page_id, count(*) as band_count from band group by page_id) b left join (select page_id, count(*) as lc, max(column_idx) filter (where is_primary) as lp from lcol group by page_id) using (page_id) left join (select page_id, count(*) as fc, max(column_idx) filter (where is_primary) as fp from fcol group by page_id) using (page_id) left join (select page_id, count(*) as zc from (select page_id from lz union all select page_id from fz) group by page_id) using (page_id) left join (select page_id, count(*) as ec from excl group by page_id) using (page_id)", "band", "lcol", "fcol", "lz", "fz", "excl"),
+    "row_window_counts": build("select i.page_id, i.item_idx, (select count(*) from lines l where l.page_id = i.page_id and abs(l.cy - i.cy) <= row_tolerance) as row_window_candidates from items i join m using (page_id)", "items", "m", "lines"),
+    "first_labels": build("select page_id, string_agg(text, ' | ' order by item_idx) as labels from (select * from items qualify row_number() over (partition by page_id order by item_idx) <= 8) group by page_id", "items"),
+    "region_type_list": build("select page_id, string_agg(type, ',' order by k, i) as types, bool_or(contains(type, 'multiline')) as multiline from (select page_id, type, k, i from (select page_id, type, 0 as k, region_idx as i from regions union all select page_id, case when count(*) >= 3 then 'repeated_row' else 'field_row' end, 1, g from fr group by page_id, g union all select page_id, type, 2, band_idx from band union all select page_id, type, 3, label_zone from own) qualify row_number() over (partition by page_id, type order by k, i) = 1) group by page_id", "regions", "fr", "band", "own"),
     "overlay_draw_list": build("select page_id, id, x1, y1, x2, y2, case when kind = 'ocr' then case when confidence < 0.35 then 'low' else 'text' end when kind = 'field_line' then 'line' else 'region' end as colour, substr(coalesce(text, entity_type, ''), 1, 80) as caption from ents", "ents"),
 }
