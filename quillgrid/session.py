@@ -14,6 +14,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: (JVM view, Hadoop configuration, path) of what was written and not removed yet.
+_written: list[tuple] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -22,17 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove, spark, base)
+        _note(spark, base)
     return base.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
-        pass
+def _note(spark: SparkSession, path: str) -> None:
+    _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+
+
+def release() -> None:
+    """Removes every stored table; those that still read from one must be done. Also runs when the driver ends."""
+    while _written:
+        jvm, conf, path = _written.pop()
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM may be gone already
+            return
+
+
+atexit.register(release)
 
 
 def store(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -40,10 +53,10 @@ def store(df: DataFrame, label: str = "cut") -> DataFrame:
 
     This cuts the lineage: what is read later doesn't depend on any executor,
     and values that depend on the partition (ids, range bounds) are fixed.
-    The files are removed when the driver ends.
+    The files stay until release() or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgrid/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
