@@ -272,7 +272,7 @@ def _verify(block_b, passage: int, min_score: int):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, passage: int = 20, shingle: int = 5, edits: int = 2, min_score: int = 14, block_chars: int = 20_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, passage: int = 20, shingle: int = 5, edits: int = 2, min_score: int = 14, block_chars: int = 4_000_000) -> DataFrame:
     """Documents that hold `passage` or more words of an item's own text, in its order.
 
     One row per document and item: doc_id, item_id, matched_words, score.

@@ -214,6 +214,7 @@ def test_mapping_edges(spark):
     rows = [(1, "Roll no", 9), (1, "Roll no", 9), (2, None, 9), (3, "  \t", 9), (4, "what else", 9), (None, "Roll no", 9)]
     df = spark.createDataFrame(rows, "mapping_id long, label string, label_id int")
     assert {(r.id, r.label_id) for r in ca.map_to_entries(df, ref).collect()} == {(1, 3), (4, -1)}
+    assert {(r.id, r.label_id) for r in ca.map_to_entries(df, ref, block=2).collect()} == {(1, 3), (4, -1)}
     assert [tuple(r) for r in ca.unmatched_values(df, ref).collect()] == [("what else", 1)]
     assert ca.map_to_entries(df.limit(0), ref).count() == 0 and {r.label_id for r in ca.map_to_entries(df, ref.limit(0)).collect()} == {-1}
     with pytest.raises(ValueError):
