@@ -7,33 +7,34 @@ up to some thousands of rows; pages are what is spread over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_mean_groups(rows: DataFrame, keys: list[str], value: str, order: list[str], tolerance: str, out: str = "grp") -> DataFrame:
+def running_mean_groups(rows: DataFrame, keys: list[str], value: str, tolerance: str, out: str = "grp") -> DataFrame:
     """Clusters along an axis: a row joins the last group while it is within the tolerance of the group's mean.
 
-    Rows go by `value`, then `order`; `tolerance` is a column that is constant
-    per key. Adds `out` (from 0) and `<out>_mean`, the group's final mean.
-    Rows with a null value are left out.
+    Rows go by `value`; `tolerance` is a column that is constant per key. Adds
+    `out` (from 0) and `<out>_mean`, the group's final mean. Rows with a null
+    value are left out. Equal values always share a group, so the fold runs
+    over distinct values with their counts: its array grows with a page's
+    extent, not with its rows.
     """
-    rest = [c for c in rows.columns if c not in keys and c not in (value, tolerance)]
-    packed = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(tolerance).alias(tolerance), F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("_v"), *[F.col(o).alias(f"_o{k}") for k, o in enumerate(order)], F.struct(*rest).alias("_rest")))).alias("_all"))
+    kept = rows.filter(F.col(value).isNotNull())
+    distinct = kept.groupBy(*keys, value).agg(F.max(tolerance).alias("_tol"), F.count("*").alias("_n"))
+    packed = distinct.groupBy(*keys).agg(F.max("_tol").alias("_tol"), F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("_n").cast("int").alias("n")))).alias("_all"))
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("g"), F.expr("array()").cast("array<int>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        fresh = (a["n"] == 0) | (F.abs(a["s"] / a["n"] - x["_v"]) > F.col(tolerance))
+        fresh = (a["n"] == 0) | (F.abs(a["s"] / a["n"] - x["v"]) > F.col("_tol"))
         g = F.when(fresh, a["g"] + 1).otherwise(a["g"])
-        return F.struct(F.when(fresh, x["_v"]).otherwise(a["s"] + x["_v"]).alias("s"), F.when(fresh, F.lit(1)).otherwise(a["n"] + 1).alias("n"), g.alias("g"), F.concat(a["out"], F.array(g)).alias("out"))
-
-    folded = packed.withColumn("_g", F.aggregate("_all", start, step)["out"])
-    flat = folded.select(*keys, tolerance, F.explode(F.arrays_zip("_all", "_g")).alias("_z"))
-    grouped = flat.select(*keys, F.col("_z._all._v").alias(value), tolerance, F.col("_z._g").alias(out), *[F.col(f"_z._all._rest.{c}").alias(c) for c in rest])
-    from pyspark.sql import Window
+        more = x["v"] * x["n"]
+        return F.struct(F.when(fresh, more).otherwise(a["s"] + more).alias("s"), F.when(fresh, x["n"]).otherwise(a["n"] + x["n"]).alias("n"), g.alias("g"), F.concat(a["out"], F.array(g)).alias("out"))
 
+    flat = packed.withColumn("_g", F.aggregate("_all", start, step)["out"]).select(*keys, F.explode(F.arrays_zip("_all", "_g")).alias("_z"))
     w = Window.partitionBy(*keys, out)
-    return grouped.withColumn(f"{out}_mean", F.sum(value).over(w) / F.count(F.lit(1)).over(w))
+    groups = flat.select(*keys, F.col("_z._all.v").alias(value), F.col("_z._all.n").alias("_n"), F.col("_z._g").alias(out)).withColumn(f"{out}_mean", F.sum(F.col(value) * F.col("_n")).over(w) / F.sum("_n").over(w)).drop("_n")
+    return kept.withColumn(value, F.col(value).cast("double")).join(groups, [*keys, value])
 
 
 def first_fit_rows(items: DataFrame, tolerance: str = "tolerance") -> DataFrame:

@@ -52,8 +52,8 @@ def entities(items: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFram
 
 def banded(ents: DataFrame, m: DataFrame) -> DataFrame:
     """Items and lines with their band: adds band_idx and center_y (the band's mean height)."""
-    rows = ents.filter("kind <> 'semantic_region'").withColumn("_k", F.when(F.col("kind") == "ocr", 0).otherwise(1)).join(m.select("page_id", "band_tolerance"), "page_id")
-    return running_mean_groups(rows, ["page_id"], "cy", ["_k", "idx"], "band_tolerance", "band_idx").withColumnRenamed("band_idx_mean", "center_y").drop("_k", "band_tolerance")
+    rows = ents.filter("kind <> 'semantic_region'").join(m.select("page_id", "band_tolerance"), "page_id")
+    return running_mean_groups(rows, ["page_id"], "cy", "band_tolerance", "band_idx").withColumnRenamed("band_idx_mean", "center_y").drop("band_tolerance")
 
 
 def bands(members: DataFrame, m: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def columned(ents: DataFrame, m: DataFrame, column_type: str) -> DataFrame:
     rows = ents.filter(F.col("kind") == kind).join(m.select("page_id", "column_tolerance", "page_mid_x"), "page_id")
     if column_type == "label":
         rows = rows.filter(F.col("cx") <= F.col("page_mid_x") * 1.12)
-    return running_mean_groups(rows.drop("page_mid_x"), ["page_id"], "cx", ["idx"], "column_tolerance", "column_idx").withColumnRenamed("column_idx_mean", "center_x").drop("column_tolerance")
+    return running_mean_groups(rows.drop("page_mid_x"), ["page_id"], "cx", "column_tolerance", "column_idx").withColumnRenamed("column_idx_mean", "center_x").drop("column_tolerance")
 
 
 def columns(members: DataFrame, m: DataFrame, column_type: str) -> DataFrame:
@@ -171,14 +171,14 @@ def excluded_flag(things: DataFrame, key: str, excluded: DataFrame) -> DataFrame
 
 def text_rows(ents: DataFrame, m: DataFrame) -> DataFrame:
     """page_id, row_idx, center_y, item_count, texts (joined by ' | ')."""
-    rows = running_mean_groups(ents.filter("kind = 'ocr'").join(m.select("page_id", "row_tolerance"), "page_id"), ["page_id"], "cy", ["idx"], "row_tolerance", "row_idx")
+    rows = running_mean_groups(ents.filter("kind = 'ocr'").join(m.select("page_id", "row_tolerance"), "page_id"), ["page_id"], "cy", "row_tolerance", "row_idx")
     parts = F.array_sort(F.collect_list(F.struct("cy", "idx", "text")))
     return rows.groupBy("page_id", "row_idx").agg(g.round_to(F.first("row_idx_mean"), 2).alias("center_y"), F.count("*").alias("item_count"), F.array_join(F.transform(parts, lambda p: p["text"]), " | ").alias("texts"))
 
 
 def field_clusters(ents: DataFrame, m: DataFrame) -> DataFrame:
     """Rows of lines: page_id, row_idx, center_y, line_count, extents of centres, avg_line_length, type."""
-    rows = running_mean_groups(ents.filter("kind = 'field_line'").join(m.select("page_id", "row_tolerance"), "page_id"), ["page_id"], "cy", ["idx"], "row_tolerance", "row_idx")
+    rows = running_mean_groups(ents.filter("kind = 'field_line'").join(m.select("page_id", "row_tolerance"), "page_id"), ["page_id"], "cy", "row_tolerance", "row_idx")
     c = rows.groupBy("page_id", "row_idx").agg(g.round_to(F.first("row_idx_mean"), 2).alias("center_y"), F.count("*").alias("line_count"), F.min("cx").alias("min_x"), F.max("cx").alias("max_x"), F.min("cy").alias("min_y"), F.max("cy").alias("max_y"), F.median(F.when(F.col("length") > 0, F.col("length"))).alias("_l"))
     return c.join(m.select("page_id", "avg_line_length"), "page_id").select("page_id", "row_idx", "center_y", "line_count", "min_x", "max_x", "min_y", "max_y", g.round_to(F.coalesce("_l", "avg_line_length"), 2).alias("avg_line_length"), F.when(F.col("line_count") >= 3, "repeated_row").otherwise("field_row").alias("type"))
 

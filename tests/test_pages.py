@@ -65,7 +65,7 @@ def test_running_means_match_a_plain_loop(spark):
     rng = random.Random(5)
     values = [float(rng.randrange(0, 400)) for _ in range(120)] + [7.0] * 3
     df = spark.createDataFrame([(1, k, v, 28.0) for k, v in enumerate(values)], "page_id long, idx int, v double, tol double")
-    got = sorted((r.v, r.idx, r.grp) for r in folds.running_mean_groups(df, ["page_id"], "v", ["idx"], "tol").collect())
+    got = sorted((r.v, r.idx, r.grp) for r in folds.running_mean_groups(df, ["page_id"], "v", "tol").collect())
     assert [x[2] for x in got] == _running(values, 28.0)
 
 
