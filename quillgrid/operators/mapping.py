@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,73 +251,117 @@ def classes(scores: DataFrame) -> DataFrame:
     return ranked(scores).filter("rank = 1").withColumn("confidence_class", match_class(F.col("candidate_score"), F.col("runner_up"), F.col("rejected")))
 
 
-_ASSIGNED = "page_id long, item_idx int, label string, line_idx int, group_lines string, group_size int, candidate_score double, confidence_class string, distance double, candidate_count int"
-
-
-def _assign_page(c: Config):
-    def classify(best: tuple, second: float | None) -> str:
-        score, rejected = best
-        margin = round(score - (second or 0.0), 6)
-        if score < 0.42:
-            return "unresolved"
-        if second is not None and margin < 0.08:
-            return "ambiguous"
-        if rejected:
-            return "weak_match"
-        return "strong_match" if score >= 0.66 and margin >= 0.1 else "weak_match"
-
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        lines = page.drop_duplicates("line_idx").sort_values(["b_cy", "b_cx", "line_idx"])
-        geometry = {r.line_idx: r for r in lines.itertuples()}
-        order = list(geometry)
-        every = page.drop_duplicates("item_idx")
-        texts = list(zip(every["a_cx"], every["a_cy"]))
-        blocks = page["blocks"].iloc[0]
-        blocks = [] if blocks is None else [tuple(b[k] for k in ("x", "y", "width", "height")) for b in blocks]
-        taken: set[int] = set()
-        out = []
-
-        def blocked(now, line, split: float, h: float) -> bool:
-            upper, lower = min(now.b_cy, line.b_cy) + h * 0.35, max(now.b_cy, line.b_cy) - h * 0.35
-            for x, y in texts:
-                if x < split and (lower > upper and upper <= y <= lower or abs(y - line.b_cy) <= h * 1.15):
-                    return True
-            return any(x <= line.sx <= x + w and y <= line.b_cy <= y + hh for x, y, w, hh in blocks)
-
-        def expand(seed, split: float, h: float, gap: float, indent: float) -> list[int]:
-            group, queue = [seed.line_idx], [(seed, 0)]
-            while queue and len(group) < c.group_cap:
-                now, depth = queue.pop(0)
-                if depth >= c.depth_cap:
+_ASSIGNED = pa.schema([("page_id", pa.int64()), ("item_idx", pa.int32()), ("label", pa.string()), ("line_idx", pa.int32()), ("group_lines", pa.string()), ("group_size", pa.int32()), ("candidate_score", pa.float64()), ("confidence_class", pa.string()), ("distance", pa.float64()), ("candidate_count", pa.int32())])
+
+
+def _class_of(score: float, second: float | None, rejected: bool) -> str:
+    """match_class() for one label."""
+    margin = round(score - (second or 0.0), 6)
+    if score < 0.42:
+        return "unresolved"
+    if second is not None and margin < 0.08:
+        return "ambiguous"
+    if rejected:
+        return "weak_match"
+    return "strong_match" if score >= 0.66 and margin >= 0.1 else "weak_match"
+
+
+class _Page:
+    """One page's pairs, sorted by item: columns as arrays, lines in order of height."""
+
+    def __init__(self, columns: dict[str, np.ndarray], blocks: list[dict] | None, c: Config):
+        self.c, self.col = c, columns
+        _, first = np.unique(columns["line_idx"], return_index=True)
+        first = first[np.lexsort((columns["line_idx"][first], columns["b_cx"][first], columns["b_cy"][first]))]
+        self.lines = {int(columns["line_idx"][k]): tuple(float(columns[n][k]) for n in ("b_cy", "b_cx", "sx", "sy", "length")) for k in first}
+        self.starts = np.flatnonzero(np.r_[True, columns["item_idx"][1:] != columns["item_idx"][:-1]])
+        self.texts = list(zip(columns["a_cx"][self.starts].tolist(), columns["a_cy"][self.starts].tolist()))
+        self.blocks = [(b["x"], b["y"], b["x"] + b["width"], b["y"] + b["height"]) for b in blocks or ()]
+        self.taken: set[int] = set()
+
+    def blocked(self, now_y: float, line: tuple, split: float, h: float) -> bool:
+        y, _, sx, _, _ = line
+        upper, lower = min(now_y, y) + h * 0.35, max(now_y, y) - h * 0.35
+        for tx, ty in self.texts:
+            if tx < split and (upper < lower and upper <= ty <= lower or abs(ty - y) <= h * 1.15):
+                return True
+        return any(x1 <= sx <= x2 and y1 <= y <= y2 for x1, y1, x2, y2 in self.blocks)
+
+    def expand(self, seed: int, split: float, h: float, gap: float, indent: float) -> list[int]:
+        """The seed's multiline group: lines below that start alike, level by level, in order of their start."""
+        group, queue = [seed], [(seed, 0)]
+        size = self.lines[seed][4]
+        while queue and len(group) < self.c.group_cap:
+            now, depth = queue.pop(0)
+            if depth >= self.c.depth_cap:
+                continue
+            ny, nx, nsx, _, _ = self.lines[now]
+            for k, line in self.lines.items():
+                if k in group or k in self.taken:
                     continue
-                for k in order:
-                    line = geometry[k]
-                    if k in group or k in taken:
-                        continue
-                    shift = abs(line.b_cx - now.b_cx)
-                    stop = blocked(now, line, split, h) or shift > indent * 1.2
-                    if not stop and abs(line.sx - now.sx) < indent and 0 < line.b_cy - now.b_cy <= gap and abs(line.length - seed.length) <= max(seed.length * 0.45, 80):
-                        group.append(k)
-                        queue.append((line, depth + 1))
-                    elif stop and len(group) >= c.group_cap:
+                fits = abs(line[2] - nsx) < indent and 0 < line[0] - ny <= gap and abs(line[4] - size) <= max(size * 0.45, 80)
+                if not fits and len(group) < self.c.group_cap:
+                    continue  # whether it is blocked matters only to a full group
+                if abs(line[1] - nx) > indent * 1.2 or self.blocked(ny, line, split, h):
+                    if len(group) >= self.c.group_cap:
                         break
-            return sorted(group, key=lambda k: (geometry[k].sy, group.index(k)))
-
-        for item, rows in page[page["pooled"]].groupby("item_idx", sort=True):
-            scored = []
-            for r in rows.itertuples():
-                hit = r.line_idx in taken
-                scored.append((-(r.penalised_score if hit else r.candidate_score), r.b_cy, r.b_cx, r.line_idx, bool(hit or r.rejected), r))
-            scored.sort(key=lambda x: x[:4])
-            best = scored[0]
-            kind = classify((-best[0], best[4]), -scored[1][0] if len(scored) > 1 else None)
+                elif fits:
+                    group.append(k)
+                    queue.append((k, depth + 1))
+        return sorted(group, key=lambda k: (self.lines[k][3], group.index(k)))
+
+    def assign(self) -> Iterator[tuple]:
+        col = self.col
+        for a, b in zip(self.starts, np.r_[self.starts[1:], len(col["item_idx"])]):
+            rows = np.arange(a, b)[col["pooled"][a:b]]
+            if not len(rows):
+                continue
+            line = col["line_idx"][rows]
+            hit = np.array([int(k) in self.taken for k in line])
+            score = np.where(hit, col["penalised_score"][rows], col["candidate_score"][rows])
+            order = np.lexsort((line, col["b_cx"][rows], col["b_cy"][rows], -score))
+            best, k = order[0], rows[order[0]]
+            kind = _class_of(float(score[best]), float(score[order[1]]) if len(order) > 1 else None, bool(hit[best] or col["rejected"][k]))
             if kind == "unresolved":
                 continue
-            r = best[5]
-            group = expand(geometry[r.line_idx], r.column_split, r.lh, r.multiline_gap, r.indent_tolerance)
-            taken.update(group)
-            out.append((key[0], item, r.text, r.line_idx, ",".join(map(str, group)), len(group), -best[0], kind, r.distance, len(scored)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _ASSIGNED.split(", ")])
+            group = self.expand(int(line[best]), *(float(col[n][k]) for n in ("column_split", "lh", "multiline_gap", "indent_tolerance")))
+            self.taken.update(group)
+            yield int(col["item_idx"][k]), k, int(line[best]), ",".join(map(str, group)), len(group), float(score[best]), kind, float(col["distance"][k]), len(rows)
+
+
+_NUMBERS = ["item_idx", "line_idx", "length", "sx", "sy", "column_split", "a_cx", "a_cy", "b_cx", "b_cy", "lh", "multiline_gap", "indent_tolerance", "rejected", "candidate_score", "penalised_score", "distance", "pooled"]
+
+
+def _assign_pages(c: Config):
+    def pages(table: pa.Table) -> pa.RecordBatch:
+        page = table.column("page_id").to_numpy()
+        columns = {n: table.column(n).to_numpy() for n in _NUMBERS}
+        text, blocks = table.column("text"), table.column("blocks")
+        cuts = np.flatnonzero(np.r_[True, page[1:] != page[:-1], True])
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            for item, k, *rest in _Page({n: v[a:b] for n, v in columns.items()}, blocks[int(a)].as_py(), c).assign():
+                out.append((int(page[a]), item, text[int(a + k)].as_py(), *rest))
+        rows = list(zip(*out)) if out else [[]] * len(_ASSIGNED)
+        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(rows, _ASSIGNED)], schema=_ASSIGNED)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted by page and item; the last page waits for its rest."""
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            page = batch.column("page_id").to_numpy()
+            if page[0] == page[-1] and (len(waiting) == 1 or waiting[0].column("page_id")[-1].as_py() == page[-1]):
+                continue
+            table = pa.Table.from_batches(waiting)
+            cut = table.num_rows - int((table.column("page_id").to_numpy() == page[-1]).sum())
+            if cut:
+                yield pages(table.slice(0, cut))
+            waiting = table.slice(cut).to_batches()
+        if waiting:
+            yield pages(pa.Table.from_batches(waiting))
 
     return run
 
@@ -331,4 +377,6 @@ def assignments(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT) -> Data
     kept = lay.regions.filter(~F.col("type").isin("multiline_text_region", "standard_input")).groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("blocks"))
     rows = scores.join(pool, ["page_id", "item_idx", "line_idx"], "left").withColumn("pooled", F.coalesce("pooled", F.lit(False))).join(lay.metrics.select("page_id", "indent_tolerance"), "page_id").join(kept, "page_id", "left")
     needed = ["page_id", "item_idx", "line_idx", "text", "length", "sx", "sy", "column_split", "a_cx", "a_cy", "b_cx", "b_cy", "lh", "multiline_gap", "indent_tolerance", "rejected", "candidate_score", "penalised_score", "distance", "pooled", "blocks"]
-    return rows.select(*needed).groupBy("page_id").applyInPandas(_assign_page(c), _ASSIGNED)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*needed).repartition(tasks, "page_id").sortWithinPartitions("page_id", "item_idx")
+    return dealt.mapInArrow(_assign_pages(c), "page_id long, item_idx int, label string, line_idx int, group_lines string, group_size int, candidate_score double, confidence_class string, distance double, candidate_count int")
