@@ -395,8 +395,8 @@ def entities_union(spark, sf_dir):
 
 @query
 def label_keyword_filter(spark, sf_dir):
-    p = _Pages(spark, sf_dir)
-    return mp.labels(p.items, st.metrics(p.items, p.lines, p.contours.limit(0))).select("page_id", "item_idx", "text", "column_split")
+    lay = _Pages(spark, sf_dir).layout
+    return mp.labels(lay.items, lay.metrics).select("page_id", "item_idx", "text", "column_split")
 
 
 @query

@@ -172,3 +172,21 @@ def test_pages_are_independent_and_order_free(spark):
     both = {tuple(r) for r in ocr.merge_tokens(items(spark, *rows)).collect()}
     one = {tuple(r) for p in (1, 2) for r in ocr.merge_tokens(items(spark, *[r for r in reversed(rows) if r[0] == p])).collect()}
     assert both == one
+
+
+@pytest.fixture
+def region_below(spark, monkeypatch):
+    """A page whose items and lines end at 800 and whose region ends at 1000: the top band is 300 high, not 240."""
+    from quillgrid.plans import pages
+
+    i = items(spark, (1, 0, "lonely", 1.0, 0, 240, 80, 20), (1, 1, "Name:", 1.0, 0, 500, 80, 20), (1, 2, "far right", 1.0, 700, 780, 80, 20))
+    df = lines(spark, (1, 0, 0, 280, 200, 280, "line"), (1, 1, 0, 540, 200, 540, "line"))
+    r = spark.createDataFrame([(1, 0, 20, 950, 60, 50, 0.1, 0.9)], "page_id long, region_idx int, x int, y int, width int, height int, ink double, rectangularity double")
+    m = spark.createDataFrame([(1, "Name:"), (1, "far right")], "page_id long, label string")
+    for name, table in {"items": i, "lines": df, "regions": r, "mappings": m}.items():
+        monkeypatch.setattr(pages.tables, name, lambda spark, sf_dir, table=table: table)
+    return pages.queries()
+
+
+def test_label_filter_counts_regions_into_the_page_height(spark, region_below):
+    assert [r.item_idx for r in region_below["label_keyword_filter"](spark, "").collect()] == [1]
