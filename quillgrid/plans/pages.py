@@ -69,10 +69,9 @@ def _label_rows(p: _Pages, lay: mp.Layout) -> DataFrame:
 @query
 def flagship_label_field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mappable labels with their nearest line below or beside, summed up by page."""
-    p = _Pages(spark, sf_dir)
-    heights = p.items.groupBy("page_id").agg(F.max("y2").alias("_h"))
-    named = p.items.join(heights, "page_id").filter(t.mappable_label(F.col("text"), F.col("cy"), F.col("_h")))
-    found = rw.nearest_lines(named.select("page_id", F.col("item_idx").alias("row_idx"), "text", F.col("y2").alias("bottom_y"), F.least("x2", F.lit(620.0)).alias("right_x")), p.lines)
+    lay = _Pages(spark, sf_dir).layout
+    named = lay.items.join(lay.metrics.select("page_id", "page_height"), "page_id").filter(t.mappable_label(F.col("text"), F.col("cy"), F.col("page_height")))
+    found = rw.nearest_lines(named.select("page_id", F.col("item_idx").alias("row_idx"), "text", F.col("y2").alias("bottom_y"), F.least("x2", F.lit(620.0)).alias("right_x")), lay.lines)
     per_page = found.groupBy("page_id").agg(F.count("*").alias("matched"), F.count_distinct("line_idx").alias("lines_used"), g.round_to(F.avg("vertical_distance"), 4).alias("mean_distance"))
     return named.groupBy("page_id").agg(F.count("*").alias("labels")).join(per_page, "page_id", "left").select("page_id", "labels", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("lines_used", F.lit(0)).alias("lines_used"), "mean_distance")
 
@@ -455,8 +454,8 @@ def unresolved_labels_anti(spark, sf_dir):
 @query
 def top_band_unresolved_semi(spark, sf_dir):
     p = _Pages(spark, sf_dir)
-    heights = p.items.groupBy("page_id").agg(F.max("y2").alias("page_height"))
-    return ev.top_band_unresolved(p.items, p.mappings, heights).select("page_id", "item_idx", "text")
+    lay = p.layout
+    return ev.top_band_unresolved(lay.items, p.mappings, lay.metrics).select("page_id", "item_idx", "text")
 
 
 @query
@@ -491,11 +490,11 @@ def quality_proxies(spark, sf_dir):
 
 
 def _categories(p: _Pages) -> DataFrame:
-    heights = p.items.groupBy("page_id").agg(F.max("y2").alias("page_height"))
-    top = ev.top_band_unresolved(p.items, p.mappings, heights).groupBy("page_id").agg(F.count_if(F.length("text") <= 24).alias("short_top_count"))
-    open_ = ev.unresolved_labels(p.items, p.mappings).groupBy("page_id").agg(F.count("*").alias("unresolved_count"))
-    found = p.lines.groupBy("page_id").agg(F.count("*").alias("field_candidate_count"))
-    r = p.regions.groupBy("page_id").agg(F.bool_or(F.col("type").contains("multiline")).alias("has_multiline"), F.bool_or(F.col("type").isin("table_like_region", "checkbox_region")).alias("has_table"), F.count_if(F.col("type").isin(*PIPELINE_EXCLUDED)).alias("excluded_count"))
+    lay = p.layout
+    top = ev.top_band_unresolved(lay.items, p.mappings, lay.metrics).groupBy("page_id").agg(F.count_if(F.length("text") <= 24).alias("short_top_count"))
+    open_ = ev.unresolved_labels(lay.items, p.mappings).groupBy("page_id").agg(F.count("*").alias("unresolved_count"))
+    found = lay.lines.groupBy("page_id").agg(F.count("*").alias("field_candidate_count"))
+    r = lay.regions.groupBy("page_id").agg(F.bool_or(F.col("type").contains("multiline")).alias("has_multiline"), F.bool_or(F.col("type").isin("table_like_region", "checkbox_region")).alias("has_table"), F.count_if(F.col("type").isin(*PIPELINE_EXCLUDED)).alias("excluded_count"))
     d = _proxies(p)
     for part in (top, open_, found, r):
         d = d.join(part, "page_id", "left")

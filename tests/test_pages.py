@@ -190,3 +190,8 @@ def region_below(spark, monkeypatch):
 
 def test_label_filter_counts_regions_into_the_page_height(spark, region_below):
     assert [r.item_idx for r in region_below["label_keyword_filter"](spark, "").collect()] == [1]
+
+
+def test_top_band_counts_regions_into_the_page_height(spark, region_below):
+    assert [tuple(r) for r in region_below["top_band_unresolved_semi"](spark, "").select("item_idx", "text").collect()] == [(0, "lonely")]
+    assert [r.labels for r in region_below["flagship_label_field_match"](spark, "").collect()] == [2]
