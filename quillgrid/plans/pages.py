@@ -304,6 +304,14 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mp.candidate_scores(lay, _label_rows(p, lay))
 
 
+def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the lines in each label's candidate pool."""
+    p = _Pages(spark, sf_dir)
+    lay = p.layout
+    found = _label_rows(p, lay)
+    return mp.candidate_scores(lay, found).join(mp.candidate_pool(lay, found), ["page_id", "item_idx", "line_idx"])
+
+
 @query
 def candidate_scores(spark, sf_dir):
     return _scores(spark, sf_dir).select("page_id", "item_idx", "line_idx", "local_score", "global_structure_score", "candidate_score", "rejected", "distance")
@@ -311,12 +319,12 @@ def candidate_scores(spark, sf_dir):
 
 @query
 def candidate_top5(spark, sf_dir):
-    return mp.ranked(_scores(spark, sf_dir)).filter("rank <= 5").select("page_id", "item_idx", "rank", "line_idx", "candidate_score")
+    return mp.ranked(_pooled(spark, sf_dir)).filter("rank <= 5").select("page_id", "item_idx", "rank", "line_idx", "candidate_score")
 
 
 @query
 def candidate_class(spark, sf_dir):
-    return mp.classes(_scores(spark, sf_dir)).select("page_id", "item_idx", "line_idx", "candidate_score", "confidence_class")
+    return mp.classes(_pooled(spark, sf_dir)).select("page_id", "item_idx", "line_idx", "candidate_score", "confidence_class")
 
 
 @query
