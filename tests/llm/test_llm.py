@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,32 @@ def test_held_out_ratings_agree(spark, sf_dir):
     assert len(got) > 20 and sum(a == b for a, b in got) >= 0.85 * len(got)
 
 
+def test_steps_reach_the_greatest_likelihood():
+    gen = np.random.default_rng(3)
+    difficulty, ease = gen.normal(size=30), gen.normal(size=30)
+    at = lambda t: np.exp(ease + difficulty * t)
+    spread = np.log(np.array([at(t).sum() for t in rd.GRID]))
+    true = np.linspace(-2, 2, 400)
+    counts = np.array([gen.multinomial(80, at(t) / at(t).sum()) for t in true])
+    found = rd.solve_levels(counts @ difficulty, np.full(400, 80.0), np.zeros(400), np.stack([spread, spread]))
+    fine = np.linspace(-6, 6, 2401)
+    best = [fine[np.argmax(c @ difficulty * fine - 80 * np.interp(fine, rd.GRID, spread) - fine**2 / 2)] for c in counts]
+    assert np.abs(found - best).max() < 0.03 and np.corrcoef(found, true)[0, 1] > 0.97
+    exposure = np.log(np.array([80.0 * np.exp(-s) * (np.abs(true - t) <= 0.025).sum() + 1e-9 for t, s in zip(rd.GRID, spread)]))
+    _, b = rd.solve_difficulties(counts.sum(0).astype(float), true @ counts, np.tile(exposure, (30, 1)), np.zeros(30), 5.0)
+    assert np.abs(b - difficulty).max() < 0.25
+
+
+def test_ratings_turn_the_scale_round(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, _document(k % 4 + 1, rng), None) for k in range(120)], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, reader string, reading_level int")
+    plain = {r.doc_id: r.reading_level for r in rd.reading_levels(df, none).collect()}
+    flipped = spark.createDataFrame([(k, "r", 5 - v) for k, v in plain.items() if k < 80], none.schema)
+    got = {r.doc_id: r.reading_level for r in rd.reading_levels(df, flipped).collect()}
+    assert sum(got[k] == 5 - v for k, v in plain.items()) >= 0.9 * len(plain)
+
+
 # mapping to a list
 
 
