@@ -177,6 +177,10 @@ GRID = np.linspace(-6.0, 6.0, 241)
 _STEP = GRID[1] - GRID[0]
 
 
+#: Standard deviation of a threshold around its link to the published scale, and where the ratings run against that scale.
+LINK_SD = (0.1, 2.0)
+
+
 @dataclass
 class Facets:
     """What the driver holds of the ratings' side: a few numbers, whatever the corpus."""
@@ -202,7 +206,7 @@ def gap_prior(counts: np.ndarray, width: float = 0.1, weight: float = 2.0) -> np
     return -weight * np.log(smooth + 0.02)
 
 
-def fit_facets(rows: list[tuple[float, str, int]], facets: Facets, prior: np.ndarray, gaps: np.ndarray, prior_sd: float = 0.1, steps: int = 60) -> Facets:
+def fit_facets(rows: list[tuple[float, str, int]], facets: Facets, prior: np.ndarray, gaps: np.ndarray, prior_sd: float, steps: int = 60) -> Facets:
     """Thresholds, slope and severities given the documents' levels: Newton steps of the penalised ordinal likelihood, then each threshold's best place on GRID."""
     if not rows:
         return Facets(prior)
@@ -321,14 +325,15 @@ def _level_step(spread: np.ndarray, facets: Facets):
     return run
 
 
-def _start(measured: DataFrame, ratings: DataFrame, calibration_rows: int) -> Column:
-    """Levels to start from: mean word size and log sentence length, weighed alike, turned round if ratings fall with them."""
+def _start(measured: DataFrame, ratings: DataFrame, calibration_rows: int) -> tuple[Column, bool]:
+    """Levels to start from: mean word size and log sentence length, weighed alike, turned round if ratings fall with them; and whether they do."""
     size, length = F.col("syllables") / F.col("words"), F.log(F.col("words") / F.col("sentences"))
     m1, s1, m2, s2 = (x or 0.0 for x in measured.agg(F.mean(size), F.stddev(size), F.mean(length), F.stddev(length)).first())
     a, b = (size - m1) / (s1 or 1.0), (length - m2) / (s2 or 1.0)
     at = (a + b) / math.sqrt(2)
     turn = _sample(measured.select("doc_id", at.alias("at")).join(ratings, "doc_id"), calibration_rows).agg(F.covar_pop("at", "rating")).first()[0]
-    return F.greatest(F.lit(-3.0), F.least(F.lit(3.0), -at if (turn or 0.0) < 0 else at))
+    turned = (turn or 0.0) < 0
+    return F.greatest(F.lit(-3.0), F.least(F.lit(3.0), -at if turned else at)), turned
 
 
 def _sample(rated: DataFrame, rows: int) -> DataFrame:
@@ -372,7 +377,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, it
     total, *shares = measured.agg(F.sum(F.col("words") + F.col("sentences")), *[F.mean((published <= x).cast("double")) for x in BOUNDS]).first()
     if not total:
         return measured.select("doc_id", F.lit(1).alias("reading_level"), F.lit(0.0).alias("level"), "words")
-    levels = store(measured.select("doc_id", "words", "sentences", _start(measured, ratings, calibration_rows).alias("theta")), "levels")
+    start, turned = _start(measured, ratings, calibration_rows)
+    levels = store(measured.select("doc_id", "words", "sentences", start.alias("theta")), "levels")
     spread = np.zeros((2, len(GRID)))
     prior = [(0.0, 0.0), (0.0, 0.0)]
     facets: Facets | None = None
@@ -403,7 +409,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, it
             fit += part
         equated = equate(counts, shares)
         sample = _sample(levels.join(ratings, "doc_id"), calibration_rows).select("plain", "reader", "rating").collect()
-        facets = fit_facets([tuple(r) for r in sample], facets or Facets(equated), equated, gap_prior(counts))
+        facets = fit_facets([tuple(r) for r in sample], facets or Facets(equated), equated, gap_prior(counts), LINK_SD[turned])
         now = (fit + sum(r[-1] for r in fitted)) / total
         if now - before < tolerance:
             break
