@@ -2,8 +2,8 @@
 
 Every window of an item's own text is a set of word shingles. Shingles are
 ordered by rarity over all documents; of each window only the rarest, as many
-as a leaked passage can't all lack, are joined. Pairs that share enough of
-them on near diagonals are aligned exactly over item-sized windows.
+as a leaked passage can't all lack, are looked up. Documents that hold enough
+of them on near diagonals are aligned exactly over item-sized windows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.session import store
 
+#: Stands for what was left out of an item; no text holds it.
+BREAK = "\0"
 WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|[nrtbf\"'\\/])")
 _DIFF = re.compile(r"^diff --(?:git|cc|combined) ", re.M)
@@ -97,7 +99,7 @@ def _own_words(n: int, shared_run: int):
                     if k < len(w) and common[k]:
                         run_.append(w[k])
                         continue
-                    own += run_ if len(run_) < shared_run else ["\0"]  # a break that no text holds
+                    own += run_ if len(run_) < shared_run else [BREAK]
                     run_ = []
                     own += w[k : k + 1]
                 out.append(own)
@@ -128,185 +130,246 @@ def own_text(items: DataFrame, n: int = 5, shared_run: int = 10) -> DataFrame:
     return base.join(at.groupBy("item_id").agg(F.first("shared").alias("shared")), "item_id", "left").select("item_id", "text", "shared").mapInArrow(_own_words(n, shared_run), "item_id long, own array<string>")
 
 
-class _Index:
-    """Item shingles of one block, as sorted hashes; word ids by a dictionary of the items' words."""
+class Index:
+    """Items of one block: word ids by a dictionary, and each item's shingles as sorted hashes with their positions."""
 
     def __init__(self, block: list[tuple[int, list[str]]], n: int):
         self.n = n
+        self.items = [i for i, _ in block]
         self.ids: dict[str, int] = {}
+        self.words: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
         for _, own in block:
-            for w in own:
-                if w != "\0":
-                    self.ids.setdefault(w, len(self.ids) + 1)
-        hashes, item, pos = [], [], []
-        for k, (_, own) in enumerate(block):
-            ids = np.array([self.ids.get(w, 0) for w in own], np.int64)
+            ids = np.array([-1 if w == BREAK else self.ids.setdefault(w, len(self.ids) + 1) for w in own], np.int64)
             h = shingle_hashes(ids, n)
-            ok = np.array([0 not in ids[p : p + n] for p in range(len(h))], bool)
-            hashes.append(h[ok]), item.append(np.full(ok.sum(), k)), pos.append(np.flatnonzero(ok))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            bad = np.concatenate([[0], np.cumsum(ids < 0)])
+            p = np.flatnonzero(bad[n : len(h) + n] == bad[: len(h)])
+            order = np.argsort(h[p], kind="stable")
+            self.words.append(ids)
+            self.hashes.append(h[p][order])
+            self.places.append(p[order])
+        self.distinct = np.unique(np.concatenate(self.hashes)) if block else np.empty(0, np.uint64)
+
+
+class Prefixes:
+    """Postings of the necessary shingles: hash -> (item's index, position)."""
+
+    def __init__(self, chosen: list[tuple[int, int, int]]):
+        h = np.array([c[0] for c in chosen], np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate(item)[order] if item else np.empty(0, np.int64)
-        self.pos = np.concatenate(pos)[order] if pos else np.empty(0, np.int64)
-        self.distinct = np.unique(self.hash)
+        self.hash, first = np.unique(h[order], return_index=True)
+        self.bounds = np.append(first, len(order))
+        self.item = np.array([c[1] for c in chosen], np.int64)[order]
+        self.place = np.array([c[2] for c in chosen], np.int64)[order]
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("side", pa.int32()), ("pos", pa.int32()), ("shingle", pa.int64())])
+def necessary(index: Index, frequency: np.ndarray, passage: int, edits: int, required: int, hits: int) -> list[tuple[int, int, int]]:
+    """(shingle, item's index, position) of prefixes that no leaked passage can miss.
 
+    A passage lies within `passage` + `edits` words of its item and shares at
+    least `required` of their shingles. Of each such window all but
+    required - hits shingles are taken, the rarest first, so that at least
+    `hits` of those shared are among them. What an earlier window of the item
+    took counts for the later ones; of equally rare shingles (to a factor of
+    two) the last are taken, as more of the windows to come hold them.
+    """
+    out = []
+    for k, (hashes, places) in enumerate(zip(index.hashes, index.places)):
+        rarity = np.ceil(np.log2(frequency[np.searchsorted(index.distinct, hashes)] + 1.0))
+        order = np.lexsort((-places, rarity))
+        rank = {int(p): r for r, p in enumerate(places[order])}
+        hash_at = dict(zip(places.tolist(), hashes.tolist()))
+        size = passage + edits - index.n + 1
+        taken: set[int] = set()
+        for a in range(max(1, len(index.words[k]) - passage - edits + 1)):
+            window = [p for p in range(a, a + size) if p in rank]
+            spare = sorted((p for p in window if p not in taken), key=rank.__getitem__)
+            if len(window) >= required:
+                taken.update(spare[: max(0, len(spare) - (required - hits))])
+        out += [(hash_at[p], k, p) for p in sorted(taken)]
+    return out
 
-def _find_hits(index_b, batch_words: int = 2_000_000):
-    """Positions in the documents at which a shingle of some item stands."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: _Index = index_b.value
-        get, n, known = index.ids.get, index.n, index.distinct
-        if not len(known):
-            return
-        ids: list[int] = []
-        starts: list[int] = []
-        keys: list[tuple[int, int]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            a = np.array(ids, np.int64)
-            h = shingle_hashes(a, n)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[at] == h
-            if hit.any():  # no shingle may hold a word that no item has, or reach over a document's end
-                bad = np.concatenate([[0], np.cumsum(a == 0)])
-                p = np.flatnonzero(hit)
-                p = p[bad[p + n] == bad[p]]
-                if len(p):
-                    which = np.searchsorted(starts, p, side="right") - 1
-                    first = np.array(starts)[which]
-                    k = np.array(keys, np.int64)[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1].astype(np.int32)), pa.array((p - first).astype(np.int32)), pa.array(h[p].view(np.int64))], schema=_HITS)
+def _parts(batches: Iterable[pa.RecordBatch], get, most_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Word ids of many texts after another, each side followed by a 0; where each side starts; its document. Unknown words are 0."""
+    ids: list[int] = []
+    starts: list[int] = []
+    docs: list[int] = []
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if doc is None or not text:
+                continue
+            for part in sides(text):
+                starts.append(len(ids))
+                docs.append(doc)
+                ids.extend([get(w, 0) for w in words(part)])
+                ids.append(0)
+            if len(ids) > most_words:
+                yield np.array(ids, np.int64), np.array(starts), docs
+                ids, starts, docs = [], [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(starts), docs
+
+
+def _found(ids: np.ndarray, n: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, place in `known`) of the shingles that are known and hold no unknown word."""
+    h = shingle_hashes(ids, n)
+    if not len(h) or not len(known):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    p = np.flatnonzero(known[at] == h)
+    bad = np.concatenate([[0], np.cumsum(ids == 0)])
+    p = p[bad[p + n] == bad[p]]
+    return p, at[p]
+
+
+def _count_shingles(index_b, most_words: int):
+    """In how many texts' sides each shingle of the items stands; one row per shingle and task."""
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None or not text:
-                    continue
-                for side, part in enumerate(sides(text)):
-                    starts.append(len(ids))
-                    keys.append((doc, side))
-                    ids.extend([get(w, 0) for w in words(part)])
-                    ids.append(0)
-            if len(ids) > batch_words:
-                yield from flush()
-                ids, starts, keys = [], [], []
-        if ids:
-            yield from flush()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = index_b.value
+        total = np.zeros(len(index.distinct), np.int64)
+        for ids, starts, _ in _parts(batches, index.ids.get, most_words):
+            p, at = _found(ids, index.n, index.distinct)
+            side = np.searchsorted(starts, p, side="right") - 1
+            pairs = np.unique(side * np.int64(len(index.distinct)) + at)
+            total += np.bincount(pairs % len(index.distinct), minlength=len(total)) if len(pairs) else 0
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["shingle", "n"])
 
     return run
 
 
-def prefix_tokens(block: list[tuple[int, list[str]]], index: _Index, frequency: dict[int, int], passage: int, required: int) -> list[tuple[int, int, int]]:
-    """(shingle, item, position) of the necessary prefixes.
+def _expand(bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group number in `at` all places in its bounds: (index into at, place)."""
+    size = bounds[at + 1] - bounds[at]
+    source = np.repeat(np.arange(len(at)), size)
+    return source, np.arange(len(source)) - np.repeat(np.cumsum(size) - size, size) + bounds[at][source]
+
 
-    A window of `passage` words has passage - n + 1 shingles. A document that
-    holds `required` of them holds one of the rarest size - required + 1.
+def _near(side: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray, edits: int, hits: int) -> set[tuple[int, int]]:
+    """(side, item) with at least `hits` different places within `edits` diagonals of each other.
+
+    Cells of 2 (edits + 1) diagonals in two grids that overlap by half: what lies within `edits` shares a cell of one.
     """
-    out = []
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for h, k, p in zip(index.hash.view(np.int64).tolist(), index.item.tolist(), index.pos.tolist()):
-        by_item.setdefault(k, []).append((p, h))
-    size = passage - index.n + 1
-    for k, got in by_item.items():
-        got.sort()
-        need: set[int] = set()
-        for a in range(len(got)):
-            window = [x for x in got[a : a + size] if x[0] < got[a][0] + size]
-            rare = sorted(window, key=lambda x: (frequency.get(x[1], 0), x[1]))
-            need.update(p for p, _ in rare[: max(1, len(window) - required + 1)])
-        out += [(h, block[k][0], p) for p, h in got if p in need]
+    out: set[tuple[int, int]] = set()
+    width = edits + 1
+    for shift in (0, width):
+        cell = (diagonal + shift) // (2 * width)
+        order = np.lexsort((place, cell, item, side))
+        s, i, c, p = side[order], item[order], cell[order], place[order]
+        if not len(s):
+            continue
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+        other = fresh.copy()
+        other[1:] |= p[1:] != p[:-1]
+        first = np.flatnonzero(fresh)
+        enough = np.add.reduceat(other.astype(np.int64), first) >= hits
+        out.update(zip(s[first][enough].tolist(), i[first][enough].tolist()))
     return out
 
 
-def align(item: list[str], part: list[str]) -> tuple[int, int]:
-    """Best local alignment, +1 a match, -1 a changed, added or dropped word: its score and its number of matches."""
-    if not item or not part:
-        return 0, 0
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in item])
-    b = np.array([ids.setdefault(w, len(ids)) for w in part])
-    m, n = len(a), len(b)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1)
-    for i in range(1, m + 1):
-        up, row = table[i - 1], table[i]
-        row[1:] = np.maximum(np.maximum(up[:-1] + np.where(b == a[i - 1], 1, -1), up[1:] - 1), 0)
-        row[:] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    score, matches = int(table[i, j]), 0
-    while i and j and table[i, j] > 0:
-        if a[i - 1] == b[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            matches, i, j = matches + 1, i - 1, j - 1
-        elif table[i, j] == table[i - 1, j - 1] - 1:
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return score, matches
-
-
-def _verify(block_b, passage: int, min_score: int):
+def stretch(item: np.ndarray, part: np.ndarray, edits: int) -> int:
+    """Most words of the item that stand in a stretch of the text in the item's order, with at most `edits` words changed, added or dropped between them."""
+    m, n = len(item), len(part)
+    if not m or not n:
+        return 0
+    last = np.zeros((edits + 1, n + 1), np.int32)
+    best = 0
+    for x in item:
+        row = np.zeros_like(last)
+        row[0, 1:] = np.where(part == x, last[0, :-1] + 1, 0)
+        row[1:, 1:] = np.where(part == x, last[1:, :-1] + 1, last[:-1, :-1])
+        np.maximum(row[1:], last[:-1], out=row[1:])
+        for e in range(1, edits + 1):
+            np.maximum(row[e, 1:], row[e - 1, :-1], out=row[e, 1:])
+        best = max(best, int(row[edits].max()))
+        last = row
+    return best
+
+
+def _holds(part: np.ndarray, index: Index, k: int, passage: int, edits: int, required: int) -> int:
+    """Most words that one stretch of the part shares with item k; 0 where length and positions rule a passage out."""
+    n, hashes, places = index.n, index.hashes[k], index.places[k]
+    known, first = np.unique(hashes, return_index=True)
+    p, at = _found(part, n, known)
+    source, hit = _expand(np.append(first, len(hashes)), at)
+    pos, place = p[source], places[hit]
+    reach, best, width = passage + 2 * edits + n, 0, edits + 1
+    for shift in (0, width):
+        cell = (pos - place + shift) // (2 * width)
+        order = np.lexsort((place, cell))
+        for group in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            u = np.unique(place[group])
+            if len(u) < required or not (u[required - 1 :] - u[: len(u) - required + 1] < passage + edits - n + 1).any():
+                continue
+            low, high = int(pos[group].min()), int(pos[group].max())
+            best = max(best, stretch(index.words[k], part[max(0, low - reach) : high + reach], edits))
+    return best
+
+
+def _search(index_b, prefixes_b, passage: int, edits: int, required: int, hits: int, most_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = dict(block_b.value)
-        for batch in batches:
-            doc, item, score, matched = [], [], [], []
-            for d, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts = [words(x) for x in sides(text)]
-                best: dict[int, tuple[int, int]] = {}
-                for c in found:
-                    w = own[c["item_id"]]
-                    lo = max(0, c["low"] - len(w) - passage)
-                    hi = c["high"] + len(w) + passage
-                    got = align(w, parts[c["side"]][lo:hi])
-                    if got[1] >= passage and got[0] >= min_score:
-                        best[c["item_id"]] = max(best.get(c["item_id"], (0, 0)), (got[1], got[0]))
-                for i, (m, s) in best.items():
-                    doc.append(d), item.append(i), matched.append(m), score.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(matched, pa.int32()), pa.array(score, pa.int32())], names=["doc_id", "item_id", "matched_words", "score"])
+        index: Index = index_b.value
+        prefixes: Prefixes = prefixes_b.value
+        for ids, starts, docs in _parts(batches, index.ids.get, most_words):
+            p, at = _found(ids, index.n, prefixes.hash)
+            side = np.searchsorted(starts, p, side="right") - 1
+            source, hit = _expand(prefixes.bounds, at)
+            place = prefixes.place[hit]
+            asked = sorted(_near(side[source], prefixes.item[hit], p[source] - place, place, edits, hits))
+            ends = np.append(starts[1:], len(ids))
+            doc, item, matched = [], [], []
+            for s, k in asked:
+                got = _holds(ids[starts[s] : ends[s]], index, k, passage, edits, required)
+                if got >= passage:
+                    doc.append(docs[s]), item.append(index.items[k]), matched.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(matched, pa.int32())], names=["doc_id", "item_id", "matched_words"])
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, passage: int = 20, shingle: int = 5, edits: int = 2, min_score: int = 14, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, passage: int = 20, edits: int = 4, shingle: int = 2, prefix_hits: int = 2, block_chars: int = 4_000_000, most_words: int = 2_000_000) -> DataFrame:
     """Documents that hold `passage` or more words of an item's own text, in its order.
 
-    One row per document and item: doc_id, item_id, matched_words, score.
-    A passage may lie in the message or on one side of the diff, with about
-    `edits` words in `passage` changed, added or dropped. Null or empty texts
-    and null ids match nothing; repeated rows count once; items of equal text
-    are each reported; an item that is all shared instruction matches nothing.
-    Extra columns are ignored.
-
-    The items are a query set: they are broadcast in blocks of at most
-    `block_chars` characters, so a larger set means more blocks. No step is
-    capped: a shingle that stands in very many documents only has a later
-    place in the order of rarity.
+    One row per document and item: doc_id, item_id, matched_words (the most in
+    one stretch). A passage lies in the message or on one side of the diff; it
+    counts if at most `edits` single words are changed, added or dropped among
+    `passage` matching ones. Null or empty texts and null ids match nothing;
+    repeated rows count once; items of equal text are each reported; an item
+    that is all shared instruction matches nothing. Extra columns are ignored.
+
+    Such a passage shares passage - (shingle - 1) * (edits + 1) shingles with
+    its item, on diagonals within `edits` of each other, so no step below loses
+    one: shingles are counted over all documents, the rarest necessary ones of
+    each window are looked up, items hit `prefix_hits` times on near diagonals
+    are counted in full, and what is left is aligned exactly. All of it happens
+    where the document is read; no text is shuffled.
+
+    The items are a query set, broadcast in blocks of at most `block_chars`
+    characters (a longer item is a block of its own); each block reads the
+    documents twice. `most_words` words of text are searched at a time.
     """
     spark = docs.sparkSession
-    own = store(own_text(items, shingle), "items")
+    required = passage - (shingle - 1) * (edits + 1)
+    if not 1 <= prefix_hits <= required:
+        raise ValueError("a passage need not share that many shingles: fewer edits, a shorter shingle or fewer prefix hits")
+    own = store(own_text(items), "items")
     total = own.agg(F.sum(F.aggregate("own", F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    required = max(2, passage - shingle + 1 - edits * 2 * shingle)
     found = []
     for b in range(blocks):
-        block = sorted((r[0], list(r[1])) for r in own.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
-        index = _Index(block, shingle)
-        hits = store(source.mapInArrow(_find_hits(spark.sparkContext.broadcast(index)), "doc_id long, side int, pos int, shingle long"), "hits")
-        frequency = dict(hits.groupBy("shingle").agg(F.count_distinct("doc_id")).collect())  # at most one row per item shingle
-        prefixes = spark.createDataFrame(prefix_tokens(block, index, frequency, passage, required), "shingle long, item_id long, item_pos int")
-        joined = hits.join(prefixes, "shingle")  # positional bound: hits of one passage lie on near diagonals
-        width = F.lit(2 * (edits + passage))
-        cells = joined.withColumn("diagonal", F.floor((F.col("pos") - F.col("item_pos")) / width)).select("*", F.explode(F.array(F.col("diagonal"), F.col("diagonal") + 1)).alias("cell"))
-        pairs = cells.groupBy("doc_id", "side", "item_id", "cell").agg(F.count_distinct("item_pos").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).filter(F.col("n") >= required)
-        asked = pairs.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "side", "low", "high")).alias("found"))
-        found.append(source.join(asked, "doc_id").select("doc_id", "text", "found").mapInArrow(_verify(spark.sparkContext.broadcast(block), passage, min_score), "doc_id long, item_id long, matched_words int, score int"))
+        index = Index(sorted((r[0], list(r[1])) for r in own.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()), shingle)
+        index_b = spark.sparkContext.broadcast(index)
+        frequency = np.zeros(len(index.distinct), np.int64)  # one number per shingle of the block
+        for at, n in source.mapInArrow(_count_shingles(index_b, most_words), "shingle long, n long").groupBy("shingle").agg(F.sum("n")).collect():
+            frequency[at] = n
+        prefixes = Prefixes(necessary(index, frequency, passage, edits, required, prefix_hits))
+        found.append(source.mapInArrow(_search(index_b, spark.sparkContext.broadcast(prefixes), passage, edits, required, prefix_hits, most_words), "doc_id long, item_id long, matched_words int"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("score").alias("score"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"))

@@ -76,11 +76,98 @@ def _prose(rng, n):
     return [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
 
 
-def test_alignment_counts_matches_in_order():
-    a = "a b c d e f g h".split()
-    assert lk.align(a, "x a b c y d e f g h z".split()) == (7, 8)
-    assert lk.align(a, list(reversed(a)))[1] == 1
-    assert lk.align([], a) == lk.align(a, []) == (0, 0)
+def _ids(text):
+    return np.array([ord(c) for c in text])
+
+
+def _most(item, part, edits):
+    """stretch() by plain recursion over (item, part, edits left) from every start."""
+    memo = {}
+
+    def go(i, j, e):
+        if i == len(item) or j == len(part):
+            return 0
+        if (i, j, e) not in memo:
+            best = 0
+            if item[i] == part[j]:
+                best = 1 + go(i + 1, j + 1, e)
+            if e:
+                best = max(best, go(i + 1, j + 1, e - 1), go(i + 1, j, e - 1), go(i, j + 1, e - 1))
+            memo[i, j, e] = best
+        return memo[i, j, e]
+
+    return max((go(i, j, edits) for i in range(len(item)) for j in range(len(part))), default=0)
+
+
+def test_stretch_equals_recursion():
+    rng = random.Random(4)
+    for _ in range(150):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(2))
+        for edits in (0, 1, 3):
+            assert lk.stretch(_ids(a), _ids(b), edits) == _most(a, b, edits)
+
+
+def _noisy(rng, passage, edits, evenly):
+    """20 words of an item with so many edits between them."""
+    out = list(passage)
+    for at in sorted(([4, 8, 12, 16] if evenly else sorted(rng.sample(range(1, 20), edits)))[:edits], reverse=True):
+        kind = rng.randrange(3) if not evenly else 0
+        out[at:at] = ["zz"] if kind < 2 else ["zz", "yy"][: 1]
+    return out
+
+
+def test_no_leak_is_lost_against_brute_force(spark):
+    rng = random.Random(5)
+    words_ = [f"w{k}" for k in range(60)]
+    items = [(i, "s", " ".join(rng.choice(words_) for _ in range(rng.choice([20, 24, 40, 70])))) for i in range(12)]
+    docs = []
+    for d in range(150):
+        own = items[d % 12][2].split()
+        a = rng.randrange(0, len(own) - 19)
+        take = own[a : a + 20 + (d % 5)]
+        body = _noisy(rng, take, d % 6, d % 3 == 0)
+        if d % 7 == 0 and len(body) > 12:
+            body[10] = "xx"
+        around = [rng.choice(words_) for _ in range(30)]
+        docs.append((d, " ".join(around[:15] + body + around[15:])))
+    wanted = set()
+    for d, text in docs:
+        t = text.split()
+        for i, _, body in items:
+            ids = {}
+            x, y = (np.array([ids.setdefault(w, len(ids)) for w in u]) for u in (body.split(), t))
+            if lk.stretch(x, y, 4) >= 20:
+                wanted.add((d, i))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, suite string, text string")
+    for options in ({}, {"prefix_hits": 1}, {"shingle": 3}, {"block_chars": 400, "most_words": 300}):
+        assert {(r.doc_id, r.item_id) for r in lk.leaks(df, it, **options).collect()} == wanted
+    assert len(wanted) > 80
+    with pytest.raises(ValueError):
+        lk.leaks(df, it, shingle=5)
+
+
+def test_an_edit_after_every_fourth_word_is_found(spark):
+    rng = random.Random(7)
+    items = [(i, "s", " ".join(_prose(rng, 60))) for i in range(10)]
+    docs = [(i, " ".join(_prose(rng, 30) + _noisy(rng, t.split()[8:28], 4, True) + _prose(rng, 30))) for i, _, t in items]
+    got = lk.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, suite string, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(i, i) for i in range(10)}
+
+
+def test_prefixes_are_well_under_half(sf_dir):
+    rng = random.Random(9)
+    block = [(i, _prose(rng, 100)) for i in range(40)]
+    index = lk.Index(block, 2)
+    gen = np.random.default_rng(2)
+    chosen = lk.necessary(index, gen.zipf(1.6, len(index.distinct)), 20, 4, 15, 2)
+    assert len(chosen) < 0.48 * sum(len(h) for h in index.hashes)
+    places = {}
+    for _, k, p in chosen:
+        places.setdefault(k, set()).add(p)
+    for k, p in enumerate(index.places):
+        for a in range(len(index.words[k]) - 23):
+            window = [x for x in p if a <= x < a + 23]
+            assert sum(x not in places[k] for x in window) <= 13
 
 
 def test_leaks_are_found_whatever_the_layout(spark):
