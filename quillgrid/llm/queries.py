@@ -50,7 +50,8 @@ def _term_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_terms(_term_records(spark, sf_dir)).filter("mark is not null").select("src", "term", "occurrences", "records", "mark")
+    """The intervals of depth 1 of the same suffix array that gives the phrases."""
+    return marked_terms(_term_records(spark, sf_dir), longest=3, deepest=1).filter("mark is not null").select("src", "term", "occurrences", "records", "mark")
 
 
 def p4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,15 @@ def oracle_sql() -> dict[str, str]:
             c as (select src, term, count(*) as occurrences, count(distinct record) as records from tokens group by src, term)
             select c.src, term, occurrences, records, case when records < 3 then 'rare' else 'common' end as mark
             from c join total using (src) where records < 3 or records > 0.01 * total""",
+        "p4_phrases": r"""
+            with r as (select row_id, arg_max(text, loaded_at) as text from result_rows where row_id is not null group by row_id),
+            m as (select mapping_id, arg_max(label, loaded_at) as label from mappings where mapping_id is not null group by mapping_id),
+            t as (select 'result.text' as src, row_id as record, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') as ts from r where regexp_matches(text, '[^\s\p{Z}]')
+                  union all select 'mappings.label', mapping_id, [trim(regexp_replace(lower(label), '[\s\p{Z}]+', ' ', 'g'))] from m where regexp_matches(label, '[^\s\p{Z}]')),
+            total as (select src, count(*) as total from t group by src),
+            places as (select src, record, ts, k, unnest(range(1, len(ts) - k + 2)) as p from t, (select unnest([1, 2, 3]) as k)),
+            g as (select src, record, k as n, array_to_string(ts[p : p + k - 1], ' ') as term from places),
+            c as (select src, term, n, count(*) as occurrences, count(distinct record) as records from g group by src, term, n)
+            select c.src, term, cast(n as integer) as n, occurrences, records, case when records < 3 then 'rare' when records > 0.01 * total then 'common' end as mark
+            from c join total using (src)""",
     }

@@ -367,23 +367,31 @@ def test_no_values_no_percentiles(spark):
 # terms
 
 
-def test_ngrams_equal_counting(spark):
+@pytest.mark.parametrize("longest, deepest, most_cells", [(3, None, 2_000_000), (3, 1, 50), (None, None, 40), (1, None, 10)])
+def test_ngrams_equal_counting(spark, longest, deepest, most_cells):
     rng = random.Random(10)
-    rows = [("s", k, [rng.choice("abc") for _ in range(rng.randrange(0, 9))]) for k in range(150)] + [("t", 1, ["a"] * 400), ("t", 2, None), ("t", None, ["a"]), ("t", 3, [])]
+    rows = [("s", k, [rng.choice("abc") for _ in range(rng.randrange(0, 9))]) for k in range(150)] + [("t", 1, ["a"] * 60), ("t", 2, None), ("t", None, ["a"]), ("t", 3, []), ("t", 4, ["a", "", "b c"])]
     df = spark.createDataFrame(rows, "src string, record long, tokens array<string>")
-    got = {(r.src, r.term, r.n): (r.occurrences, r.records) for r in te.term_counts(df, 3).collect()}
+    got = {(r.src, r.term, r.n): (r.occurrences, r.records) for r in te.term_counts(df, longest, deepest, most_cells).collect()}
     occ, rec = collections.Counter(), collections.defaultdict(set)
     for src, record, tokens in rows:
-        for n in (1, 2, 3):
+        for n in range(1, min(longest or 99, deepest or 99) + 1):
             for k in range(len(tokens or ()) - n + 1) if record is not None else ():
                 key = (src, " ".join(tokens[k : k + n]), n)
                 occ[key] += 1
                 rec[key].add(record)
     assert got == {k: (c, len(rec[k])) for k, c in occ.items()}
-    assert {(r.src, r.term): (r.occurrences, r.records) for r in te.term_counts(df, 1).collect()} == {k[:2]: (c, len(rec[k])) for k, c in occ.items() if k[2] == 1}
     assert te.marked_terms(df.limit(0)).count() == 0
 
 
+def test_least_between():
+    rng = random.Random(3)
+    v = np.array([rng.randrange(9) for _ in range(70)], np.int32)
+    pairs = [(a, b) for a in range(69) for b in range(a + 1, 70)]
+    got = te.least_between(v, np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [v[a + 1 : b + 1].min() for a, b in pairs]
+
+
 def test_text_records_take_the_latest_and_skip_blanks(spark):
     df = spark.createDataFrame([(1, "Old Text", T), (1, "New  TEXT-2 é", T + dt.timedelta(days=1)), (2, "  \t", T), (3, None, T), (None, "x", T)], "row_id long, text string, loaded_at timestamp_ntz")
     assert [(r.record, r.tokens) for r in te.text_records(df, "row_id", "text", "s", True).collect()] == [(1, ["new", "text", "2", "é"])]
