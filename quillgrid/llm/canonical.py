@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.session import store
+
 # Characters that scans confuse, by the one that stands for them.
 LOOKALIKES = str.maketrans({"0": "a", "o": "a", "1": "i", "l": "i", "5": "s", "6": "b", "h": "b", "8": "b", "9": "g", "q": "g", "c": "e", "v": "u", "f": "t", "7": "t", "2": "z"})
 # Groups that scans take for one letter.
 LIGATURES = (("rri", "m"), ("rn", "m"), ("ri", "n"), ("rl", "n"), ("cl", "d"), ("vv", "w"))
 _GROUPS = {one: tuple(g for g, o in LIGATURES if o == one) for _, one in LIGATURES}
-# Short forms of words on forms.
-SHORT_FORMS = {"number": ("no", "nr", "num"), "date": ("dt",), "percentage": ("percent", "pct"), "account": ("acct", "ac"), "address": ("add", "addr"), "signature": ("sign", "sig"), "telephone": ("tel", "phone", "ph"), "mobile": ("mob",), "organisation": ("organization", "org"), "department": ("dept",), "certificate": ("cert",), "registration": ("regn",), "qualification": ("qualn",), "photograph": ("photo",), "centimetres": ("cm", "cms"), "kilograms": ("kg", "kgs")}
-
 _NUMBERING = re.compile(r"^\s*(?:\(?(?:\d{1,3}|[ivxl]{1,5}|[a-z])[.)]\s*)+(?=\S)", re.I)
 _TAIL = re.compile(r"[\s.:;,_*?\-–—=]+$")
 _PARENTHESES = re.compile(r"(?<=\S)\s*[\(\[][^()\[\]]*[\)\]]")
@@ -57,11 +56,6 @@ def plain_fold(text: str) -> str:
     return squash(text).translate(LOOKALIKES)
 
 
-# Words around a label that don't name it.
-LEADS = ("please state", "please enter", "please give", "please write", "please fill", "please mention", "kindly fill", "kindly state", "kindly give", "kindly enter", "give your", "enter your", "state your", "write your", "fill in", "enter", "give", "state", "write", "your", "mention")
-TRAILS = ("in full", "in words", "here", "below", "in block letters", "if any", "if applicable", "as per record", "original", "of the above person")
-
-
 def _close(a: str, b: str, most: int) -> bool:
     """Whether two short strings are within `most` edits."""
     if abs(len(a) - len(b)) > most:
@@ -80,7 +74,19 @@ def _by_length(phrases: tuple[str, ...]) -> list[tuple[int, list[str]]]:
     return [(n, [fold(squash(x)) for x in phrases if len(x.split()) == n]) for n in lengths]
 
 
-_LEAD_WORDS, _TRAIL_WORDS = _by_length(LEADS), _by_length(TRAILS)
+@dataclass(frozen=True)
+class Wording:
+    """What is known of the way in which values are worded; all of it is optional.
+
+    leads, trails: phrases around a value that don't name it. short_forms: other
+    forms of words of the reference list. reorder: whether an entry's words may
+    also stand in the orders of `_variants`.
+    """
+
+    leads: tuple[str, ...] = ()
+    trails: tuple[str, ...] = ()
+    short_forms: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    reorder: bool = False
 
 
 def _is_phrase(said: str, phrase: str) -> bool:
@@ -90,23 +96,23 @@ def _is_phrase(said: str, phrase: str) -> bool:
     return len(phrase) > 5 and abs(len(said) - len(phrase)) <= 1 and bool(said) and (said[0] == phrase[0] or said[-1] == phrase[-1]) and _close(said, phrase, 1)
 
 
-def _strip_ends(words: list[str]) -> list[str]:
+def _strip_ends(words: list[str], leads: list, trails: list) -> list[str]:
     """Without the phrases around a label, however many."""
     changed = True
     while changed:
         changed = False
-        for n, phrases in _LEAD_WORDS:
+        for n, phrases in leads:
             if len(words) > n and any(_is_phrase(said, x) for said in (fold(squash("".join(words[:n]))),) for x in phrases):
                 words, changed = words[n:], True
                 break
-        for n, phrases in _TRAIL_WORDS:
+        for n, phrases in trails:
             if len(words) > n and any(_is_phrase(said, x) for said in (fold(squash("".join(words[-n:]))),) for x in phrases):
                 words, changed = words[:-n], True
                 break
     return words
 
 
-def readings(label: str) -> list[str]:
+def readings(label: str, leads: list = (), trails: list = ()) -> list[str]:
     """Readings under which a printed label may name an entry, words kept apart, the plainest first."""
     text = unicodedata.normalize("NFKD", label)
     for sign, word in _SIGNS:
@@ -126,7 +132,7 @@ def readings(label: str) -> list[str]:
             forms.append(_TAIL.sub("", cut))
     for form in dict.fromkeys(forms):
         add(form)
-        ends = _strip_ends([w for w in _GAPS.split(form) if w])
+        ends = _strip_ends([w for w in _GAPS.split(form) if w], leads, trails)
         add(" ".join(ends))
     return list(out.values())
 
@@ -137,9 +143,15 @@ class _Node:
     ends: list[tuple[int, int]] = field(default_factory=list)  # label_id, rank of the path's kind
 
 
-def _variants(canonical: str) -> list[str]:
-    """Other ways in which a form prints an entry: word order, cut possessive, short forms."""
+def _variants(canonical: str, wording: Wording) -> list[str]:
+    """Other ways in which an entry may be written: word order, cut possessive, short forms."""
+    short_forms = dict(wording.short_forms)
     out = []
+    shorts = [[w, *short_forms.get(w.lower(), ())] for w in canonical.split()]
+    if sum(len(x) > 1 for x in shorts) <= 4:
+        out += [" ".join(x) for x in itertools.product(*shorts) if list(x) != canonical.split()]
+    if not wording.reorder:
+        return out
     m = re.fullmatch(r"(\w+)['’]s (.+)", canonical)
     if m:
         who, what = m.groups()
@@ -152,15 +164,12 @@ def _variants(canonical: str) -> list[str]:
         out.append(f"{words[1]}, {words[0]}")
     if len(words) == 3 and not m and words[1] not in ("of", "or", "and", "in", "for", "with", "by", "to"):
         out += [f"{words[2]}, {words[0]} {words[1]}", f"{words[1]} {words[2]}, {words[0]}"]
-    shorts = [[w, *SHORT_FORMS.get(w.lower(), ())] for w in words]
-    if sum(len(x) > 1 for x in shorts) <= 4:
-        out += [" ".join(x) for x in itertools.product(*shorts) if list(x) != words]
     return out
 
 
-def _ways(canonical: str | None, aliases: list[str] | None) -> Iterator[tuple[int, str, str]]:
+def _ways(canonical: str | None, aliases: list[str] | None, wording: Wording) -> Iterator[tuple[int, str, str]]:
     """(kind, path, folded path) of everything that names an entry outright."""
-    for kind, path in [(0, canonical)] + [(1, a) for a in aliases or () if a] + [(2, v) for v in _variants(canonical or "")]:
+    for kind, path in [(0, canonical)] + [(1, a) for a in aliases or () if a] + [(2, v) for v in _variants(canonical or "", wording)]:
         for sign, word in _SIGNS:
             path = sign.sub(word, path or "")
         for folded in dict.fromkeys((fold_words(path), plain_fold(path))):
@@ -168,11 +177,11 @@ def _ways(canonical: str | None, aliases: list[str] | None) -> Iterator[tuple[in
                 yield kind, path, folded
 
 
-def known_prefixes(entries: list[tuple[int, str, list[str]]]) -> dict[str, int]:
+def known_prefixes(entries: list[tuple[int, str, list[str]]], wording: Wording = Wording()) -> dict[str, int]:
     """The entry of each beginning of a folded path, -1 where several entries share it."""
     out: dict[str, int] = {}
     for label_id, canonical, aliases in entries:
-        for _, _, folded in _ways(canonical, aliases):
+        for _, _, folded in _ways(canonical, aliases, wording):
             for n in range(1, len(folded) + 1):
                 if out.setdefault(folded[:n], label_id) != label_id:
                     out[folded[:n]] = -1
@@ -182,13 +191,15 @@ def known_prefixes(entries: list[tuple[int, str, list[str]]]) -> dict[str, int]:
 class Trie:
     """Folded paths of the reference list."""
 
-    def __init__(self, entries: list[tuple[int, str, list[str]]], prefixes: dict[str, int] | None = None):
+    def __init__(self, entries: list[tuple[int, str, list[str]]], prefixes: dict[str, int] | None = None, wording: Wording = Wording()):
         self.nodes = [_Node()]
+        self.leads, self.trails = _by_length(wording.leads), _by_length(wording.trails)
+        self.depth = 0
         self.paths: dict[tuple[int, int, int], list[str]] = {}  # by label_id, kind and folded length, with words kept apart
-        prefixes = known_prefixes(entries) if prefixes is None else prefixes
+        prefixes = known_prefixes(entries, wording) if prefixes is None else prefixes
         seen: set[tuple[int, str]] = set()
         for label_id, canonical, aliases in entries:
-            for kind, path, folded in _ways(canonical, aliases):
+            for kind, path, folded in _ways(canonical, aliases, wording):
                 if (label_id, folded) not in seen:
                     seen.add((label_id, folded))
                     self._add(folded, label_id, kind)
@@ -203,6 +214,7 @@ class Trie:
                 self.nodes[at].next[c] = len(self.nodes)
                 self.nodes.append(_Node())
             at = self.nodes[at].next[c]
+        self.depth = max(self.depth, len(path))
         if (label_id, kind) not in self.nodes[at].ends:
             self.nodes[at].ends.append((label_id, kind))
 
@@ -227,8 +239,12 @@ def allowed(length: int) -> int:
 def search(trie: Trie, values: list[str], most: int = 5) -> Iterator[tuple[int, int, int, int, int]]:
     """(value's index, label_id, kind, errors, path length) of all paths within the allowed distance.
 
-    Values of more than 62 characters match nothing: no path comes near that length.
+    Values of up to 62 characters walk the trie together, longer ones alone;
+    those that are longer than every path by more than `most` are out of reach.
     """
+    for k, v in enumerate(values):
+        if 62 < len(v) <= trie.depth + most:
+            yield from ((k, *hit) for hit in _search_long(trie, v, most))
     keep = [k for k, v in enumerate(values) if 0 < len(v) <= 62]
     if not keep:
         return
@@ -279,6 +295,32 @@ def search(trie: Trie, values: list[str], most: int = 5) -> Iterator[tuple[int,
                 stack.append((child, depth + 1, rows, new, turn, None))
 
 
+def _search_long(trie: Trie, value: str, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(label_id, kind, errors, path length) for one value of any length: the same automaton with its bits in one long integer."""
+    masks: dict[str, int] = {}
+    for p, c in enumerate(value):
+        masks[c] = masks.get(c, 0) | 1 << (p + 1)
+    end = 1 << len(value)
+    full = (end << 1) - 1
+    stack = [(0, 0, [((1 << (r + 1)) - 1) & full for r in range(most + 1)], [0] * (most + 1))]
+    while stack:
+        node, depth, bits, turned = stack.pop()
+        for label_id, kind in trie.nodes[node].ends:
+            errors = next((e for e in range(min(most, allowed(depth)) + 1) if bits[e] & end), None)
+            if errors is not None:
+                yield label_id, kind, errors, depth
+        for c, child in trie.nodes[node].next.items():
+            m = masks.get(c, 0)
+            new: list[int] = []
+            for e in range(most + 1):
+                x = (bits[e] << 1) & m
+                if e:
+                    x |= bits[e - 1] | (bits[e - 1] << 1) | (new[e - 1] << 1) | (turned[e - 1] & (m << 1))
+                new.append(x & full)
+            if new[most]:
+                stack.append((child, depth + 1, new, [(x << 2) & m for x in bits]))
+
+
 def word_costs(value: str, path: str) -> list[tuple[int, float]]:
     """(length, cost) of each word of the path in the cheapest alignment of the squashed value with it.
 
@@ -340,17 +382,18 @@ def plausible(costs: list[tuple[int, float]]) -> bool:
     return all(cost <= max(2.0, 0.45 * size) for size, cost in costs)
 
 
-def match_labels(trie: Trie, labels: list[str]) -> list[list[tuple[int, int, int, float]]]:
-    """For each label the entries within distance as (label_id, errors, kind of path, cost), the best first.
+#: A path within distance: number of the value's reading, label_id, kind, length, errors, and the path's forms with words kept apart.
+Hit = tuple[int, int, int, int, int, list[str]]
 
-    Kinds: 0 the name, 1 an alias, 2 another order or short form, 3 cut off.
-    """
+
+def find_hits(trie: Trie, labels: list[str]) -> list[list[Hit]]:
+    """For each label all paths of the trie within distance of one of its readings, the fewest errors of each."""
     forms: dict[str, int] = {}
     of: list[list[int]] = []
     raw: list[str] = []
     for label in labels:
         mine = []
-        for s in readings(label):
+        for s in readings(label, trie.leads, trie.trails):
             if s not in forms:
                 forms[s] = len(raw)
                 raw.append(s)
@@ -366,71 +409,129 @@ def match_labels(trie: Trie, labels: list[str]) -> list[list[tuple[int, int, int
         key = (label_id, kind, depth)
         for k in users[distinct[v]]:
             found[k][key] = min(errors, found[k].get(key, 99))
-    out = []
-    for mine in of:
-        best: dict[int, tuple] = {}
-        least = min((e for k in mine for e in found[k].values()), default=0)
-        for rank, k in enumerate(mine):
-            several = len({key[0] for key in found[k]}) > 1
-            settled: set[int] = set()
-            for (label_id, kind, depth), errors in sorted(found[k].items(), key=lambda x: (x[1] + 0.5 * (x[0][1] == 3), x[0][1], -x[0][2], x[0][0])):
-                if label_id in settled or errors > least + 2 and best:
+    return [[(rank, *key, errors, trie.paths[key[0], key[1], key[2]]) for rank, k in enumerate(mine) for key, errors in found[k].items()] for mine in of]
+
+
+def choose(label: str, hits: list[Hit], leads: list = (), trails: list = ()) -> list[tuple[int, int, int, float | None]]:
+    """The entries of all hits as (label_id, errors, kind of path, cost): those that the label may name, the best first, then the rest without a cost.
+
+    Kinds: 0 the name, 1 an alias, 2 another order or short form, 3 cut off.
+    """
+    if not hits:
+        return []
+    raw = readings(label, leads, trails)
+    best: dict[int, tuple] = {}
+    least = min(h[4] for h in hits)
+    for rank in sorted({h[0] for h in hits}):
+        mine = [h for h in hits if h[0] == rank]
+        several = len({h[1] for h in mine}) > 1
+        settled: set[int] = set()
+        for _, label_id, kind, depth, errors, paths in sorted(mine, key=lambda h: (h[4] + 0.5 * (h[2] == 3), h[2], -h[3], h[1])):
+            if label_id in settled or errors > least + 2 and best:
+                continue
+            exact = float(errors)
+            if errors >= 2 or errors and several:
+                costs = min((word_costs(raw[rank], p) for p in paths), key=lambda c: sum(x for _, x in c))
+                if not plausible(costs):
                     continue
-                exact = float(errors)
-                if errors >= 2 or errors and several:
-                    costs = min((word_costs(raw[k], p) for p in trie.paths[label_id, kind, depth]), key=lambda c: sum(x for _, x in c))
-                    if not plausible(costs):
-                        continue
-                    exact = sum(x for _, x in costs)
-                settled.add(label_id)
-                score = (exact + 0.5 * (kind == 3), kind, rank, -depth, errors)
-                if label_id not in best or score < best[label_id]:
-                    best[label_id] = score
-        out.append([(label_id, score[4], score[1], score[0]) for label_id, score in sorted(best.items(), key=lambda x: (x[1], x[0]))])
-    return out
+                exact = sum(x for _, x in costs)
+            settled.add(label_id)
+            score = (exact + 0.5 * (kind == 3), kind, rank, -depth, errors)
+            if label_id not in best or score < best[label_id]:
+                best[label_id] = score
+    named = [(label_id, score[4], score[1], score[0]) for label_id, score in sorted(best.items(), key=lambda x: (x[1], x[0]))]
+    rest: dict[int, tuple[int, int]] = {}
+    for _, label_id, kind, _, errors, _ in hits:
+        if label_id not in best:
+            rest[label_id] = min(rest.get(label_id, (99, 99)), (errors, kind))
+    return named + [(label_id, errors, kind, None) for label_id, (errors, kind) in sorted(rest.items(), key=lambda x: (x[1], x[0]))]
+
+
+def match_labels(trie: Trie, labels: list[str]) -> list[list[tuple[int, int, int, float | None]]]:
+    """choose() for each label over all hits of one trie."""
+    return [choose(label, hits, trie.leads, trie.trails) for label, hits in zip(labels, find_hits(trie, labels))]
 
 
 _MATCHES = pa.schema([("id", pa.int64()), ("label_id", pa.int64()), ("errors", pa.int32()), ("cost", pa.float64()), ("candidates", pa.list_(pa.int64()))])
+_HITS_TYPE = pa.list_(pa.struct([("reading", pa.int32()), ("label_id", pa.int64()), ("kind", pa.int32()), ("depth", pa.int32()), ("errors", pa.int32()), ("paths", pa.list_(pa.string()))]))
+_HITS_SQL = "array<struct<reading int, label_id long, kind int, depth int, errors int, paths array<string>>>"
+
+
+def _answer(chosen: list[tuple[int, int, int, float | None]]) -> tuple:
+    """label_id, errors, cost, candidates; without an entry that the value may name label_id and errors are -1."""
+    first = chosen[0] if chosen and chosen[0][3] is not None else (-1, -1, 0, None)
+    return first[0], first[1], first[3], [c[0] for c in chosen]
+
+
+def _batched(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    waiting: list[tuple] = []
+    for b in batches:
+        waiting += zip(*(c.to_pylist() for c in b.columns))
+        if len(waiting) >= size:
+            yield waiting
+            waiting = []
+    if waiting:
+        yield waiting
 
 
 def _map_values(trie_b, batch: int):
+    """Chooses at once: for a reference list of one block."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_b.value
         known: dict[str, tuple] = {}
-
-        def answer(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+        for rows in _batched(batches, batch):
             new = list(dict.fromkeys(v for _, v in rows if v not in known))
             for v, got in zip(new, match_labels(trie, new)):
-                known[v] = (got[0][0], got[0][1], got[0][3], [g[0] for g in got]) if got else (-1, -1, None, [])
+                known[v] = _answer(got)
             columns = list(zip(*((i, *known[v]) for i, v in rows)))
             if len(known) > 200_000:
                 known.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _MATCHES)], schema=_MATCHES)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _MATCHES)], schema=_MATCHES)
+
+    return run
+
+
+def _hit_values(trie_b, batch: int):
+    """The hits of one block's entries."""
 
-        waiting: list[tuple[int, str]] = []
-        for b in batches:
-            waiting += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            if len(waiting) >= batch:
-                yield answer(waiting)
-                waiting = []
-        if waiting:
-            yield answer(waiting)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = trie_b.value
+        for rows in _batched(batches, batch):
+            new = list(dict.fromkeys(v for _, v in rows))
+            known = dict(zip(new, find_hits(trie, new)))
+            kept = [(i, v, known[v]) for i, v in rows if known[v]]
+            names = ("reading", "label_id", "kind", "depth", "errors", "paths")
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array([[dict(zip(names, h)) for h in k[2]] for k in kept], _HITS_TYPE)], names=["id", "value", "hits"])
 
     return run
 
 
-def map_to_entries(values: DataFrame, reference: DataFrame, id_col: str = "mapping_id", value_col: str = "label", most_entries: int = 100_000, block: int = 2_000, batch: int = 20_000) -> DataFrame:
-    """id, label_id (-1: none), errors (-1: none), cost (null: none) and candidates (all entries within distance) of each value.
+def _choose_values(leads: list, trails: list):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _batched(batches, 10_000):
+            columns = list(zip(*((i, *_answer(choose(v, [tuple(h.values()) for part in parts for h in part], leads, trails))) for i, v, parts in rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _MATCHES)], schema=_MATCHES)
+
+    return run
+
+
+def map_to_entries(values: DataFrame, reference: DataFrame, id_col: str = "mapping_id", value_col: str = "label", wording: Wording = Wording(), most_entries: int = 100_000, block: int = 2_000, batch: int = 20_000) -> DataFrame:
+    """id, label_id (-1: none), errors (-1: none), cost (null: none) and candidates of each value.
+
+    `candidates` are all entries within distance: first those that the value may
+    name, the best first, then those ruled out because a word of theirs would be
+    as good as replaced. label_id is the first, if it isn't ruled out.
 
     Null and blank values give no row; each id counts once (re-delivered rows
     are equal; of unequal ones the alphabetically first value stands); a null id
-    is dropped. Values of more than 62 letters after peeling map to -1. Entries
-    with a null id or a null or blank name are ignored, null aliases too; of
-    equally near entries the smallest label_id comes first.
+    is dropped. Values may be of any length. Entries with a null id or a null or
+    blank name are ignored, null aliases too; of equally near entries the
+    smallest label_id comes first.
 
     The driver reads the reference list, `most_entries` at most (else it
-    raises), and broadcasts a trie of `block` entries at a time; with several
-    blocks the nearest entry of all stands.
+    raises), and broadcasts a trie of `block` entries at a time; hits of several
+    blocks are brought together before one is chosen, so blocks change nothing.
     """
     spark = values.sparkSession
     entries = sorted(((r[0], r[1], list(r[2] or ())) for r in reference.filter("label_id is not null and trim(canonical) <> ''").select("label_id", "canonical", "aliases").distinct().limit(most_entries + 1).collect()), key=lambda e: (e[0], e[1]))
@@ -440,18 +541,19 @@ def map_to_entries(values: DataFrame, reference: DataFrame, id_col: str = "mappi
     # dealt explicitly: matching takes far more time than its few bytes suggest
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = source.repartition(tasks, "id").groupBy("id").agg(F.min("value").alias("value"))
-    prefixes = known_prefixes(entries)
-    parts = []
-    for k in range(0, max(1, len(entries)), block):
-        trie = spark.sparkContext.broadcast(Trie(entries[k : k + block], prefixes))
-        parts.append(once.mapInArrow(_map_values(trie, batch), "id long, label_id long, errors int, cost double, candidates array<long>"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = F.min(F.struct(F.col("label_id") < 0, "cost", "label_id", "errors")).alias("b")
-    return every.groupBy("id").agg(best, F.flatten(F.collect_list("candidates")).alias("candidates")).select("id", "b.label_id", "b.errors", "b.cost", "candidates")
+    prefixes = known_prefixes(entries, wording)
+    tries = [Trie(entries[k : k + block], prefixes, wording) for k in range(0, max(1, len(entries)), block)]
+    if len(tries) == 1:
+        return once.mapInArrow(_map_values(spark.sparkContext.broadcast(tries[0]), batch), "id long, label_id long, errors int, cost double, candidates array<long>")
+    once = store(once, "values")
+    every = None
+    for trie in tries:
+        part = once.mapInArrow(_hit_values(spark.sparkContext.broadcast(trie), batch), f"id long, value string, hits {_HITS_SQL}")
+        every = part if every is None else every.unionByName(part)
+    together = every.groupBy("id").agg(F.first("value").alias("value"), F.collect_list("hits").alias("hits"))
+    chosen = together.select("id", "value", "hits").mapInArrow(_choose_values(tries[0].leads, tries[0].trails), "id long, label_id long, errors int, cost double, candidates array<long>")
+    none = once.select("id").join(chosen, "id", "left")
+    return none.select("id", F.coalesce("label_id", F.lit(-1)).alias("label_id"), F.coalesce("errors", F.lit(-1)).alias("errors"), "cost", F.coalesce("candidates", F.array().cast("array<long>")).alias("candidates"))
 
 
 def unmatched_values(values: DataFrame, reference: DataFrame, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.canonical import map_to_entries, unmatched_values
+from quillgrid.llm.canonical import Wording, map_to_entries, unmatched_values
 from quillgrid.llm.leak import leaks
 from quillgrid.llm.packing import pack, split_documents
 from quillgrid.llm.quantiles import latest, percentiles, value_counts
@@ -16,13 +16,22 @@ from quillgrid.llm.terms import marked_terms, text_records
 from quillgrid.session import read
 
 
+# The wording of printed forms.
+FORMS = Wording(
+    leads=("please state", "please enter", "please give", "please write", "please fill", "please mention", "kindly fill", "kindly state", "kindly give", "kindly enter", "give your", "enter your", "state your", "write your", "fill in", "enter", "give", "state", "write", "your", "mention"),
+    trails=("in full", "in words", "here", "below", "in block letters", "if any", "if applicable", "as per record", "original", "of the above person"),
+    short_forms=tuple({"number": ("no", "nr", "num"), "date": ("dt",), "percentage": ("percent", "pct"), "account": ("acct", "ac"), "address": ("add", "addr"), "signature": ("sign", "sig"), "telephone": ("tel", "phone", "ph"), "mobile": ("mob",), "organisation": ("organization", "org"), "department": ("dept",), "certificate": ("cert",), "registration": ("regn",), "qualification": ("qualn",), "photograph": ("photo",), "centimetres": ("cm", "cms"), "kilograms": ("kg", "kgs")}.items()),
+    reorder=True,
+)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = map_to_entries(read(spark, sf_dir, "mappings"), read(spark, sf_dir, "form_labels"))
+    got = map_to_entries(read(spark, sf_dir, "mappings"), read(spark, sf_dir, "form_labels"), wording=FORMS)
     return got.select(F.col("id").alias("mapping_id"), "label_id")
 
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unmatched_values(read(spark, sf_dir, "mappings"), read(spark, sf_dir, "form_labels"))
+    return unmatched_values(read(spark, sf_dir, "mappings"), read(spark, sf_dir, "form_labels"), wording=FORMS)
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:

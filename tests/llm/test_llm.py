@@ -318,9 +318,45 @@ REFERENCE = [(1, "Father's Name", []), (2, "Mother's Name", []), (3, "Roll Numbe
     ],
 )
 def test_labels_name_entries(label, entry):
-    trie = ca.Trie([(i, c, a or []) for i, c, a in REFERENCE if c])
-    got = ca.match_labels(trie, [label])[0]
-    assert (got[0][0] if got else -1) == entry
+    trie = ca.Trie([(i, c, a or []) for i, c, a in REFERENCE if c], wording=q.FORMS)
+    assert ca._answer(ca.match_labels(trie, [label])[0])[0] == entry
+
+
+def test_wording_is_optional():
+    entries = [(i, c, a or []) for i, c, a in REFERENCE if c]
+    plain, worded = ca.Trie(entries), ca.Trie(entries, wording=q.FORMS)
+    first = lambda trie, label: ca._answer(ca.match_labels(trie, [label])[0])[0]
+    assert first(plain, "fotber's narne :") == 1 and first(plain, "Name of Father") == -1 and first(worded, "Name of Father") == 1
+
+
+def test_long_values_are_searched_like_short_ones(spark):
+    rng = random.Random(2)
+    paths = ["".join(rng.choice("abc") for _ in range(rng.randrange(3, 14))) for _ in range(25)]
+    trie = ca.Trie([])
+    for k, p in enumerate(paths):
+        trie._add(p, k, 0)
+    for v in ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 15))) for _ in range(40)]:
+        assert sorted(h[1:] for h in ca.search(trie, [v])) == sorted(ca._search_long(trie, v, 5))
+    name = " ".join("".join(rng.choice("defgkmnprstuw") for _ in range(9)) for _ in range(11))
+    near = name[:50] + ("x" if name[50] != "x" else "y") + name[51:]
+    ref = spark.createDataFrame([(1, name, None), (2, "Roll Number", None)], "label_id long, canonical string, aliases array<string>")
+    df = spark.createDataFrame([(1, name), (2, near), (3, name + " and quite some more of it")], "mapping_id long, label string")
+    assert {(r.id, r.label_id, r.errors) for r in ca.map_to_entries(df, ref).collect()} == {(1, 1, 0), (2, 1, 1), (3, -1, -1)}
+
+
+def test_candidates_are_all_entries_within_distance_whatever_the_blocks(spark):
+    rng = random.Random(12)
+    names = sorted({" ".join(rng.choice(["roll", "rolls", "poll", "tall", "note", "notes", "name", "names"]) for _ in range(2)) for _ in range(60)})
+    entries = [(i, n, []) for i, n in enumerate(names)]
+    values = [(i, "".join(c for c in rng.choice(names) if rng.random() > 0.1)) for i in range(80)]
+    trie = ca.Trie(entries)
+    for _, v in values:
+        reach = {hit[1] for hits in ca.find_hits(trie, [v]) for hit in hits}
+        assert {c[0] for c in ca.match_labels(trie, [v])[0]} == reach
+    ref = spark.createDataFrame([(i, n, None) for i, n, _ in entries], "label_id long, canonical string, aliases array<string>")
+    df = spark.createDataFrame(values, "mapping_id long, label string")
+    whole = {tuple(map(str, r)) for r in ca.map_to_entries(df, ref).collect()}
+    assert len(whole) == 80 and {tuple(map(str, r)) for r in ca.map_to_entries(df, ref, block=7).collect()} == whole
 
 
 def test_mapping_edges(spark):
