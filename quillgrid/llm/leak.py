@@ -149,6 +149,7 @@ class Index:
             self.words.append(ids)
             self.hashes.append(h[p][order])
             self.places.append(p[order])
+        self.known = [(known, np.append(first, len(h))) for h in self.hashes for known, first in (np.unique(h, return_index=True),)]
         self.distinct = np.unique(np.concatenate(self.hashes)) if block else np.empty(0, np.uint64)
 
 
@@ -292,21 +293,27 @@ def stretch(item: np.ndarray, part: np.ndarray, edits: int) -> int:
 
 def _holds(part: np.ndarray, index: Index, k: int, passage: int, edits: int, required: int) -> int:
     """Most words that one stretch of the part shares with item k; 0 where length and positions rule a passage out."""
-    n, hashes, places = index.n, index.hashes[k], index.places[k]
-    known, first = np.unique(hashes, return_index=True)
+    n, places = index.n, index.places[k]
+    known, bounds = index.known[k]
     p, at = _found(part, n, known)
-    source, hit = _expand(np.append(first, len(hashes)), at)
+    source, hit = _expand(bounds, at)
     pos, place = p[source], places[hit]
-    reach, best, width = passage + 2 * edits + n, 0, edits + 1
+    reach, width = passage + 2 * edits + n, edits + 1
+    regions: list[tuple[int, int]] = []
     for shift in (0, width):
         cell = (pos - place + shift) // (2 * width)
         order = np.lexsort((place, cell))
-        for group in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(cell[order])) + 1, [len(order)]])
+        for g in np.flatnonzero(np.diff(edges) >= required):
+            group = order[edges[g] : edges[g + 1]]
             u = np.unique(place[group])
-            if len(u) < required or not (u[required - 1 :] - u[: len(u) - required + 1] < passage + edits - n + 1).any():
-                continue
-            low, high = int(pos[group].min()), int(pos[group].max())
-            best = max(best, stretch(index.words[k], part[max(0, low - reach) : high + reach], edits))
+            if len(u) >= required and (u[required - 1 :] - u[: len(u) - required + 1] < passage + edits - n + 1).any():
+                regions.append((max(0, int(pos[group].min()) - reach), int(pos[group].max()) + reach))
+    best, end = 0, -1
+    for low, high in sorted(regions):  # regions of both grids overlap; each stretch of the part is aligned once
+        if high > end:
+            best = max(best, stretch(index.words[k], part[low:high], edits))
+            end = high
     return best
 
 
