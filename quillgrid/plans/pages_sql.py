@@ -198,7 +198,15 @@ _WIDE = "global_structure_score * 0.60 + column_consistency * 0.16 + ownership_c
 cte("score1", f"select *, {_LOCAL} as local, {_WIDE} as wide, (bcx <= ax2 - ct * 0.25 or in_table or ve < 0.38 or excluded > 0.5) as rejected from score0", "score0")
 _BOTH = "local * 0.45 + wide * 0.55"
 cte("scores", f"select page_id, item_idx, line_idx, bcx, bcy, {r('local', 4)} as local_score, global_structure_score, {r(f'case when rejected then ({_BOTH}) * 0.3 else {_BOTH} end', 4)} as candidate_score, rejected, {r('sqrt((bcx - acx) * (bcx - acx) + (bcy - acy) * (bcy - acy))', 2)} as distance from score1", "score1")
-cte("ranked", "select *, row_number() over w as rank, lead(candidate_score) over w as second from scores window w as (partition by page_id, item_idx order by candidate_score desc, bcy, bcx, line_idx)", "scores")
+# candidate pools
+cte("pool_a", "select a.page_id, a.item_idx, iz.best as zone, ib.best as band, b.center_y, z.x2 as zx2, band_tolerance, column_tolerance from labels a join m using (page_id) left join i_zone iz using (page_id, item_idx) left join i_band ib using (page_id, item_idx) left join lz z on z.page_id = a.page_id and z.zone_idx = iz.best left join band b on b.page_id = a.page_id and b.band_idx = ib.best", "labels", "m", "i_zone", "i_band", "lz", "band")
+cte("pool_z", "select a.*, f.x1, f.y1, f.x2, f.y2, case when f.band_idx = a.band then 0 when abs(fb.center_y - a.center_y) <= band_tolerance * 1.5 then 1 else 2 end as lev, coalesce(f.x1 >= a.zx2 - column_tolerance * 0.2, false) as rt from pool_a a join fz f on f.page_id = a.page_id join band fb on fb.page_id = f.page_id and fb.band_idx = f.band_idx", "pool_a", "fz", "band")
+cte("pool_n", "select * from pool_z qualify lev = min(lev) over (partition by page_id, item_idx)", "pool_z")
+cte("pool_r", "select * from pool_n qualify rt or not bool_or(rt) over (partition by page_id, item_idx)", "pool_n")
+cte("free", "select page_id, line_idx, cx, cy, excluded from lines join l_excl using (page_id, line_idx)", "lines", "l_excl")
+cte("pool_in", f"select z.page_id, z.item_idx, l.line_idx from pool_r z join free l on l.page_id = z.page_id and l.excluded = 0 and {inside('l.cx', 'l.cy', 'z.', 4)} union select a.page_id, a.item_idx, l.line_idx from pool_a a join free l on l.page_id = a.page_id and l.excluded = 0 and l.cx >= a.zx2 - a.column_tolerance where exists (select 1 from fz where fz.page_id = a.page_id)", "pool_r", "pool_a", "free", "fz")
+cte("pool", "select page_id, item_idx, line_idx from (select a.page_id, a.item_idx, l.line_idx, case when p.line_idx is not null then 0 when l.excluded = 0 then 1 else 2 end as rk from pool_a a join free l on l.page_id = a.page_id left join pool_in p on p.page_id = a.page_id and p.item_idx = a.item_idx and p.line_idx = l.line_idx) qualify rk = min(rk) over (partition by page_id, item_idx)", "pool_a", "free", "pool_in")
+cte("ranked", "select *, row_number() over w as rank, lead(candidate_score) over w as second from scores join pool using (page_id, item_idx, line_idx) window w as (partition by page_id, item_idx order by candidate_score desc, bcy, bcx, line_idx)", "scores", "pool")
 
 # text rows
 cte("noise", r"select * from (select *, coalesce(median(y2 - y1) filter (where y2 > y1) over (partition by page_id), 24) as median_height, coalesce(confidence, 1.0) as cf from items) where not ((cf < 0.15 and (length(text) <= 8 or length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / greatest(length(text), 1) >= 0.2)) or (cf < 0.35 and length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) <= 2) or (cf < 0.40 and y2 - y1 < greatest(median_height * 0.45, 8.0)))", "items")
@@ -239,7 +247,7 @@ cte("merge_r", "select page_id, row_idx, flag, 'first' as state, case when flag
 # evaluation
 cte("unmatched", "select distinct page_id, text from items except select page_id, label from maps where label <> ''", "items", "maps")
 cte("unresolved", "select i.* from items i where not exists (select 1 from maps where maps.page_id = i.page_id and maps.label = i.text)", "items", "maps")
-cte("heights", "select page_id, max(y2) as ph from items group by page_id", "items")
+cte("heights", "select page_id, page_height as ph from m", "m")
 cte("topband", "select u.* from unresolved u join heights using (page_id) where cy <= ph * 0.3", "unresolved", "heights")
 
 
@@ -371,7 +379,8 @@ ORACLES: dict[str, str] = {
     "fallback_lines": build("select page_id, line_idx, sx, sy, ex, ey, field_type from fallback", "fallback"),
     "union_candidates": build(f"select page_id, line_idx, sx, sy, ex, ey, field_type from (select page_id, sx, sy, ex, ey, field_type, row_number() over (partition by page_id order by s, line_idx) - 1 as line_idx from (select 0 as s, page_id, line_idx, sx, sy, ex, ey, field_type from lines union all select 1, page_id, line_idx, sx, sy, ex, ey, field_type from fallback)) {DEDUP}", "lines", "fallback"),
     "entities_union": build("select page_id, kind, id, text, entity_type, confidence, length, x1, y1, x2, y2, cx, cy from ents", "ents"),
-    "label_keyword_filter": build(f"select i.page_id, item_idx, text, column_split from items i join split using (page_id) join (select page_id, {r('greatest(image_height, 1.0)', 2)} as ph from sizes) using (page_id) where cx < column_split and {mappable('ph')}", "items", "split", "sizes"),
+    "label_keyword_filter": build("select page_id, item_idx, text, column_split from labels", "labels"),
+    "candidate_pool": build("select page_id, item_idx, line_idx from pool", "pool"),
     "text_case_ratio": build(f"select page_id, item_idx, {r(UPPER, 6)} as upper_ratio, {r(SYMBOLS, 6)} as symbol_ratio, {ALNUM} as alnum, {PROMPT} as prompt from items", "items"),
     "field_name_sanitize": build(f"select mapping_id, {_safe('label')} || '_' || mapping_id as name from maps", "maps"),
     "class_histogram": build("select coalesce(confidence_class, 'unknown') as confidence_class, count(*) as n from maps group by 1", "maps"),

@@ -1,14 +1,11 @@
-"""Queries against their SQL on the smallest tables. TEST_ALL_ORACLES=1 runs every one of them."""
-
-import os
+"""Every query that has SQL against it, on the smallest tables."""
 
 import pytest
 
 from quillgrid.plans import registry
 from tests.compare import check
 
-CORE = "flagship_label_field_match geom_bounds overlap_ratio_pairs layout_metrics ocr_merge_tokens field_line_filter region_classify excluded_regions row_merge_pairs axis_clusters_x bands zones ownership_best_zone graph_membership_edges candidate_class line_nms multiline_closure checkbox_nearest_label union_candidates text_case_ratio mapping_summary summary_delta row_compare_nearest failure_categories corpus_rollup pdf_field_geometry".split()
-NAMES = sorted(registry.oracle_sql()) if os.environ.get("TEST_ALL_ORACLES") else CORE
+NAMES = sorted(registry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
