@@ -2,9 +2,10 @@
 
 Each file's layout is a small tree (fields, their types, the keys of nested
 objects). Against the file before it in its feed a minimum-cost edit script is
-found: fields of one parent are matched by least total cost, from the shape
-and range of their values over the feed and from their names; what stays
-unmatched is added or removed, or moved if it turns up under another parent.
+found: fields of both trees are matched by least total cost, from the shape and
+range of their values over the feed, their names, types and places; what stays
+unmatched is removed or added. Followed through a feed, the scripts tell which
+quantity each field of each file holds; that is the file's projection.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from quillgrid.session import store
 
-#: Costs of one edit; a rename must cost less than a removal and an addition.
-REMOVE, ADD, RETYPE, RENAMED_BELOW, NEVER = 0.4, 0.4, 0.05, 0.7, 99.0
+#: Costs of one edit; a rename must cost less than a removal and an addition. Edits inside objects weigh NESTED.
+REMOVE, ADD, RETYPE, MOVE, RENAMED_BELOW, NESTED, NEVER = 0.4, 0.4, 0.05, 0.2, 0.7, 0.1, 99.0
+#: Between the keys of a nested field's path.
+STEP = "\x1f"
 
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 _NUMBER = re.compile(r"^\s*([-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)\s*(%?)\s*$")
@@ -64,7 +67,7 @@ def shape(value) -> str | None:
     if value is None:
         return None
     if isinstance(value, list):
-        return f"{2 * len(value) // 2}" if not any(isinstance(x, list) for x in value) else ("4" if len(value) == 4 else f"{len(value)} arrays")
+        return str(len(value))
     if isinstance(value, dict):
         if numeric(value) is not None:
             return "scalar"
@@ -93,13 +96,16 @@ def layout(records: list) -> dict:
     return out
 
 
-def profile(records: list) -> dict[str, dict]:
-    """Per field: counts of shapes, range and whole numbers, code-like strings. Sums up over files."""
-    out: dict[str, dict] = {}
+def profile(records: list, at: str = "", out: dict[str, dict] | None = None) -> dict[str, dict]:
+    """Per field, nested ones by their path: counts of shapes, range and whole numbers, code-like strings. Sums up over files."""
+    out = {} if out is None else out
     for record in records:
         if not isinstance(record, dict):
             continue
-        for name, value in record.items():
+        for key, value in record.items():
+            name = at + key
+            if isinstance(value, dict):
+                profile([value], name + STEP, out)
             s = shape(value)
             if s is None:
                 continue
@@ -191,76 +197,110 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def size(tree: dict) -> int:
-    return sum(1 + size(child) for _, child in tree.values())
+Path = tuple[str, ...]
 
 
-def edit_script(before: dict, after: dict, profiles: dict[str, dict], path: str = "") -> tuple[float, list[tuple[str, str, str]]]:
-    """Cost and edits (before, after, change) between two layouts; nested fields have dotted paths."""
-    same = sorted(before.keys() & after.keys())
-    gone, new = sorted(before.keys() - after.keys()), sorted(after.keys() - before.keys())
-    pairs = [(k, k) for k in same]
+def nodes(tree: dict, at: Path = ()) -> dict[Path, str | None]:
+    """Every field of a layout by its path, with its type."""
+    out: dict[Path, str | None] = {}
+    for name, (kind, inner) in tree.items():
+        out[(*at, name)] = kind
+        out |= nodes(inner, (*at, name))
+    return out
+
+
+def _weight(*paths: Path) -> float:
+    return NESTED if all(len(p) > 1 for p in paths) else 1.0
+
+
+def _retyped(a: str | None, b: str | None) -> bool:
+    return a is not None and b is not None and a != b
+
+
+def pairing(before: dict[Path, str | None], after: dict[Path, str | None], profiles: dict[str, dict]) -> tuple[float, dict[Path, Path]]:
+    """The matching of least cost between two layouts' fields, and its cost.
+
+    A field of the same path and type costs nothing and stays. All others may be
+    matched across names, types and parents. A pair costs a move if the parents
+    aren't matched with each other; as that depends on the matching, it is
+    repeated with the parents' last matches until they stand.
+    """
+    kept = {p: p for p in before if p in after and not _retyped(before[p], after[p])}
+    gone, new = sorted(before.keys() - kept.keys()), sorted(after.keys() - kept.keys())
     n, m = len(gone), len(new)
-    if n or m:
-        table = [[0.0] * (n + m) for _ in range(n + m)]
-        for i in range(n + m):
-            for j in range(n + m):
-                if i < n and j < m:
-                    inner = edit_script(before[gone[i]][1], after[new[j]][1], {})[0] * 0.1
-                    retype = RETYPE * (before[gone[i]][0] != after[new[j]][0])
-                    c = 0.6 * value_distance(profiles.get(path + gone[i]), profiles.get(path + new[j])) + 0.4 * name_distance(gone[i], new[j])
-                    table[i][j] = c + retype + inner if c < RENAMED_BELOW else NEVER
-                elif i < n:  # a removal stands in the row's own extra column, an addition in the column's own extra row
-                    table[i][j] = REMOVE * (1 + 0.1 * size(before[gone[i]][1])) if j - m == i else NEVER
-                elif j < m:
-                    table[i][j] = ADD * (1 + 0.1 * size(after[new[j]][1])) if i - n == j else NEVER
+    if not n and not m:
+        return 0.0, kept
+    like: dict[tuple[int, int], float] = {}
+    for i, a in enumerate(gone):
+        for j, b in enumerate(new):
+            if a == b:
+                like[i, j] = 0.0
+                continue
+            far = value_distance(profiles.get(STEP.join(a)), profiles.get(STEP.join(b)))
+            c = 0.2 * far if a[-1] == b[-1] else 0.6 * far + 0.4 * name_distance(a[-1], b[-1]) + 0.01
+            if c < RENAMED_BELOW:
+                like[i, j] = c
+    image = {(): ()} | kept | {p: p for p in gone if p in after}
+    for _ in range(4):
+        table = [[NEVER] * (n + m) for _ in range(n + m)]
+        for (i, j), c in like.items():
+            a, b = gone[i], new[j]
+            table[i][j] = _weight(a, b) * (c + RETYPE * _retyped(before[a], after[b]) + MOVE * (image.get(a[:-1]) != b[:-1]))
+        for i, a in enumerate(gone):  # a removal stands in the row's own extra column, an addition in the column's own extra row
+            table[i][m + i] = REMOVE * _weight(a)
+        for j, b in enumerate(new):
+            table[n + j][j] = ADD * _weight(b)
+            table[n + j][m:] = [0.0] * n
         columns = assign(table)
-        pairs += [(gone[i], new[columns[i]] if columns[i] < m else "") for i in range(n)]
-        taken = {b for _, b in pairs}
-        pairs += [("", k) for k in new if k not in taken]
-    cost, edits = 0.0, []
-    for a, b in pairs:
-        if not a:
-            cost += ADD
-            edits.append(("", path + b, "added"))
-        elif not b:
-            cost += REMOVE
-            edits.append((path + a, "", "removed"))
-        else:
-            if a != b:
-                cost += 0.4 * name_distance(a, b) + 0.01
-                edits.append((path + a, path + b, "renamed"))
-            (s, x), (t, y) = before[a], after[b]
-            if s is not None and t is not None and s != t:
-                cost += RETYPE
-                edits.append((path + a, path + b, "retyped"))
-            elif s == t == "object":
-                inner, more = edit_script(x, y, profiles, f"{path}{b}.")
-                cost += 0.1 * inner
-                edits += more
-    return cost, edits if path else _moves(edits)
-
-
-def _moves(edits: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """A field removed under one parent and added under another by the same name is moved."""
-    gone = {a.rpartition(".")[2]: a for a, _, c in edits if c == "removed"}
-    out, used = [], set()
-    for a, b, c in edits:
-        leaf = b.rpartition(".")[2]
-        if c == "added" and leaf in gone and gone[leaf] not in used and ("." in b or "." in gone[leaf]):
-            used.add(gone[leaf])
-            out.append((gone[leaf], b, "moved"))
-        else:
-            out.append((a, b, c))
-    return [e for e in out if not (e[2] == "removed" and e[0] in used)]
-
-
-def _records(payload: str | None) -> list:
+        pairs = kept | {gone[i]: new[columns[i]] for i in range(n) if columns[i] < m}
+        cost = sum(table[i][columns[i]] for i in range(n + m))
+        if image == (now := {(): ()} | pairs):
+            break
+        image = now
+    return cost, pairs
+
+
+def script(before: dict[Path, str | None], after: dict[Path, str | None], pairs: dict[Path, Path]) -> list[tuple[Path, Path, str]]:
+    """The edits of a matching: (path before, path after, change), () where there is none.
+
+    What an added or removed object holds goes with it, and so do the keys of an
+    object that another type turned into.
+    """
+    image = {(): ()} | pairs
+    objects = {()} | {a for a, b in pairs.items() if before[a] == after[b] == "object"}
+    back = {b: a for a, b in image.items()}
+    out: list[tuple[Path, Path, str]] = []
+    for a in sorted(before):
+        b = pairs.get(a)
+        if b is None:
+            if a[:-1] in objects:
+                out.append((a, (), "removed"))
+            continue
+        if image.get(a[:-1]) != b[:-1]:
+            out.append((a, b, "moved"))
+        elif a[-1] != b[-1]:
+            out.append((a, b, "renamed"))
+        if _retyped(before[a], after[b]):
+            out.append((a, b, "retyped"))
+    found = set(pairs.values())
+    out += [((), b, "added") for b in sorted(after) if b not in found and back.get(b[:-1]) in objects]
+    return out
+
+
+def edit_script(before: dict, after: dict, profiles: dict[str, dict]) -> tuple[float, list[tuple[str, str, str]]]:
+    """Cost and edits (before, after, change) between two layouts; nested fields have dotted paths."""
+    x, y = nodes(before), nodes(after)
+    cost, pairs = pairing(x, y, profiles)
+    return cost, [(".".join(a), ".".join(b), c) for a, b, c in script(x, y, pairs)]
+
+
+def _records(payload: str | None) -> list[dict]:
+    """The records of a payload: the objects of its array, or the one object that it is."""
     try:
         value = json.loads(payload.lstrip("﻿")) if payload else []
     except (ValueError, RecursionError):
         return []
-    return value if isinstance(value, list) else [value]
+    return [r for r in (value if isinstance(value, list) else [value]) if isinstance(r, dict)]
 
 
 _LAYOUTS = pa.schema([("export_id", pa.int64()), ("feed_id", pa.int64()), ("exported_at", pa.timestamp("us")), ("layout", pa.string()), ("profile", pa.string())])
@@ -270,7 +310,7 @@ def _read_layouts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         trees, stats = [], []
         for payload in batch.column("payload").to_pylist():
-            records = [r for r in _records(payload) if isinstance(r, dict) and r]
+            records = [r for r in _records(payload) if r]
             trees.append(json.dumps(layout(records)) if records else None)
             stats.append(json.dumps(profile(records)) if records else None)
         yield pa.RecordBatch.from_arrays([batch.column("export_id").cast(pa.int64()), batch.column("feed_id").cast(pa.int64()), batch.column("exported_at").cast(pa.timestamp("us")), pa.array(trees, pa.string()), pa.array(stats, pa.string())], schema=_LAYOUTS)
@@ -308,7 +348,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _STATES = pa.schema([("feed_id", pa.int64()), ("range", pa.int32()), ("last", pa.string()), ("types", pa.string()), ("profile", pa.string())])
-_CHANGES = pa.schema([("feed_id", pa.int64()), ("export_id", pa.int64()), ("field_before", pa.string()), ("field_after", pa.string()), ("change", pa.string())])
+_EDIT = pa.struct([("before", pa.string()), ("after", pa.string()), ("change", pa.string()), ("nested_before", pa.bool_()), ("nested_after", pa.bool_())])
+_FILES = pa.schema([("feed_id", pa.int64()), ("range", pa.int32()), ("export_id", pa.int64()), ("edits", pa.list_(_EDIT)), ("fields", pa.string())])
+_FILES_SQL = "feed_id long, range int, export_id long, edits array<struct<before string, after string, change string, nested_before boolean, nested_after boolean>>, fields string"
 
 
 def _with_types(tree: dict, types: dict[str, list]) -> dict:
@@ -322,22 +364,35 @@ def _with_types(tree: dict, types: dict[str, list]) -> dict:
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edits of each file of a feed and range; the first row of a group is the state that it starts from."""
-    for (feed, _), rows in groupby(_rows(batches), key=lambda r: r[:2]):
+    """Edits and quantities of each file of a feed and range; the first row of a group is the state that it starts from.
+
+    A quantity is named by the file in which it came up and its path there, or by
+    its path in the last file before the range (a name that starts with STEP).
+    """
+    for (feed, range_), rows in groupby(_rows(batches), key=lambda r: r[:2]):
         out, types = [], {}
-        last, profiles = None, {}
+        last: dict[Path, str | None] | None = None
+        profiles: dict[str, dict] = {}
+        held: dict[Path, str] = {}
         for _, _, _, export_id, text, before, earlier, stats in rows:
             if export_id is None:
-                last = json.loads(before) if before else None
+                if before:
+                    last = nodes(json.loads(before))
+                    held = {p: STEP + STEP.join(p) for p in last}
                 for known in earlier or ():
                     types.update(json.loads(known))
-                profiles = _merged(stats)
+                profiles = json.loads(stats)
                 continue
-            now = _with_types(json.loads(text), types)
+            now = nodes(_with_types(json.loads(text), types))
+            pairs, edits = {}, []
             if last is not None:
-                out += [(feed, export_id, *e) for e in edit_script(last, now, profiles)[1]]
+                pairs = pairing(last, now, profiles)[1]
+                edits = [(".".join(a), ".".join(b), c, len(a) > 1, len(b) > 1) for a, b, c in script(last, now, pairs)]
+            back = {b: a for a, b in pairs.items()}
+            held = {b: held[back[b]] if b in back else f"{export_id}{STEP}{STEP.join(b)}" for b in now}
             last = now
-        yield _batch(out, _CHANGES)
+            out.append((feed, range_, export_id, [dict(zip(("before", "after", "change", "nested_before", "nested_after"), e)) for e in edits], json.dumps([[STEP.join(p), q] for p, q in held.items()])))
+        yield _batch(out, _FILES)
 
 
 def read_layouts(exports: DataFrame) -> DataFrame:
@@ -347,76 +402,147 @@ def read_layouts(exports: DataFrame) -> DataFrame:
     return parsed.groupBy("export_id").agg(F.max(F.struct("exported_at", "feed_id", "layout", "profile")).alias("r")).select("export_id", "r.*")
 
 
-def changes(exports: DataFrame, ranges: int = 0) -> DataFrame:
-    """Every change of layout: feed_id, export_id, field_before, field_after, change.
-
-    Changes are added, removed, renamed, retyped and, under nested objects,
-    moved; nested fields have dotted paths. A re-delivered export counts once,
-    a file without readable records not at all. Files of a feed follow each
-    other by exported_at, then export_id. A field whose values are all null
-    keeps its earlier type. A large feed is cut into time ranges, each scanned
-    by a task of its own from the state that the ranges before it leave.
+def scan_feeds(exports: DataFrame, ranges: int = 0) -> DataFrame:
+    """feed_id, range, export_id, edits and fields (JSON pairs of path and quantity) of every file with records.
+
+    A large feed is cut into time ranges, each scanned by a task of its own from
+    the state that the ranges before it leave.
     """
     spark = exports.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = store(read_layouts(exports).repartitionByRange(ranges, "feed_id", "exported_at", "export_id").withColumn("range", F.spark_partition_id()), "layouts")
+    ranged = store(store(read_layouts(exports), "layouts").repartitionByRange(ranges, "feed_id", "exported_at", "export_id").withColumn("range", F.spark_partition_id()), "layouts")
     # dealt explicitly: scanning takes far more time than the few bytes of the layouts suggest
     dealt = lambda df: df.repartition(ranges, "feed_id", "range").sortWithinPartitions("feed_id", "range", "exported_at", "export_id")
     states = store(dealt(ranged).select("feed_id", "range", "exported_at", "export_id", "layout", "profile").mapInArrow(_range_states, "feed_id long, range int, last string, types string, profile string"), "states")
     before = Window.partitionBy("feed_id").orderBy("range")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     none = lambda kind: F.lit(None).cast(kind)
-    starts = states.select("feed_id", "range", none("timestamp_ntz").alias("exported_at"), none("long").alias("export_id"), none("string").alias("layout"), F.lag("last").over(before).alias("before"), F.collect_list("types").over(earlier).alias("earlier"), F.collect_list("profile").over(Window.partitionBy("feed_id")).alias("profiles"))
-    files = ranged.select("feed_id", "range", "exported_at", "export_id", "layout", none("string").alias("before"), none("array<string>").alias("earlier"), none("array<string>").alias("profiles"))
-    return dealt(starts.unionByName(files)).mapInArrow(_scan, "feed_id long, export_id long, field_before string, field_after string, change string")
+    whole = states.select("feed_id", "range", "profile").repartition(ranges, "feed_id").sortWithinPartitions("feed_id", "range").mapInArrow(_feed_profiles, "feed_id long, profile string")
+    starts = states.select("feed_id", "range", F.lag("last").over(before).alias("before"), F.collect_list("types").over(earlier).alias("earlier")).join(whole, "feed_id").select("feed_id", "range", none("timestamp_ntz").alias("exported_at"), none("long").alias("export_id"), none("string").alias("layout"), "before", "earlier", "profile")
+    files = ranged.select("feed_id", "range", "exported_at", "export_id", "layout", none("string").alias("before"), none("array<string>").alias("earlier"), none("string").alias("profile"))
+    return dealt(starts.unionByName(files)).mapInArrow(_scan, _FILES_SQL)
 
 
-def lineage(found: DataFrame, most_fields: int = 100_000) -> dict[tuple[int, str], str]:
-    """(feed, field) -> the name of its quantity: of all names that renames join within a feed, the first alphabetically of the most feeds.
+def _feed_profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The profile of each feed, its ranges' added up."""
+    out = [(feed, json.dumps(_merged(r[2] for r in rows))) for feed, rows in groupby(_rows(batches), key=lambda r: r[0])]
+    yield _batch(out, pa.schema([("feed_id", pa.int64()), ("profile", pa.string())]))
 
-    The driver holds one entry per feed and renamed field, `most_fields` at most.
+
+def changes(exports: DataFrame, ranges: int = 0) -> DataFrame:
+    """Every change of layout: feed_id, export_id, field_before, field_after, change, nested_before, nested_after.
+
+    Changes are added, removed, renamed, retyped and moved (to another parent);
+    nested fields have dotted paths and are marked. A re-delivered export counts
+    once, a file without readable records not at all. Files of a feed follow
+    each other by exported_at, then export_id. A field whose values are all null
+    keeps its earlier type.
     """
-    rows = found.filter("change = 'renamed'").select("feed_id", "field_before", "field_after").distinct().limit(most_fields + 1).collect()
-    if len(rows) > most_fields:
-        raise ValueError(f"more than {most_fields} renamed fields")
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for feed, a, b in rows:
-        root[find((feed, a))] = find((feed, b))
-    uses: dict[str, int] = {}
-    for _, name in list(root):
-        uses[name] = uses.get(name, 0) + 1
-    groups: dict = {}
-    for x in list(root):
-        groups.setdefault(find(x), []).append(x[1])
-    return {x: min(groups[find(x)], key=lambda n: (-uses[n], n)) for x in list(root)}
-
-
-def consistent_table(exports: DataFrame, found: DataFrame | None = None, number: str = "confidence") -> DataFrame:
-    """All records in one table: export_id, feed_id, exported_at, row_no, fields (map of quantity name to JSON text) and `number` as a double.
-
-    The scripts become one projection for every file: renamed keys go to their
-    quantity's name; formatted numbers, percentages and objects with a value
-    become that number. Fields that no script names keep their name.
+    e = scan_feeds(exports, ranges).select("feed_id", "export_id", F.explode("edits").alias("e"))
+    return e.select("feed_id", "export_id", F.col("e.before").alias("field_before"), F.col("e.after").alias("field_after"), F.col("e.change").alias("change"), "e.nested_before", "e.nested_after")
+
+
+def top_level_changes(found: DataFrame) -> DataFrame:
+    """The changes of records' own fields: a move into an object removes one, a move out of an object adds one."""
+    moved = F.col("change") == "moved"
+    own = found.filter(F.when(moved, ~(F.col("nested_before") & F.col("nested_after"))).otherwise(~F.col("nested_before") & ~F.col("nested_after")))
+    before = F.when(moved & F.col("nested_before"), "").otherwise(F.col("field_before"))
+    after = F.when(moved & F.col("nested_after"), "").otherwise(F.col("field_after"))
+    change = F.when(moved, F.when(F.col("nested_before"), "added").otherwise("removed")).otherwise(F.col("change"))
+    return own.select("feed_id", "export_id", before.alias("field_before"), after.alias("field_after"), change.alias("change")).distinct()
+
+
+def _starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range of a feed what its first quantities' names stand for: those of the ranges before it."""
+    out = []
+    for feed, rows in groupby(_rows(batches), key=lambda r: r[0]):
+        known: dict[str, str] = {}
+        for _, range_, fields in rows:
+            out.append((feed, range_, json.dumps(known)))
+            known = {p: known[q[1:]] if q.startswith(STEP) else q for p, q in json.loads(fields)}
+    yield _batch(out, pa.schema([("feed_id", pa.int64()), ("range", pa.int32()), ("start", pa.string())]))
+
+
+_PLACES = pa.schema([("feed_id", pa.int64()), ("export_id", pa.int64()), ("path", pa.string()), ("leaf", pa.string()), ("depth", pa.int32()), ("quantity", pa.string())])
+
+
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for feed, export_id, fields, start in _rows([batch]):
+            known = json.loads(start)
+            for p, q in json.loads(fields):
+                keys = p.split(STEP)
+                out.append((feed, export_id, p, keys[-1], len(keys), known[q[1:]] if q.startswith(STEP) else q))
+        yield _batch(out, _PLACES)
+
+
+def projections(scanned: DataFrame, number: str) -> DataFrame:
+    """export_id, projection: for each file the paths to read, the name of the quantity there and whether it is `number`.
+
+    A quantity keeps one name within its feed: of all that it had, the one of
+    the most feeds, then the first alphabetically; a later quantity of the same
+    name gets `#2` and so on. Nested fields are read on their own if their
+    quantity was ever a record's own field. A quantity is `number` if it ever had
+    that name, or a name that mostly such quantities have.
     """
-    spark = exports.sparkSession
-    names = lineage(changes(exports) if found is None else found)
-    table = spark.createDataFrame([(f, n, q) for (f, n), q in sorted(names.items())], "feed_id long, name string, quantity string")
-    by_feed = table.groupBy("feed_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "quantity"))).alias("renames"))
-    once = exports.select("export_id", "feed_id", "exported_at", "payload").dropna(subset=["export_id", "feed_id"]).groupBy("export_id").agg(F.max(F.struct("exported_at", "feed_id", "payload")).alias("r")).select("export_id", "r.*")
-    rows = once.select("export_id", "feed_id", "exported_at", F.posexplode(F.from_json("payload", "array<map<string,string>>")).alias("row_no", "raw"))
-    renamed = F.map_from_entries(F.transform(F.map_entries("raw"), lambda e: F.struct(F.coalesce(F.try_element_at("renames", e["key"]), e["key"]).alias("key"), e["value"].alias("value"))))
-    mapped = rows.join(by_feed, "feed_id", "left").withColumn("fields", F.when(F.col("renames").isNull(), F.col("raw")).otherwise(renamed))
-    aliases, grown = {number}, True
-    while grown:
-        more = {x for (_, n), q in names.items() if n in aliases or q in aliases for x in (n, q)} - aliases
-        aliases, grown = aliases | more, bool(more)
-    said = F.coalesce(*[F.try_element_at("fields", F.lit(q)) for q in sorted(aliases)])
-    plain = F.coalesce(F.get_json_object(said, "$.value"), said)
-    value = F.regexp_replace(F.regexp_replace(plain, ",", "."), "%", "").try_cast("double")
-    return mapped.select("export_id", "feed_id", "exported_at", "row_no", "fields", F.when(plain.endswith("%"), value / 100).otherwise(value).alias(number))
+    tasks = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = scanned.groupBy("feed_id", "range").agg(F.max_by("fields", F.col("place")).alias("fields"))
+    starts = last.repartition(tasks, "feed_id").sortWithinPartitions("feed_id", "range").mapInArrow(_starts, "feed_id long, range int, start string")
+    places = store(scanned.join(starts, ["feed_id", "range"]).select("feed_id", "export_id", "fields", "start").mapInArrow(_places, "feed_id long, export_id long, path string, leaf string, depth int, quantity string"), "places")
+    names = store(places.groupBy("feed_id", "quantity", "leaf").agg(F.min("depth").alias("depth"), F.min("export_id").alias("first")), "names")
+    uses = names.groupBy("leaf").agg(F.count_distinct("feed_id").alias("uses"))
+    with_number = names.withColumn("is", F.max((F.col("leaf") == number).cast("int")).over(Window.partitionBy("feed_id", "quantity")))
+    alias = with_number.groupBy("leaf").agg((F.avg("is") >= 0.5).alias("alias"))
+    of = with_number.join(uses, "leaf").join(alias, "leaf").groupBy("feed_id", "quantity").agg(F.min(F.struct(-F.col("uses"), "leaf"))["leaf"].alias("name"), F.min("depth").alias("depth"), F.min("first").alias("first"), F.max(F.col("alias") | (F.col("is") == 1)).alias("is_number")).filter("depth = 1")
+    k = F.row_number().over(Window.partitionBy("feed_id", "name").orderBy("first", "quantity"))
+    named = of.withColumn("k", k).select("feed_id", "quantity", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("#"), "k")).alias("name"), "is_number")
+    return places.join(named, ["feed_id", "quantity"]).groupBy("export_id").agg(F.sort_array(F.collect_list(F.struct("path", "name", "is_number"))).alias("projection"))
+
+
+_TABLE = pa.schema([("export_id", pa.int64()), ("feed_id", pa.int64()), ("exported_at", pa.timestamp("us")), ("row_no", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())), ("number", pa.float64())])
+
+
+def _text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        out = value
+    else:
+        out = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return None if out is None else out.encode("utf-8", "replace").decode()
+
+
+def _project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for export_id, feed, at, payload, projection in _rows([batch]):
+            paths = [(x["path"].split(STEP), x["name"], x["is_number"]) for x in projection or ()]
+            for row, record in enumerate(_records(payload)):
+                fields, value = {}, None
+                for path, name, is_number in paths:
+                    x = record
+                    for key in path[:-1]:
+                        x = x.get(key) if isinstance(x, dict) else None
+                    if isinstance(x, dict) and path[-1] in x:
+                        fields[_text(name)] = _text(x[path[-1]])
+                        if is_number and value is None:
+                            value = numeric(x[path[-1]])
+                out.append((export_id, feed, at, row, list(fields.items()), value))
+        yield _batch(out, _TABLE)
+
+
+def consistent_table(exports: DataFrame, number: str = "confidence", ranges: int = 0) -> DataFrame:
+    """All records in one table: export_id, feed_id, exported_at, row_no, fields (map of quantity name to text) and `number` as a double.
+
+    Each file is read by its own projection, which the scripts of its feed up to
+    it give: fields go to their quantity's name; formatted numbers, percentages
+    and objects with a value become that number. Every object of a readable file
+    is a row, empty ones too; unreadable files give none. Null keys are dropped,
+    a re-delivered export counts once.
+    """
+    columns = exports.select(F.col("export_id").cast("long").alias("export_id"), F.col("feed_id").cast("long").alias("feed_id"), F.col("exported_at").cast("timestamp_ntz").alias("exported_at"), "payload").dropna(subset=["export_id", "feed_id", "exported_at"])
+    once = columns.groupBy("export_id").agg(F.max(F.struct("exported_at", "feed_id", "payload")).alias("r")).select("export_id", "r.*")
+    when = columns.groupBy("export_id").agg(F.max("exported_at").alias("exported_at"))
+    scanned = store(scan_feeds(exports, ranges).select("feed_id", "range", "export_id", "fields").join(when, "export_id").withColumn("place", F.struct("exported_at", "export_id")), "scanned")
+    tasks = int(exports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = once.join(projections(scanned, number), "export_id", "left").select("export_id", "feed_id", "exported_at", "payload", "projection").repartition(tasks, "export_id")
+    return read.mapInArrow(_project, "export_id long, feed_id long, exported_at timestamp_ntz, row_no int, fields map<string,string>, number double").withColumnRenamed("number", number)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.operators.schemadrift import changes, consistent_table
+from quillgrid.operators.schemadrift import changes, consistent_table, top_level_changes
 from quillgrid.operators.smallfiles import consolidate
 from quillgrid.session import read
 
@@ -19,12 +19,11 @@ def p1_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(read(spark, sf_dir, "result_exports"))
+    return changes(read(spark, sf_dir, "result_exports")).drop("nested_before", "nested_after")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ~F.col("field_before").contains(".") & ~F.col("field_after").contains(".") & (F.col("change") != "moved")
-    return p5_changes(spark, sf_dir).filter(top).select("export_id", "field_before", "field_after", "change").distinct()
+    return top_level_changes(changes(read(spark, sf_dir, "result_exports"))).select("export_id", "field_before", "field_after", "change")
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:

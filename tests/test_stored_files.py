@@ -107,7 +107,7 @@ def test_null_only_fields_keep_their_type_and_redelivery_counts_once(spark):
     df = _exports(spark, '[{"confidence": 0.5}]', '[{"confidence": null}]', '[{"confidence": 0.7}]', '[{"confidence": "0.7"}]', "broken", '[{"confidence": "0.9", "text": "x y"}]', None, "[]")
     df = df.unionAll(df.filter("export_id = 97"))
     for ranges in (1, 3):
-        got = {tuple(r)[1:] for r in sd.changes(df, ranges).collect()}
+        got = {tuple(r)[1:5] for r in sd.changes(df, ranges).collect()}
         assert got == {(97, "confidence", "confidence", "retyped"), (95, "", "text", "added")}
     assert sd.changes(_exports(spark)).count() == 0
 
@@ -117,6 +117,68 @@ def test_consistent_table(spark):
     assert [r.confidence for r in sd.consistent_table(df).orderBy("exported_at").collect()] == [0.5, 0.6, 0.7, 0.8]
 
 
+def _least_cost(before, after, profiles):
+    """The cost of the best matching by trying all, for one level of fields."""
+    x, y = sd.nodes(before), sd.nodes(after)
+    kept = {p for p in x if p in y and not sd._retyped(x[p], y[p])}
+    gone, new = sorted(x.keys() - kept), sorted(y.keys() - kept)
+    best = 1e9
+    for r in range(min(len(gone), len(new)) + 1):
+        for left in itertools.combinations(gone, r):
+            for right in itertools.permutations(new, r):
+                cost = sd.REMOVE * (len(gone) - r) + sd.ADD * (len(new) - r)
+                for a, b in zip(left, right):
+                    far = sd.value_distance(profiles.get(a[0]), profiles.get(b[0]))
+                    c = 0.0 if a == b else 0.6 * far + 0.4 * sd.name_distance(a[0], b[0]) + 0.01
+                    cost += (c if c < sd.RENAMED_BELOW else 99) + sd.RETYPE * sd._retyped(x[a], y[b])
+                best = min(best, cost)
+    return best
+
+
+def test_scripts_are_of_least_cost():
+    rng = random.Random(3)
+    values = [0.5, 7, "a b", "x-1", [1, 2], [[1, 2], [3, 4]], True]
+    for _ in range(60):
+        before, after = ([{rng.choice(["conf", "confidence", "text", "label", "box", "n"]): rng.choice(values) for _ in range(3)} for _ in range(2)] for _ in range(2))
+        p = {}
+        for rows in (before, after):
+            for name, x in sd.profile(rows).items():
+                p[name] = sd.merge_profiles(p[name], x) if name in p else x
+        x, y = sd.layout(before), sd.layout(after)
+        assert sd.edit_script(x, y, p)[0] == pytest.approx(_least_cost(x, y, p))
+
+
+def test_moves_and_nested_renames():
+    assert _script([{"confidence": 0.5, "t": "a b"}], [{"ocr": {"confidence": 0.7}, "t": "a b"}]) == {("confidence", "ocr.confidence", "moved"), ("", "ocr", "added")}
+    assert _script([{"a": {"score": 0.5, "n": 3}}], [{"a": {"certainty": 0.7, "n": 3}}]) == {("a.score", "a.certainty", "renamed")}
+    assert _script([{"a": {"score": 0.5}}], [{"a": {"score": "0.5"}}]) == {("a.score", "a.score", "retyped")}
+    assert _script([{"a.b": 0.5}], [{"a.b": "x y"}]) == {("a.b", "a.b", "retyped")}
+
+
+def test_top_level_side_of_a_move_counts(spark):
+    df = _exports(spark, '[{"confidence": 0.5, "t": "a b"}]', '[{"ocr": {"confidence": 0.7}, "t": "a b"}]', '[{"confidence": 0.7, "ocr": {"n": "z z"}, "t": "a b"}]')
+    got = {tuple(r)[1:] for r in sd.top_level_changes(sd.changes(df)).collect()}
+    assert got == {(99, "confidence", "", "removed"), (99, "", "ocr", "added"), (98, "", "confidence", "added")}
+
+
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_every_readable_record_is_in_the_table(spark, ranges):
+    df = _exports(spark, '[{"confidence": 0.5}, {}]', '﻿[{"conf": 0.6}]', '{"conf": 0.7}', '[{"conf": 0.8}, 7, null]', "broken", None, "[]", '[{"conf": 0.9, "confidence": "new words"}]')
+    got = sd.consistent_table(df.unionAll(df), ranges=ranges).orderBy("exported_at", "row_no").collect()
+    assert [r.confidence for r in got] == [0.5, None, 0.6, 0.7, 0.8, 0.9] and len(got) == sum(len(sd._records(r.payload)) for r in df.collect())
+    # a field that takes the name which another one left is a quantity of its own
+    assert got[-1].fields == {"confidence": "0.9", "confidence#2": "new words"} or got[-1].fields == {"conf": "0.9", "confidence": "new words"}
+
+
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_values_follow_moves(spark, ranges):
+    df = _exports(spark, '[{"confidence": 0.5, "t": "a b"}]', '[{"ocr": {"confidence": 0.7}, "t": "a b"}]', '[{"ocr": {"confidence": "80%"}, "t": null}]', '[{"certainty": {"value": 0.9}, "t": "c d"}]')
+    got = sd.consistent_table(df, ranges=ranges).orderBy("exported_at").collect()
+    assert [r.confidence for r in got][:3] == [0.5, 0.7, 0.8]
+    assert [r.fields["t"] for r in got] == ["a b", "a b", None, "c d"]
+    assert sd.consistent_table(df.limit(0)).count() == 0
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "mappings.json").write_text('[{"label": "a", "field_line": {"start": [1, 2], "end": [3, 2]}, "distance": 4.5}, 7]')
     got = artifacts.upgraded_mappings(artifacts.json_array(spark, str(tmp_path / "mappings.json"), artifacts.MAPPING)).collect()
