@@ -1,9 +1,10 @@
 """Consolidating very many tiny files: Hilbert-curve clustering into few well-sized ones.
 
 Records are read whole from every stored layout, the newest version of each is
-kept, and a Hilbert code over time, run and text places similar records side
-by side. An exact histogram of the codes cuts the curve into files of equal
-size; what was written is compared with its source by row digests.
+kept, and a Hilbert code over the quantiles of time, run and text places
+similar records side by side. Running sums over the exact histogram of the
+codes cut the curve into files of equal size; what was written is compared with
+its source by row digests.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.session import shared_dir, store
+from quillgrid.session import note, shared_dir, store
 
 _decode = json.JSONDecoder().raw_decode
 
@@ -118,16 +119,6 @@ def hilbert_codes(axes: np.ndarray, bits: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-def hilbert_column(axes: list[Column], bits: int) -> Column:
-    """The Hilbert code of integer columns in 0 .. 2^bits - 1."""
-
-    @F.pandas_udf("long")
-    def code(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_codes(frame.to_numpy(dtype=np.int64), bits))
-
-    return code(F.struct(*[a.cast("long").alias(f"a{k}") for k, a in enumerate(axes)]))
-
-
 @dataclass
 class Consolidated:
     """The written store: the table, its path, its number of files, its rows and the digest that both sides share."""
@@ -144,58 +135,101 @@ def _digest(table: DataFrame) -> list[Column]:
     return [F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("digest"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor")]
 
 
-def cut_curve(cells: list[tuple[int, int]], file_bytes: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(cell, first file, number of files) for cells in curve order, and the number of files.
+def _axes(low: int) -> list[Column]:
+    """What the curve runs over, as longs: time, run, and the beginning of the text."""
+    time = F.coalesce(F.unix_micros(F.col("written_at").cast("timestamp")), F.lit(low))
+    text = F.conv(F.substring(F.hex(F.rpad(F.lower(F.trim(F.coalesce("name", F.lit("")))), 7, " ")), 1, 14), 16, 10).cast("long")
+    return [time.cast("long").alias("time"), F.xxhash64("run_id").alias("run"), text.alias("text")]
 
-    Neighbouring cells share a file up to file_bytes; a cell above that gets
-    files of its own, over which its rows are dealt by hash.
-    """
-    out: list[tuple[int, int, int]] = []
-    file, used = 0, 0
-    for cell, size in cells:
-        if size > file_bytes:
-            if used:
-                file, used = file + 1, 0
-            n = -(-size // file_bytes)
-            out.append((cell, file, n))
-            file += n
-            continue
-        if used and used + size > file_bytes:
-            file, used = file + 1, 0
-        out.append((cell, file, 1))
-        used += size
-    return out, max(1, file + (1 if used else 0))
+
+def _codes(frame: pd.DataFrame, cuts: list[np.ndarray], bits: int) -> np.ndarray:
+    """Hilbert codes of rows whose axes are replaced by their place among the cuts."""
+    ranks = np.stack([np.searchsorted(c, frame.iloc[:, k].to_numpy(np.int64), side="right") for k, c in enumerate(cuts)], axis=1)
+    return hilbert_codes(np.minimum(ranks, (1 << bits) - 1).astype(np.int64), bits)
 
 
-def consolidate(files: DataFrame, path: str | None = None, file_bytes: int = 128 << 20, bits: int = 10, cell_bits: int = 16) -> Consolidated:
+@dataclass
+class Cuts:
+    """Where files begin on the curve, and the codes that alone fill more than a file; at most two entries a file."""
+
+    starts: np.ndarray  # the first code of each file that begins with one
+    files: np.ndarray
+    hot: np.ndarray  # sorted codes
+    before: np.ndarray  # bytes before them
+    size: np.ndarray
+    file_bytes: int
+
+    def file_of(self, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The file of each row: that in which its code begins; a hot code's rows go over its stretch by their hash."""
+        out = self.files[np.searchsorted(self.starts, codes, side="right") - 1].copy()
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, codes), len(self.hot) - 1)
+            rows = np.flatnonzero(self.hot[at] == codes)
+            k = at[rows]
+            share = (hashes[rows].astype(np.uint64) >> np.uint64(44)).astype(np.float64) / (1 << 20)
+            out[rows] = (self.before[k] + (share * self.size[k]).astype(np.int64)) // self.file_bytes
+        return out
+
+
+def cut_curve(histogram: DataFrame, file_bytes: int, ranges: int) -> tuple[Cuts, int]:
+    """Cuts and the number of files for (code, bytes): code by code in order, a file begins where the bytes before pass a multiple of file_bytes.
+
+    The driver sees the ranges' totals and the codes that begin a file or are hot.
+    """
+    ranged = store(histogram.repartitionByRange(ranges, "code").withColumn("range", F.spark_partition_id()), "histogram")
+    offsets, total = [], 0
+    for range_, n in sorted(ranged.groupBy("range").agg(F.sum("bytes")).collect()):
+        offsets.append((range_, total))
+        total += n
+    if not total:
+        return Cuts(*[np.zeros(k, np.int64) for k in (1, 1, 0, 0, 0)], file_bytes), 1
+    inside = Window.partitionBy("range").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    table = ranged.sparkSession.createDataFrame(offsets, "range int, offset long")
+    placed = ranged.join(F.broadcast(table), "range").withColumn("before", F.col("offset") + F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    placed = placed.withColumn("file", F.floor(F.col("before") / file_bytes).cast("long"))
+    first = placed.groupBy("file").agg(F.min("code").alias("code")).select("code", "file", F.lit(-1).cast("long").alias("before"), F.lit(0).cast("long").alias("bytes"))
+    hot = placed.filter(F.col("bytes") > file_bytes).select("code", "file", "before", "bytes")
+    rows = sorted(tuple(r) for r in first.unionByName(hot).collect())
+    starts, heavy = [r for r in rows if r[2] < 0], [r for r in rows if r[2] >= 0]
+    column = lambda part, k: np.array([r[k] for r in part], np.int64)
+    return Cuts(column(starts, 0), column(starts, 1), column(heavy, 0), column(heavy, 2), column(heavy, 3), file_bytes), (total - 1) // file_bytes + 1
+
+
+def consolidate(files: DataFrame, path: str | None = None, file_bytes: int = 128 << 20, bits: int = 10) -> Consolidated:
     """Writes the newest version of every whole record into few Parquet files of about `file_bytes` of text each.
 
     Columns of the store: run_id, artifact, item_idx, name (result.text or
-    mappings.label), body (the record), written_at, file_id, code. Raises if
-    the digests of source and store differ. An empty table gives an empty store.
-    The histogram has at most 2^cell_bits cells, whatever the input.
+    mappings.label), body (the record), written_at, file_id, code. Files follow
+    each other on the curve and share at most one code, a code is parted only if
+    it alone fills more than a file. Raises if the digests of source and store
+    differ. An empty table gives an empty store. Without a path the store lies in
+    the shared folder and is removed with the other intermediate tables.
     """
     spark = files.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = store(newest_records(files), "records")
-    low, high = records.agg(F.min(F.unix_micros(F.col("written_at").cast("timestamp"))), F.max(F.unix_micros(F.col("written_at").cast("timestamp")))).first()
-    top = (1 << bits) - 1
-    time = F.coalesce(F.unix_micros(F.col("written_at").cast("timestamp")), F.lit(low or 0))
-    axes = [
-        F.least(F.lit(top), F.floor((time - F.lit(low or 0)) / F.lit(max(1, ((high or 0) - (low or 0)) // (top + 1) + 1)))),
-        F.shiftrightunsigned(F.xxhash64("run_id"), 64 - bits),
-        F.coalesce(F.least(F.lit(top), F.conv(F.substring(F.hex(F.rpad(F.lower(F.trim("name")), 4, " ")), 1, 4), 16, 10).cast("long") * top / 65535).cast("long"), F.lit(0)),
-    ]
-    dims = len(axes)
-    coded = records.withColumn("code", hilbert_column(axes, bits))
-    coded = store(coded, "coded")
-    cell = F.shiftright("code", max(0, dims * bits - cell_bits)).cast("int")
-    histogram = coded.groupBy(cell.alias("cell")).agg(F.sum(F.length("body") + 64).alias("bytes")).orderBy("cell").collect()
-    plan, n_files = cut_curve([(r["cell"], r["bytes"]) for r in histogram], file_bytes)
-    path = path or f"{shared_dir(spark)}/quillgrid/consolidated-{uuid.uuid4().hex}"
-    cuts = spark.createDataFrame(plan, "cell int, first int, width int")
-    placed = coded.withColumn("cell", cell).join(F.broadcast(cuts), "cell")
-    file = (F.col("first") + F.pmod(F.xxhash64("run_id", "artifact", "item_idx"), F.col("width"))).cast("int")
-    placed.withColumn("_file", file).repartitionById(n_files, "_file").sortWithinPartitions("code", "run_id", "artifact", "item_idx").drop("cell", "first", "width", "_file").write.option("compression", "zstd").parquet(path)
+    low = records.agg(F.min(F.unix_micros(F.col("written_at").cast("timestamp")))).first()[0] or 0
+    axes = _axes(low)
+    steps = F.array(*[F.lit(k / (1 << bits)) for k in range(1, 1 << bits)])
+    cuts = [np.array(c or [], np.int64) for c in records.select(*axes).agg(*[F.percentile_approx(n, steps, F.lit(10 << bits)).alias(n) for n in ("time", "run", "text")]).first()]
+
+    @F.pandas_udf("long")
+    def code(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series(_codes(frame, cuts, bits))
+
+    coded = records.withColumn("code", code(F.struct(*axes)))
+    place, n_files = cut_curve(coded.groupBy("code").agg(F.sum(F.length("body") + F.lit(64)).cast("long").alias("bytes")), file_bytes, tasks)
+    place_b = spark.sparkContext.broadcast(place)
+
+    @F.pandas_udf("int")
+    def file_of(codes: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(place_b.value.file_of(codes.to_numpy(np.int64), hashes.to_numpy(np.int64)).astype(np.int32))
+
+    if not path:
+        path = f"{shared_dir(spark)}/quillgrid/consolidated-{uuid.uuid4().hex}"
+        note(spark, path)
+    placed = coded.withColumn("_file", file_of("code", F.xxhash64("run_id", "artifact", "item_idx")))
+    placed.repartitionById(n_files, "_file").sortWithinPartitions("code", "run_id", "artifact", "item_idx").drop("_file").write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(coded.schema).parquet(path)
     source, written = records.agg(*_digest(records)).first(), table.agg(*_digest(table)).first()
     if tuple(source) != tuple(written):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,15 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster[...] has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
-        _note(spark, base)
+        note(spark, base)
     return base.rstrip("/")
 
 
-def _note(spark: SparkSession, path: str) -> None:
+def note(spark: SparkSession, path: str) -> None:
+    """Has release() remove the path."""
     _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
 
 
@@ -58,5 +60,5 @@ def store(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgrid/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _note(spark, path)
+    note(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -40,10 +40,37 @@ def test_hilbert_curve_visits_neighbours(dims, bits):
     assert (np.abs(np.diff(along, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_cut_curve_splits_hot_cells():
-    plan, n = sm.cut_curve([(0, 10), (1, 95), (2, 250), (3, 5)], 100)
-    assert plan == [(0, 0, 1), (1, 1, 1), (2, 2, 3), (3, 5, 1)] and n == 6
-    assert sm.cut_curve([], 100) == ([], 1)
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_cut_curve_parts_only_hot_codes(spark, ranges):
+    sizes = {0: 10, 1: 85, 7: 250, 8: 5, 9: 60, 12: 60}
+    cuts, n = sm.cut_curve(spark.createDataFrame(list(sizes.items()), "code long, bytes long"), 100, ranges)
+    assert n == 5
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 4000)
+    files = {c: sorted(set(cuts.file_of(np.full(4000, c), hashes).tolist())) for c in sizes}
+    assert files == {0: [0], 1: [0], 7: [0, 1, 2, 3], 8: [3], 9: [3], 12: [4]}
+    assert np.bincount(cuts.file_of(np.full(4000, 7), hashes))[[1, 2]] == pytest.approx(1600, rel=0.15)
+    assert sm.cut_curve(spark.createDataFrame([], "code long, bytes long"), 100, ranges)[1] == 1
+
+
+@pytest.mark.parametrize("same", [0.0, 0.9])
+def test_files_share_at_most_one_code(spark, same):
+    rng = random.Random(4)
+    rows = []
+    for k in range(1500):
+        hot = rng.random() < same
+        text = "same words" if hot else f"{rng.choice('abcdefghij')}{rng.random()}"
+        at = T if hot else T + dt.timedelta(minutes=rng.randrange(5000))
+        rows.append((k, "p", "run0" if hot else f"run{rng.randrange(40)}", "result", 1, at, 0, json.dumps([{"item_idx": k, "text": text}])))
+    done = sm.consolidate(spark.createDataFrame(rows, FILES), file_bytes=8_000)
+    got = [tuple(r) for r in done.table.selectExpr("input_file_name()", "code", "length(body) + 64").collect()]
+    files, sizes = {}, {}
+    for f, c, n in got:
+        files.setdefault(f, set()).add(c)
+        sizes[f] = sizes.get(f, 0) + n
+    spans = sorted((min(c), max(c)) for c in files.values())
+    assert len(got) == 1500 and len(spans) > 10
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert max(sizes.values()) < 1.6 * 8_000
 
 
 def test_consolidation_keeps_every_record_once(spark):
