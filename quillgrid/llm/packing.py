@@ -2,7 +2,7 @@
 
 Each partition measures its documents in tokens and packs them best-fit,
 largest first. Nearly full bins are closed; underfull bins become items of a
-next round, in which fewer tasks pack them again, until they stop merging.
+next round, in which half as many tasks pack them again, down to one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.session import store
@@ -25,15 +25,17 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 _encoders: dict[str, object] = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a worker process, loaded once."""
+def encoder(path: str, content: bytes | None = None):
+    """The tokenizer of a worker process, made once from the vocabulary's content (on the driver, from the file)."""
     if path not in _encoders:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        if content is None:
+            with open(path, "rb") as f:
+                content = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
         _encoders[path] = tiktoken.Encoding("packing", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
@@ -70,13 +72,13 @@ def _rows(kind: str, item, piece, pieces, tokens, bins) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(item)), pa.array(item, pa.int64()), pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), pa.array(tokens, pa.int64()), pa.array(bins, pa.int64())], schema=_PIECES)
 
 
-def _pack_documents(capacity: int, vocabulary: str):
+def _pack_documents(capacity: int, vocabulary: str, content_b):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         sizes: list[int] = []
         encode = None
         for batch in batches:
-            encode = encode or encoder(vocabulary).encode_ordinary
+            encode = encode or encoder(vocabulary, content_b.value).encode_ordinary
             ids += batch.column(0).to_pylist()
             sizes += [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
         partition, n = TaskContext.get().partitionId(), 0
@@ -121,7 +123,7 @@ def _pack_bins(capacity: int, round_: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, nearly_full: float = 0.98, items_per_task: int = 100_000, rounds: int = 6) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, nearly_full: float = 0.98, items_per_task: int = 100_000, most_items: int = 2_000_000) -> DataFrame:
     """Packs documents into containers of `capacity` tokens.
 
     One row per piece: doc_id, piece (from 0), pieces, tokens, container,
@@ -131,36 +133,63 @@ def pack(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", text_col
     equal ids or texts are items of their own; a null id is kept. Other columns
     are ignored. An empty table gives no rows.
 
-    A round ends the job when it merges away under 2 % of the underfull bins,
-    or after `rounds`; a task packs about `items_per_task` bins, so none grows
-    with the input.
+    Underfull bins are packed by about `items_per_task` to a task, then by half
+    as many tasks, and so on down to one. Where one task would get more than
+    `most_items` (bins that nothing fits in stay as they are), tasks stop
+    halving, rounds end when nothing merges any more, and a last one brings
+    together what is at most half full, which best-fit leaves one of in a task:
+    in the end one container at most is.
     """
+    spark = docs.sparkSession
+    with open(vocabulary, "rb") as f:
+        content_b = spark.sparkContext.broadcast(f.read())
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = store(source.mapInArrow(_pack_documents(capacity, vocabulary), "kind string, item long, piece int, pieces int, tokens long, bin long"), "pack")
+    out = store(source.mapInArrow(_pack_documents(capacity, vocabulary, content_b), "kind string, item long, piece int, pieces int, tokens long, bin long"), "pack")
     pieces = out.filter("kind = 'piece'").select(F.col("item").alias("doc_id"), "piece", "pieces", "tokens", "bin")
-    bins = out.filter("kind = 'bin'").select("bin", F.col("tokens").alias("fill"))
-    open_bins = bins.filter(F.col("fill") < int(nearly_full * capacity))
-    moves: list[DataFrame] = []
-    n = open_bins.count()
-    for r in range(1, rounds + 1):
-        if n < 2:
+    room = F.col("fill") < int(nearly_full * capacity)
+    open_bins = out.filter("kind = 'bin'").select("bin", F.col("tokens").alias("fill")).filter(room)
+    chain: DataFrame | None = None
+
+    def merge(round_: int, bins: DataFrame, tasks: int) -> tuple[DataFrame, int]:
+        """One round over the bins: the moves so far with it, and how many bins it saved."""
+        dealt = bins.repartition(tasks, F.xxhash64("bin", F.lit(round_))) if tasks > 1 else bins.coalesce(1)
+        moved = store(dealt.mapInArrow(_pack_bins(capacity, round_), "old long, bin long, tokens long"), "pack")
+        rows, made = moved.agg(F.count("*"), F.count_distinct("bin")).first()
+        return moved, rows - made
+
+    n, round_ = open_bins.count(), 0
+    tasks = max(1, math.ceil(n / items_per_task))
+    while n > 1:
+        round_ += 1
+        moved, saved = merge(round_, open_bins, tasks)
+        chain = _followed(chain, moved)
+        open_bins = moved.groupBy("bin").agg(F.first("tokens").alias("fill")).filter(room)
+        n = open_bins.count()
+        if tasks == 1:
             break
-        tasks = max(1, math.ceil(n / items_per_task))
-        dealt = open_bins.repartition(tasks, F.xxhash64("bin", F.lit(r))) if tasks > 1 else open_bins.coalesce(1)
-        moved = store(dealt.mapInArrow(_pack_bins(capacity, r), "old long, bin long, tokens long"), "pack")
-        moves.append(moved)
-        now = moved.groupBy("bin").agg(F.first("tokens").alias("fill"))
-        open_bins = now.filter(F.col("fill") < int(nearly_full * capacity))
-        made = moved.agg(F.count_distinct("bin")).first()[0]
-        n, before = open_bins.count(), n
-        if made > 0.98 * before:
+        fewer = max(1, tasks // 2, math.ceil(n / most_items))
+        if fewer >= tasks and not saved:
+            chain = _followed(chain, merge(round_ + 1, open_bins.filter(F.col("fill") <= capacity // 2), 1)[0])
             break
+        tasks = min(tasks, fewer)
     placed = pieces.withColumnRenamed("bin", "at")
-    for moved in moves:
-        step = moved.select(F.col("old").alias("at"), F.col("bin").alias("to"))
-        placed = placed.join(step, "at", "left").withColumn("at", F.coalesce("to", "at")).drop("to")
-    fills = placed.groupBy("at").agg(F.sum("tokens").alias("container_tokens"))
-    return placed.join(fills, "at").select("doc_id", "piece", "pieces", "tokens", F.col("at").alias("container"), "container_tokens")
+    if chain is not None:
+        placed = placed.join(chain.select(F.col("old").alias("at"), F.col("bin").alias("to")), "at", "left").withColumn("at", F.coalesce("to", "at"))
+    return placed.select("doc_id", "piece", "pieces", "tokens", F.col("at").alias("container"), F.sum("tokens").over(Window.partitionBy("at")).alias("container_tokens"))
+
+
+def _followed(chain: DataFrame | None, moved: DataFrame) -> DataFrame:
+    """old, bin: where each underfull bin is after one more round."""
+    step = moved.select(F.col("old").alias("_from"), F.col("bin").alias("_to"))
+    if chain is None:
+        return moved.select("old", "bin")
+    return store(chain.join(step, chain["bin"] == step["_from"], "left").select("old", F.coalesce("_to", "bin").alias("bin")), "pack")
+
+
+def fill_report(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row: containers, tokens, the fewest containers that could hold them, and the share of the containers' room that is used."""
+    total = packed.agg(F.count_distinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return total.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("fewest"), F.when(F.col("containers") > 0, F.col("tokens") / (F.col("containers") * capacity)).alias("fill"))
 
 
 def split_documents(docs: DataFrame, **options) -> DataFrame:

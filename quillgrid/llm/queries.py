@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.canonical import Wording, map_to_entries, unmatched_values
 from quillgrid.llm.leak import leaks
-from quillgrid.llm.packing import pack, split_documents
+from quillgrid.llm.packing import fill_report, pack, split_documents
 from quillgrid.llm.quantiles import latest, percentiles, value_counts
 from quillgrid.llm.reading import reading_levels
 from quillgrid.llm.terms import marked_terms, text_records
@@ -76,6 +76,10 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(pack(read(spark, sf_dir, "documents")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -85,7 +89,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_percentiles, p4_found, p4_phrases, p6_found, p6_containers, p7_found, p8_found)}
+    return {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_percentiles, p4_found, p4_phrases, p6_found, p6_containers, p6_fill, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -67,6 +67,23 @@ def test_packing_of_nothing_and_of_unmergeable_items(spark):
     assert len({r.container for r in got}) == 50
 
 
+@pytest.mark.parametrize("options", [{}, {"items_per_task": 7}, {"items_per_task": 5, "most_items": 9}])
+def test_packing_merges_down_to_one_half_full_container(spark, options):
+    rng = random.Random(13)
+    df = spark.createDataFrame([(k, "word " * rng.choice([3, 9, 20, 33, 40])) for k in range(400)], "doc_id long, text string").repartition(12)
+    got = pk.pack(df, capacity=64, **options)
+    fill = {r.container: r.container_tokens for r in got.collect()}
+    assert sum(r.tokens for r in got.collect()) == sum(fill.values()) and max(fill.values()) <= 64
+    assert sum(f <= 32 for f in fill.values()) <= 1
+    report = pk.fill_report(got, 64).first()
+    assert report.containers == len(fill) and report.fewest == -(-sum(fill.values()) // 64) and 0.7 < report.fill <= 1
+
+
+def test_test_tables_are_packed_tightly(spark):
+    report = q.p6_fill(spark, "/root/testdata/sf0.01").first()
+    assert report.fill > 0.99 and report.containers <= report.fewest + 3
+
+
 # leaks
 
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "pa", "re", "si") for b in ("d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v")]
