@@ -139,8 +139,8 @@ def candidate_region(lines: DataFrame, regions: DataFrame) -> DataFrame:
     return hit.groupBy("page_id", "line_idx").agg(F.min(F.struct("region_idx", "type")).alias("r")).select("page_id", "line_idx", F.col("r.type").alias("region_type"))
 
 
-def pair_features(lay: Layout, label_rows: DataFrame) -> DataFrame:
-    """Every label with every line of its page, with geometric and structural features (4 decimals)."""
+def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """Every label with every line of its page, or with those of its pool, with geometric and structural features (4 decimals)."""
     m = lay.metrics.select("page_id", "page_width", "row_tolerance", "multiline_band_gap", "column_tolerance", "avg_line_length", "band_tolerance")
     a = label_rows.select("page_id", "item_idx", "text", "confidence", "column_split", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
     ap = lay.placed_labels.select("page_id", "item_idx", *[F.col(c).alias(f"a_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "zone_x2")])
@@ -148,7 +148,9 @@ def pair_features(lay: Layout, label_rows: DataFrame) -> DataFrame:
     bp = lay.placed_lines.select("page_id", "line_idx", "excluded", *[F.col(c).alias(f"b_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "is_primary")])
     o = lay.owned.select("page_id", "label_zone", "field_zone", F.col("confidence").alias("_oc"))
     # the ownership of a pair of zones is unique, of a label zone too; a missing side is a wildcard
-    pairs = a.join(ap, ["page_id", "item_idx"]).join(b.join(bp, ["page_id", "line_idx"]), "page_id").join(m, "page_id")
+    left, right = a.join(ap, ["page_id", "item_idx"]), b.join(bp, ["page_id", "line_idx"])
+    pairs = left.join(right, "page_id") if pool is None else pool.join(left, ["page_id", "item_idx"]).join(right, ["page_id", "line_idx"])
+    pairs = pairs.join(m, "page_id")
     by_label = o.select("page_id", F.col("label_zone").alias("a_zone"), F.col("field_zone").alias("_of"), F.col("_oc").alias("_o1"))
     by_field = o.groupBy("page_id", F.col("field_zone").alias("b_zone")).agg(F.max("_oc").alias("_o2"))
     any_zone = o.groupBy("page_id").agg(F.max("_oc").alias("_o3"))
@@ -187,13 +189,13 @@ def pair_features(lay: Layout, label_rows: DataFrame) -> DataFrame:
     return f.select(*keep, *[g.round_to(v, 4).alias(k) for k, v in out.items()])
 
 
-def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Scores of all pairs before any line is assigned: local, global and candidate score, flags of rejection and the parts they need."""
+def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT, pool: DataFrame | None = None) -> DataFrame:
+    """Scores of all pairs, or of those in the labels' pools, before any line is assigned: local, global and candidate score, flags of rejection and the parts they need."""
     from quillgrid.operators.lines import table_groups
 
     m = lay.metrics.select("page_id", "avg_text_width", "row_tolerance", "column_tolerance")
     tables = table_groups(lay.lines, c).select("page_id", "line_idx").withColumn("_table", F.lit(True))
-    f = pair_features(lay, label_rows).join(m, "page_id").join(local_metrics(lay.items, lay.lines), "page_id").join(tables, ["page_id", "line_idx"], "left")
+    f = pair_features(lay, label_rows, pool).join(m, "page_id").join(local_metrics(lay.items, lay.lines), "page_id").join(tables, ["page_id", "line_idx"], "left")
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     horizontal = g.clamp01(1 - F.abs(dx) / F.greatest(F.col("avg_text_width") * 2, F.lit(100.0)))
     vertical = g.clamp01(1 - F.abs(dy) / F.greatest(F.col("row_tolerance") * 1.6, F.lit(1.0)))
@@ -267,15 +269,13 @@ def _class_of(score: float, second: float | None, rejected: bool) -> str:
 
 
 class _Page:
-    """One page's pairs, sorted by item: columns as arrays, lines in order of height."""
+    """One page: its pooled pairs, sorted by item, as columns; its lines in order of height, its labels' centres and its blocks."""
 
-    def __init__(self, columns: dict[str, np.ndarray], blocks: list[dict] | None, c: Config):
+    def __init__(self, columns: dict[str, np.ndarray], lines: list[dict], texts: list[dict], blocks: list[dict] | None, c: Config):
         self.c, self.col = c, columns
-        _, first = np.unique(columns["line_idx"], return_index=True)
-        first = first[np.lexsort((columns["line_idx"][first], columns["b_cx"][first], columns["b_cy"][first]))]
-        self.lines = {int(columns["line_idx"][k]): tuple(float(columns[n][k]) for n in ("b_cy", "b_cx", "sx", "sy", "length")) for k in first}
+        self.lines = {x["line_idx"]: (x["cy"], x["cx"], float(x["sx"]), float(x["sy"]), x["length"]) for x in sorted(lines, key=lambda x: (x["cy"], x["cx"], x["line_idx"]))}
         self.starts = np.flatnonzero(np.r_[True, columns["item_idx"][1:] != columns["item_idx"][:-1]])
-        self.texts = list(zip(columns["a_cx"][self.starts].tolist(), columns["a_cy"][self.starts].tolist()))
+        self.texts = [(x["cx"], x["cy"]) for x in texts]
         self.blocks = [(b["x"], b["y"], b["x"] + b["width"], b["y"] + b["height"]) for b in blocks or ()]
         self.taken: set[int] = set()
 
@@ -313,9 +313,7 @@ class _Page:
     def assign(self) -> Iterator[tuple]:
         col = self.col
         for a, b in zip(self.starts, np.r_[self.starts[1:], len(col["item_idx"])]):
-            rows = np.arange(a, b)[col["pooled"][a:b]]
-            if not len(rows):
-                continue
+            rows = np.arange(a, b)
             line = col["line_idx"][rows]
             hit = np.array([int(k) in self.taken for k in line])
             score = np.where(hit, col["penalised_score"][rows], col["candidate_score"][rows])
@@ -329,19 +327,24 @@ class _Page:
             yield int(col["item_idx"][k]), k, int(line[best]), ",".join(map(str, group)), len(group), float(score[best]), kind, float(col["distance"][k]), len(rows)
 
 
-_NUMBERS = ["item_idx", "line_idx", "length", "sx", "sy", "column_split", "a_cx", "a_cy", "b_cx", "b_cy", "lh", "multiline_gap", "indent_tolerance", "rejected", "candidate_score", "penalised_score", "distance", "pooled"]
+_NUMBERS = ["item_idx", "line_idx", "column_split", "b_cx", "b_cy", "lh", "multiline_gap", "indent_tolerance", "rejected", "candidate_score", "penalised_score", "distance"]
 
 
 def _assign_pages(c: Config):
     def pages(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
         page = table.column("page_id").to_numpy()
-        columns = {n: table.column(n).to_numpy() for n in _NUMBERS}
-        text, blocks = table.column("text"), table.column("blocks")
         cuts = np.flatnonzero(np.r_[True, page[1:] != page[:-1], True])
+        heads = cuts[:-1]  # a page's first row holds what all its labels share, the rest are pairs
+        columns = {n: table.column(n).to_numpy() for n in _NUMBERS}
+        text = table.column("text")
         out = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            for item, k, *rest in _Page({n: v[a:b] for n, v in columns.items()}, blocks[int(a)].as_py(), c).assign():
-                out.append((int(page[a]), item, text[int(a + k)].as_py(), *rest))
+        for a, b in zip(heads, cuts[1:]):
+            if b == a + 1:
+                continue
+            head = [table.column(n)[int(a)].as_py() for n in ("lines", "texts", "blocks")]
+            for item, k, *rest in _Page({n: v[a + 1 : b] for n, v in columns.items()}, *head, c).assign():
+                out.append((int(page[a]), item, text[int(a + 1 + k)].as_py(), *rest))
         rows = list(zip(*out)) if out else [[]] * len(_ASSIGNED)
         return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(rows, _ASSIGNED)], schema=_ASSIGNED)
 
@@ -372,11 +375,15 @@ def assignments(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT) -> Data
     The scores are computed as columns; only this step, whose state is the set
     of taken lines, runs page by page. Unresolved labels give no row.
     """
-    scores = candidate_scores(lay, label_rows, c)
-    pool = candidate_pool(lay, label_rows).withColumn("pooled", F.lit(True))
+    label_rows = store(label_rows, "labels")
+    scores = candidate_scores(lay, label_rows, c, candidate_pool(lay, label_rows)).join(lay.metrics.select("page_id", "indent_tolerance"), "page_id")
     kept = lay.regions.filter(~F.col("type").isin("multiline_text_region", "standard_input")).groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("blocks"))
-    rows = scores.join(pool, ["page_id", "item_idx", "line_idx"], "left").withColumn("pooled", F.coalesce("pooled", F.lit(False))).join(lay.metrics.select("page_id", "indent_tolerance"), "page_id").join(kept, "page_id", "left")
-    needed = ["page_id", "item_idx", "line_idx", "text", "length", "sx", "sy", "column_split", "a_cx", "a_cy", "b_cx", "b_cy", "lh", "multiline_gap", "indent_tolerance", "rejected", "candidate_score", "penalised_score", "distance", "pooled", "blocks"]
+    lines = lay.lines.groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "cx", "cy", "sx", "sy", "length")).alias("lines"))
+    texts = label_rows.groupBy("page_id").agg(F.collect_list(F.struct("cx", "cy")).alias("texts"))
+    heads = lines.join(texts, "page_id").join(kept, "page_id", "left").withColumn("item_idx", F.lit(-1))
+    rows = scores.select("page_id", "text", *_NUMBERS).unionByName(heads, allowMissingColumns=True)
+    # a head's numbers aren't read; without nulls they stay plain arrays
+    rows = rows.select("page_id", "text", *[F.coalesce(F.col(n), F.lit(False) if n == "rejected" else F.lit(0)).alias(n) for n in _NUMBERS], "lines", "texts", "blocks")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*needed).repartition(tasks, "page_id").sortWithinPartitions("page_id", "item_idx")
+    dealt = rows.repartition(tasks, "page_id").sortWithinPartitions("page_id", "item_idx")
     return dealt.mapInArrow(_assign_pages(c), "page_id long, item_idx int, label string, line_idx int, group_lines string, group_size int, candidate_score double, confidence_class string, distance double, candidate_count int")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,34 +110,72 @@ def closure(edges: DataFrame) -> DataFrame:
     return edges.groupBy("page_id").applyInPandas(_closure_page, "page_id long, a int, b int")
 
 
-_MAPPED = "page_id long, row_idx long, label string, line_idx int, group_lines string, group_size int, vertical_distance double"
-
-
-def _assign(c: Config):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        out = []
-        for row, pool in rows.sort_values(["row_idx", "distance", "width", "line_idx"], ascending=[True, True, False, True]).groupby("row_idx", sort=True):
-            free = pool[~pool["line_idx"].isin(taken)]
-            if free.empty:
-                continue
-            r = free.iloc[0]
-            group = [int(r.line_idx), *(int(x) for x in (r.below if r.below is not None else ()))]
-            taken.update(group)
-            out.append((key[0], row, r.text, int(r.line_idx), ",".join(map(str, sorted(group))), len(group), float(r.distance)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _MAPPED.split(", ")])
+_MAPPED = pa.schema([("page_id", pa.int64()), ("row_idx", pa.int64()), ("label", pa.string()), ("line_idx", pa.int32()), ("group_lines", pa.string()), ("group_size", pa.int32()), ("vertical_distance", pa.float64())])
+
+
+def _below(start: int, lines: list[tuple], bottoms: list[float], reach: float) -> set[int]:
+    """The places of all lines that steps reach from one line; `lines` (index, cx, cy, ...) go down, `bottoms` too."""
+    heights = [x[2] for x in lines]
+    seen: set[int] = set()
+    todo = [start]
+    while todo:
+        _, cx, cy, *_ = lines[todo.pop()]
+        at = bisect_right(bottoms, cy)  # a step goes no further than the next row's bottom
+        end = min(cy + reach, bottoms[at] if at < len(bottoms) else math.inf)
+        for k in range(bisect_right(heights, cy), len(lines)):
+            if lines[k][2] > end or lines[k][2] >= cy + reach:
+                break
+            if k not in seen and abs(lines[k][1] - cx) < 120:
+                seen.add(k)
+                todo.append(k)
+    return seen
+
+
+def _map_page(rows: list[dict], lines: list[dict], c: Config) -> list[tuple]:
+    """Greedy assignment of one page's rows; a row's lines go with all that steps reach from the chosen one."""
+    down = sorted((tuple(x.values()) for x in lines), key=lambda x: (x[2], x[0]))
+    heights = [x[2] for x in down]
+    bottoms = sorted(r["bottom_y"] for r in rows)
+    taken: set[int] = set()
+    out = []
+    for r in sorted(rows, key=lambda r: r["row_idx"]):
+        bottom = r["bottom_y"]
+        best = None
+        for k in range(bisect_left(heights, bottom - c.above), bisect_right(heights, bottom + c.below)):
+            line_idx, _, cy, x1, x2 = down[k]
+            if line_idx not in taken and x1 >= r["right_x"] - 40:
+                best = min(best or (math.inf,), (abs(cy - bottom), x1 - x2, line_idx, k))
+        if best is None:
+            continue
+        group = [best[2], *(down[k][0] for k in _below(best[3], down, bottoms, c.below))]
+        taken.update(group)
+        out.append((r["row_idx"], r["text"], best[2], ",".join(map(str, sorted(group))), len(group), best[0]))
+    return out
+
+
+def _map_pages(c: Config):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, rows, lines in zip(*(x.to_pylist() for x in batch.columns)):
+                out += [(page, *r) for r in _map_page(rows, lines, c)]
+            columns = list(zip(*out)) if out else [[]] * len(_MAPPED)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, _MAPPED)], schema=_MAPPED)
 
     return run
 
 
 def map_rows(rows: DataFrame, lines: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Rows in order take the nearest line that no earlier row took, with all lines that steps reach from it."""
-    valid = rows.filter(~is_noise(F.col("text")))
-    clean = clean_lines(lines, c)
-    below = closure(steps(clean, valid, c)).groupBy("page_id", F.col("a").alias("line_idx")).agg(F.sort_array(F.collect_list("b")).alias("below"))
-    j = valid.select("page_id", "row_idx", "text", "bottom_y", "right_x").join(clean.select("page_id", "line_idx", "cy", "x1", "x2"), "page_id").filter(F.col("cy").between(F.col("bottom_y") - c.above, F.col("bottom_y") + c.below) & (F.col("x1") >= F.col("right_x") - 40))
-    pool = j.join(below, ["page_id", "line_idx"], "left").select("page_id", "row_idx", "text", "line_idx", F.abs(F.col("cy") - F.col("bottom_y")).alias("distance"), (F.col("x2") - F.col("x1")).alias("width"), "below")
-    return pool.groupBy("page_id").applyInPandas(_assign(c), _MAPPED)
+    """Rows in order take the nearest line that no earlier row took, with all lines that steps reach from it.
+
+    A page's rows and lines come together once; steps are followed from the
+    chosen lines only. Pages without rows or without lines give nothing.
+    """
+    valid = rows.filter(~is_noise(F.col("text"))).groupBy("page_id").agg(F.collect_list(F.struct("row_idx", "text", "bottom_y", "right_x")).alias("rows"))
+    clean = clean_lines(lines, c).groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "cx", "cy", "x1", "x2")).alias("lines"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = valid.join(clean, "page_id").select("page_id", "rows", "lines").repartition(tasks, "page_id")
+    return pages.mapInArrow(_map_pages(c), "page_id long, row_idx long, label string, line_idx int, group_lines string, group_size int, vertical_distance double")
 
 
 def useful_rows(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from quillgrid.operators import evaluate as ev
 from quillgrid.operators import export as ex
 from quillgrid.operators import folds, lines as ln, mapping as mp, ocr, regions as rg, rows as rw, structure as st
 from quillgrid.plans.pages_sql import ORACLES
-from quillgrid.session import read
+from quillgrid.session import read, store
 from quillgrid.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,7 @@ class _Pages:
 
 
 def _label_rows(p: _Pages, lay: mp.Layout) -> DataFrame:
-    return mp.labels(p.items, lay.metrics)
+    return mp.labels(lay.items, lay.metrics)
 
 
 @query
@@ -308,8 +308,8 @@ def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the lines in each label's candidate pool."""
     p = _Pages(spark, sf_dir)
     lay = p.layout
-    found = _label_rows(p, lay)
-    return mp.candidate_scores(lay, found).join(mp.candidate_pool(lay, found), ["page_id", "item_idx", "line_idx"])
+    found = store(_label_rows(p, lay), "labels")
+    return mp.candidate_scores(lay, found, pool=mp.candidate_pool(lay, found))
 
 
 @query
