@@ -26,6 +26,22 @@ def polygon_center(bbox: Column) -> tuple[Column, Column]:
     return F.aggregate(bbox, F.lit(0.0), lambda a, p: a + p[0]) / n, F.aggregate(bbox, F.lit(0.0), lambda a, p: a + p[1]) / n
 
 
+def bounds_polygon(b: tuple[Column, ...]) -> Column:
+    """The four corners of a box, from the upper left clockwise."""
+    return F.array(*[F.array(b[i], b[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3))])
+
+
+def extent(flat: Column, polygon: Column, centre: Column) -> tuple[Column, Column, Column]:
+    """bottom, right, left of an item in any of its forms: four numbers (x, y, width, height), a polygon of points, or its centre alone (0, 0 if that is missing)."""
+    is_flat, is_polygon = F.coalesce(F.size(flat) == 4, F.lit(False)), F.coalesce((F.size(polygon) > 0) & F.forall(polygon, lambda p: F.size(p) >= 2), F.lit(False))
+    has_centre = F.coalesce(F.size(centre) >= 2, F.lit(False))
+    x1, _, x2, y2 = polygon_bounds(polygon)
+    cx, cy = (F.when(has_centre, F.try_element_at(centre, F.lit(k))).otherwise(0.0) for k in (1, 2))
+    pick = lambda a, b, c: F.when(is_flat, a).when(is_polygon, b).otherwise(c)
+    at = lambda k: F.try_element_at(flat, F.lit(k))
+    return pick(at(2) + at(4), y2, cy), pick(at(1) + at(3), x2, cx), pick(at(1), x1, cx)
+
+
 def valid_polygon(bbox: Column) -> Column:
     """Four points of two finite numbers each."""
     return F.coalesce((F.size(bbox) == 4) & F.forall(bbox, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull() & ~F.isnan(p[0]) & ~F.isnan(p[1])), F.lit(False))

@@ -115,7 +115,8 @@ def failure_categories(p: DataFrame, baseline: tuple[float, float] | None = None
 
     Needs the proxies and field_candidate_count, excluded_count, unresolved_count,
     short_top_count (unresolved texts of up to 24 characters in the top band),
-    has_multiline and has_table. `baseline` is a precision and a recall.
+    has_multiline and has_table. A baseline is a precision and a recall, given
+    or in the columns baseline_precision and baseline_recall (null: none).
     """
     c = F.col
     rules = [
@@ -129,10 +130,10 @@ def failure_categories(p: DataFrame, baseline: tuple[float, float] | None = None
         (c("excluded_count") > 0) & (c("field_candidate_count") > 0) & (c("mapping_count") < c("field_candidate_count") * 0.35),
         F.lit(False),
     ]
-    if baseline:
-        precision, recall = baseline
-        rules[6] = rules[6] | (c("recall_proxy") + 0.08 < recall)
-        rules[8] = (c("precision_proxy") + 0.05 < precision) & (c("ambiguous_mapping_count") > 0)
+    if baseline or "baseline_recall" in p.columns:
+        precision, recall = map(F.lit, baseline) if baseline else (c("baseline_precision"), c("baseline_recall"))
+        rules[6] = rules[6] | F.coalesce(c("recall_proxy") + 0.08 < recall, F.lit(False))
+        rules[8] = F.coalesce((c("precision_proxy") + 0.05 < precision) & (c("ambiguous_mapping_count") > 0), F.lit(False))
     found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in zip(CATEGORIES, rules)]))
     return p.select("page_id", F.explode(found).alias("category"))
 
@@ -154,8 +155,10 @@ def baseline_sequence(samples: DataFrame, order: str, is_baseline: Column) -> Da
 
 
 def markdown(report: DataFrame, most_rows: int = 1000) -> str:
-    """A small report (at most `most_rows` rows) as a Markdown table."""
-    rows = report.limit(most_rows).collect()
+    """A small report as a Markdown table; raises above `most_rows` rows."""
+    rows = report.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"the report has more than {most_rows} rows")
     head = "| " + " | ".join(report.columns) + " |\n|" + " --- |" * len(report.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
@@ -176,3 +179,34 @@ def region_types(regions: DataFrame, clusters: DataFrame, bands: DataFrame, owne
         all_ = one if all_ is None else all_.unionByName(one)
     ordered = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "type"))), lambda p: p["type"]))
     return all_.groupBy("page_id").agg(F.array_join(ordered, ",").alias("types"), F.bool_or(F.col("type").contains("multiline")).alias("multiline"))
+
+
+def class_map(mappings: DataFrame) -> DataFrame:
+    """page_id, confidence_classes: a map from class to count."""
+    n = mappings.groupBy("page_id", F.coalesce("confidence_class", F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"))
+    return n.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("confidence_classes"))
+
+
+def map_text(m: Column) -> Column:
+    """A map's entries by key as `key=value`, joined by commas."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+def merged_counters(stored: DataFrame, mappings: DataFrame, names: dict[str, str]) -> DataFrame:
+    """For each page with mappings the stored counter of each name, else the class's count, else 0. `names`: counter -> class."""
+    m = mappings.select("page_id").distinct().join(class_map(mappings), "page_id", "left").join(stored, "page_id", "left")
+    return m.select("page_id", *[F.coalesce(F.col(n).cast("long"), F.try_element_at("confidence_classes", F.lit(k)), F.lit(0)).alias(n) for n, k in names.items()])
+
+
+def diagnostics(items: DataFrame, mappings: DataFrame, lines: DataFrame, regions: DataFrame, excluded: DataFrame) -> DataFrame:
+    """One row per page with items: labels, mappings, merged items and their sources, field candidates, regions, excluded regions."""
+    out = items.groupBy("page_id").agg(F.count("*").alias("labels_processed"), F.count_if(F.col("source_item_count") > 1).alias("merged_item_count"), F.sum(F.greatest("source_item_count", F.lit(1))).alias("source_items_merged"))
+    for df, n in ((mappings, "mappings_selected"), (lines, "field_candidate_count"), (regions, "semantic_region_count"), (excluded, "excluded_region_count")):
+        out = out.join(df.groupBy("page_id").agg(F.count("*").alias(n)), "page_id", "left").withColumn(n, F.coalesce(n, F.lit(0)))
+    return out
+
+
+def category_order(categories: DataFrame) -> DataFrame:
+    """category, n, place: the most frequent first, equals by name. Categories are few, so one task numbers them."""
+    n = categories.groupBy("category").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "category")))

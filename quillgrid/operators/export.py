@@ -22,6 +22,18 @@ def field_boxes(mappings: DataFrame) -> DataFrame:
     return boxes.filter("_ok").drop("_ok")
 
 
+def all_boxes(mappings: DataFrame, explicit: DataFrame) -> DataFrame:
+    """field_boxes() of the mappings, but the given boxes for those that have some: explicit has mapping_id, page_id, label, box_idx, x, y, width, height, field_type."""
+    own = explicit.select("mapping_id", "page_id", "label", "box_idx", "x", "y", "width", "height", "field_type")
+    lined = field_boxes(mappings).join(own.select("mapping_id").distinct(), "mapping_id", "left_anti")
+    return own.unionByName(lined)
+
+
+def mappings_url(preview: Column) -> Column:
+    """The address of a run's mappings from that of its preview picture."""
+    return F.regexp_replace(preview, r"(?i)mapping\.png(?:\?.*)?$", "mappings.json")
+
+
 def form_fields(boxes: DataFrame, sizes: DataFrame) -> DataFrame:
     """Fields of a fillable page, in points from the lower left: name, kind, x, y, width, height. Boxes without extent are left out.
 

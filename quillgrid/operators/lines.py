@@ -76,6 +76,20 @@ def fallback_lines(items: DataFrame, page_width: Column, min_width: float = 120.
     return made.filter(F.col("ex") - F.col("sx") >= min_width).select("*", *line_columns())
 
 
+def box_bottoms(contours: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The lower edges of contours that look like input boxes, as lines of type `box`; line_idx is the region's."""
+    r = contours.join(sizes, "page_id")
+    fits = (F.col("width") >= 80) & F.col("height").between(12, 90) & (F.col("width") <= F.col("image_width") * 0.95) & (F.col("height") <= F.col("image_height") * 0.25) & (F.col("rectangularity") >= 0.35)
+    low = F.col("y") + F.col("height")
+    made = r.filter(fits).select("page_id", F.col("region_idx").alias("line_idx"), F.col("x").alias("sx"), low.alias("sy"), (F.col("x") + F.col("width")).alias("ex"), low.alias("ey"), F.lit("box").alias("field_type"))
+    return made.select("*", *line_columns())
+
+
+def weak_lines(strokes: DataFrame) -> DataFrame:
+    """Strokes that are nearly level (8 pixels), as lines of type `weak_line`."""
+    return strokes.filter(F.abs(F.col("sy") - F.col("ey")) <= 8).withColumn("field_type", F.lit("weak_line"))
+
+
 def union_candidates(*sources: DataFrame) -> DataFrame:
     """All line sources together, without duplicates; line_idx is renumbered by source, then line_idx."""
     out = None

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 import numpy as np
@@ -46,9 +47,22 @@ class Layout:
     folder, so that no plan grows without bound and no fold runs twice.
     """
 
-    def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame):
+    #: Stored relations in the order in which they need each other; those of one step don't.
+    STEPS = (("items", "lines"), ("regions",), ("metrics",), ("band_members", "label_members", "field_members"), ("bands",), ("label_zones", "field_zones"), ("owned", "placed_labels", "placed_lines"))
+
+    def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame | Callable[[DataFrame, DataFrame], DataFrame]):
+        """`regions`: the relation, or what makes it from the stored items and lines."""
         self._source = items, lines, regions
 
+    def prepare(self, steps: int = len(STEPS)) -> "Layout":
+        """Builds the relations of the first steps, those of one step at once: each is small work with much waiting."""
+        for names in self.STEPS[:steps]:
+            missing = [n for n in names if n not in self.__dict__]
+            if missing:
+                with ThreadPoolExecutor(len(missing)) as pool:
+                    list(pool.map(lambda n: getattr(self, n), missing))
+        return self
+
     @cached_property
     def items(self) -> DataFrame:
         return store(self._source[0], "items")
@@ -59,7 +73,8 @@ class Layout:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return store(self._source[2], "regions")
+        made = self._source[2]
+        return store(made if isinstance(made, DataFrame) else made(self.items, self.lines), "regions")
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -141,6 +156,7 @@ def candidate_region(lines: DataFrame, regions: DataFrame) -> DataFrame:
 
 def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """Every label with every line of its page, or with those of its pool, with geometric and structural features (4 decimals)."""
+    lay.prepare()
     m = lay.metrics.select("page_id", "page_width", "row_tolerance", "multiline_band_gap", "column_tolerance", "avg_line_length", "band_tolerance")
     a = label_rows.select("page_id", "item_idx", "text", "confidence", "column_split", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
     ap = lay.placed_labels.select("page_id", "item_idx", *[F.col(c).alias(f"a_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "zone_x2")])
@@ -189,13 +205,19 @@ def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = N
     return f.select(*keep, *[g.round_to(v, 4).alias(k) for k, v in out.items()])
 
 
-def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT, pool: DataFrame | None = None) -> DataFrame:
-    """Scores of all pairs, or of those in the labels' pools, before any line is assigned: local, global and candidate score, flags of rejection and the parts they need."""
+def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT, pool: DataFrame | None = None, explain: bool = False) -> DataFrame:
+    """Scores of all pairs, or of those in the labels' pools, before any line is assigned: local, global and candidate score, flags of rejection and the parts they need.
+
+    With `explain` also reasons and rejection_reasons (in order, joined by
+    commas) and the parts of the score with 4 decimals.
+    """
     from quillgrid.operators.lines import table_groups
 
     m = lay.metrics.select("page_id", "avg_text_width", "row_tolerance", "column_tolerance")
     tables = table_groups(lay.lines, c).select("page_id", "line_idx").withColumn("_table", F.lit(True))
     f = pair_features(lay, label_rows, pool).join(m, "page_id").join(local_metrics(lay.items, lay.lines), "page_id").join(tables, ["page_id", "line_idx"], "left")
+    if explain:
+        f = f.join(candidate_region(lay.lines, lay.regions), ["page_id", "line_idx"], "left")
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     horizontal = g.clamp01(1 - F.abs(dx) / F.greatest(F.col("avg_text_width") * 2, F.lit(100.0)))
     vertical = g.clamp01(1 - F.abs(dy) / F.greatest(F.col("row_tolerance") * 1.6, F.lit(1.0)))
@@ -209,9 +231,28 @@ def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT, po
     rejected = left_of | F.coalesce("_table", F.lit(False)) | (vertical < 0.38) | (F.col("excluded") > 0.5)
     both = local * 0.45 + wide * 0.55
     keep = ["page_id", "item_idx", "line_idx", "text", "field_type", "length", "sx", "sy", "ex", "ey", "column_split", "a_cx", "a_cy", "b_cx", "b_cy", "lh", "multiline_gap", "excluded"]
+    if explain:
+        size = g.clamp01(1 - F.abs(F.col("length") - F.col("lw")) / F.greatest(F.col("lw") * 1.6, F.lit(1.0)))
+        near = 1 - F.least(F.abs(F.col("b_cy") - F.col("a_y1")), F.abs(F.col("b_cy") - F.col("a_y2"))) / F.greatest("relaxed", F.lit(1.0))
+        when = lambda cond, name: F.when(cond, F.lit(name))
+        reasons = [
+            when(dx > 0, "right_of_label").otherwise("left_of_label"), when(vertical >= 0.72, "strong_vertical_alignment").when(vertical >= 0.38, "weak_vertical_alignment"),
+            when(beside, "row_overlap").when(near >= 0.45, "row_nearby").otherwise("row_separated"), when(size >= 0.6, "field_size_consistent").otherwise("field_size_outlier"),
+            F.when(F.col("field_type").isin("box", "weak_line", "fallback_text_region"), F.concat(F.lit("field_source_"), "field_type")), when(F.col("length") <= 260, "compact_field_candidate"),
+            when(sure < 0.55, "low_ocr_confidence"), F.concat(F.lit("region_"), "region_type"),
+        ]
+        against = [when(left_of, "not_right_of_label"), when(F.coalesce("_table", F.lit(False)), "inside_table_region"), when(vertical < 0.38, "poor_vertical_alignment"), when(F.col("excluded") > 0.5, "inside_excluded_region")]
+        listed = lambda parts: F.array_join(F.array_compact(F.array(*parts)), ",")
+        parts = {"horizontal_alignment": horizontal, "vertical_alignment": vertical, "row_overlap": row, "semantic_hints": semantic, "ocr_confidence": sure}
+        f = f.withColumns({n: g.round_to(v, 4) for n, v in parts.items()} | {"reasons": listed(reasons), "rejection_reasons": listed(against)})
+        keep += ["reasons", "rejection_reasons", *parts, *BREAKDOWN]
     return f.select(*keep, g.round_to(local, 4).alias("local_score"), "global_structure_score", "column_consistency", "ownership_confidence", rejected.alias("rejected"), g.round_to(F.when(rejected, both * 0.3).otherwise(both), 4).alias("candidate_score"), g.round_to(both * 0.3, 4).alias("penalised_score"), g.round_to(F.sqrt(dx * dx + dy * dy), 2).alias("distance"))
 
 
+#: The parts of a score that are features of the pair.
+BREAKDOWN = ("alignment_score", "vertical_continuation", "x_overlap_ratio", "spacing_similarity", "size_consistency", "ownership_strength", "region_support")
+
+
 def candidate_pool(lay: Layout, label_rows: DataFrame) -> DataFrame:
     """page_id, item_idx, line_idx of the lines that each label is compared with.
 
@@ -220,6 +261,7 @@ def candidate_pool(lay: Layout, label_rows: DataFrame) -> DataFrame:
     zone or starts far enough to the right; excluded lines never do, unless
     nothing else is left, then all lines of the page that aren't excluded, then all.
     """
+    lay.prepare()
     m = lay.metrics.select("page_id", "band_tolerance", "column_tolerance")
     a = label_rows.select("page_id", "item_idx").join(lay.placed_labels.select("page_id", "item_idx", "zone", "band", "center_y", "zone_x2"), ["page_id", "item_idx"]).join(m, "page_id")
     z = lay.field_zones.join(lay.bands.select("page_id", "band_idx", F.col("center_y").alias("_zy")), ["page_id", "band_idx"]).select("page_id", "band_idx", "zone_idx", "_zy", *[F.col(c).alias(f"z_{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -248,6 +290,12 @@ def match_class(score: Column, runner_up: Column, rejected: Column) -> Column:
     return F.when(score.isNull() | (score < 0.42), "unresolved").when(runner_up.isNotNull() & (margin < 0.08), "ambiguous").when(rejected, "weak_match").when((score >= 0.66) & (margin >= 0.1), "strong_match").otherwise("weak_match")
 
 
+def match_notes(score: Column, runner_up: Column, rejected: Column) -> Column:
+    """Why a match isn't sure: a score too low, a close second, or rejections of the selected one."""
+    margin = g.round_to(score - F.coalesce(runner_up, F.lit(0.0)), 6)
+    return F.when(score.isNull(), "no_candidate").when(score < 0.42, "candidate_score_below_threshold").when(runner_up.isNotNull() & (margin < 0.08), "close_second_candidate").when(rejected, "selected_candidate_has_rejections").otherwise("")
+
+
 def classes(scores: DataFrame) -> DataFrame:
     """The best candidate of each label with its class, assignment aside."""
     return ranked(scores).filter("rank = 1").withColumn("confidence_class", match_class(F.col("candidate_score"), F.col("runner_up"), F.col("rejected")))

@@ -25,6 +25,12 @@ def query(f: Callable) -> Callable:
     return f
 
 
+def _sizes(items: DataFrame, lines: DataFrame) -> DataFrame:
+    """Extents of items and lines stand in for image sizes."""
+    ends = items.select("page_id", "x2", "y2").unionByName(lines.select("page_id", "x2", "y2"))
+    return ends.groupBy("page_id").agg(F.max("x2").alias("image_width"), F.max("y2").alias("image_height"))
+
+
 class _Pages:
     """The relations that queries start from, built on demand."""
 
@@ -49,9 +55,7 @@ class _Pages:
 
     @property
     def sizes(self) -> DataFrame:
-        """Extents of items and lines stand in for image sizes."""
-        ends = self.items.select("page_id", "x2", "y2").unionByName(self.lines.select("page_id", "x2", "y2"))
-        return ends.groupBy("page_id").agg(F.max("x2").alias("image_width"), F.max("y2").alias("image_height"))
+        return _sizes(self.items, self.lines)
 
     @property
     def regions(self) -> DataFrame:
@@ -59,7 +63,7 @@ class _Pages:
 
     @property
     def layout(self) -> mp.Layout:
-        return mp.Layout(self.items, self.lines, self.regions)
+        return mp.Layout(self.items, self.lines, lambda items, lines: rg.classify(self.contours, items, lines, _sizes(items, lines)))
 
 
 def _label_rows(p: _Pages, lay: mp.Layout) -> DataFrame:
@@ -225,7 +229,7 @@ def axis_clusters_x(spark, sf_dir):
 
 @query
 def bands(spark, sf_dir):
-    return _Pages(spark, sf_dir).layout.bands
+    return _Pages(spark, sf_dir).layout.prepare(5).bands
 
 
 @query
@@ -236,7 +240,7 @@ def columns_primary(spark, sf_dir):
 
 @query
 def zones(spark, sf_dir):
-    lay = _Pages(spark, sf_dir).layout
+    lay = _Pages(spark, sf_dir).layout.prepare(6)
     return lay.label_zones.unionByName(lay.field_zones)
 
 
@@ -254,7 +258,7 @@ def field_row_clusters(spark, sf_dir):
 
 @query
 def ownership_best_zone(spark, sf_dir):
-    return _Pages(spark, sf_dir).layout.owned
+    return _Pages(spark, sf_dir).layout.prepare(6).owned
 
 
 @query
@@ -270,7 +274,7 @@ def excluded_flag(spark, sf_dir):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lay = _Pages(spark, sf_dir).layout
+    lay = _Pages(spark, sf_dir).layout.prepare(6)
     return st.membership_edges(lay.entities, lay.bands, lay.label_zones, lay.field_zones, lay.label_columns, lay.field_columns, lay.excluded, lay.owned)
 
 
@@ -497,7 +501,7 @@ def quality_proxies(spark, sf_dir):
     return _proxies(_Pages(spark, sf_dir)).select("page_id", "mapping_count", "ocr_item_count", "precision_proxy", "recall_proxy", "false_positive_proxy")
 
 
-def _categories(p: _Pages) -> DataFrame:
+def _category_inputs(p: _Pages) -> DataFrame:
     lay = p.layout
     top = ev.top_band_unresolved(lay.items, p.mappings, lay.metrics).groupBy("page_id").agg(F.count_if(F.length("text") <= 24).alias("short_top_count"))
     open_ = ev.unresolved_labels(lay.items, p.mappings).groupBy("page_id").agg(F.count("*").alias("unresolved_count"))
@@ -506,7 +510,11 @@ def _categories(p: _Pages) -> DataFrame:
     d = _proxies(p)
     for part in (top, open_, found, r):
         d = d.join(part, "page_id", "left")
-    return ev.failure_categories(d.fillna(0, ["short_top_count", "unresolved_count", "field_candidate_count", "excluded_count"]).fillna(False, ["has_multiline", "has_table"]))
+    return d.fillna(0, ["short_top_count", "unresolved_count", "field_candidate_count", "excluded_count"]).fillna(False, ["has_multiline", "has_table"])
+
+
+def _categories(p: _Pages) -> DataFrame:
+    return ev.failure_categories(_category_inputs(p))
 
 
 @query
@@ -589,6 +597,181 @@ def region_type_list(spark, sf_dir):
     return ev.region_types(lay.regions, st.field_clusters(lay.entities, lay.metrics), lay.bands, lay.owned)
 
 
+@query
+def box_bottom_lines(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return ln.box_bottoms(p.contours, p.sizes).select("page_id", "line_idx", "sx", "sy", "ex", "ey", "field_type")
+
+
+@query
+def weak_lines(spark, sf_dir):
+    return ln.weak_lines(tables.lines(spark, sf_dir)).select("page_id", "line_idx", "sx", "sy", "ex", "ey", "field_type")
+
+
+@query
+def additional_candidates(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return ln.union_candidates(ln.box_bottoms(p.contours, p.sizes), ln.weak_lines(p.lines)).select("page_id", "line_idx", "sx", "sy", "ex", "ey", "field_type")
+
+
+@query
+def region_size_gate(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return rg.large_enough(p.contours, p.items, p.sizes).select("page_id", "region_idx")
+
+
+@query
+def region_reasons(spark, sf_dir):
+    return _Pages(spark, sf_dir).regions.select("page_id", "region_idx", "type", "reason", "aspect_ratio", "page_area_ratio", "ink_density", "box_fill")
+
+
+@query
+def ruled_tables(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return rg.ruled_tables(p.contours, p.sizes).select("page_id", "region_idx", "x", "y", "width", "height")
+
+
+@query
+def lines_outside_tables(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return ln.outside_regions(p.lines, rg.ruled_tables(p.contours, p.sizes)).select("page_id", "line_idx")
+
+
+@query
+def checkbox_mappings(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return rg.checkboxes(p.contours, p.items)
+
+
+@query
+def candidate_region(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    return mp.candidate_region(p.lines, p.regions)
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Pages(spark, sf_dir)
+    lay = p.layout
+    found = store(_label_rows(p, lay), "labels")
+    return mp.ranked(mp.candidate_scores(lay, found, pool=mp.candidate_pool(lay, found), explain=True))
+
+
+@query
+def candidate_reasons(spark, sf_dir):
+    """Why each candidate of a label scores as it does."""
+    return _explained(spark, sf_dir).select("page_id", "item_idx", "line_idx", "reasons", "rejection_reasons")
+
+
+@query
+def score_breakdown(spark, sf_dir):
+    """The parts of the best candidate's score."""
+    parts = ["local_score", "global_structure_score", "column_consistency", "ownership_confidence", "horizontal_alignment", "vertical_alignment", "row_overlap", "semantic_hints", "ocr_confidence", *mp.BREAKDOWN]
+    return _explained(spark, sf_dir).filter("rank = 1").select("page_id", "item_idx", "line_idx", *parts)
+
+
+@query
+def rejected_candidates(spark, sf_dir):
+    """The other four of a label's best five, with what speaks against them."""
+    return _explained(spark, sf_dir).filter("rank between 2 and 5").select("page_id", "item_idx", "rank", "line_idx", "candidate_score", "rejection_reasons")
+
+
+@query
+def ambiguity_notes(spark, sf_dir):
+    best = mp.ranked(_pooled(spark, sf_dir)).filter("rank = 1")
+    return best.select("page_id", "item_idx", mp.match_notes(F.col("candidate_score"), F.col("runner_up"), F.col("rejected")).alias("note"))
+
+
+@query
+def api_class_map(spark, sf_dir):
+    return ev.class_map(tables.mappings(spark, sf_dir)).select("page_id", ev.map_text(F.col("confidence_classes")).alias("classes"))
+
+
+@query
+def merged_counters(spark, sf_dir):
+    """Counters of the summary for pages that have unmatched labels, of the class map for the others."""
+    p = _Pages(spark, sf_dir)
+    stored = ev.mapping_summary(p.items, p.mappings).filter("unmatched_label_count > 0").select("page_id", "strong_match_count", "weak_match_count")
+    return ev.merged_counters(stored, p.mappings, {"strong_match_count": "strong_match", "weak_match_count": "weak_match"})
+
+
+@query
+def page_diagnostics(spark, sf_dir):
+    p = _Pages(spark, sf_dir)
+    lay = p.layout.prepare(3)
+    return ev.diagnostics(lay.items, p.mappings, lay.lines, lay.regions, rg.of_types(lay.regions, PIPELINE_EXCLUDED))
+
+
+@query
+def field_type_counts(spark, sf_dir):
+    m = tables.mappings(spark, sf_dir)
+    return m.groupBy("page_id").agg(F.count("*").alias("mapping_count"), F.count_if(F.col("field_type") == "checkbox").alias("checkbox_count"), F.count_if(F.col("field_type") == "multi_line").alias("multi_line_count"))
+
+
+@query
+def category_order(spark, sf_dir):
+    return ev.category_order(_categories(_Pages(spark, sf_dir)))
+
+
+@query
+def failure_categories_vs_baseline(spark, sf_dir):
+    """With the first page of mode `ml` of each station as the baseline of its pages."""
+    p = _Pages(spark, sf_dir)
+    runs = read(spark, sf_dir, "runs").filter("station is not null").select("station", "page_id", "mode")
+    first = runs.filter("mode = 'ml'").groupBy("station").agg(F.min("page_id").alias("page_id"))
+    shares = _proxies(p).select("page_id", F.col("precision_proxy").alias("baseline_precision"), F.col("recall_proxy").alias("baseline_recall"))
+    base = runs.select("station", "page_id").join(first.join(shares, "page_id").drop("page_id"), "station").drop("station")
+    return ev.failure_categories(_category_inputs(p).join(base, "page_id", "left"))
+
+
+@query
+def bounds_polygons(spark, sf_dir):
+    corners = g.bounds_polygon(g.box())
+    return tables.items(spark, sf_dir).select("page_id", "item_idx", F.array_join(F.transform(F.flatten(corners), lambda v: F.round(v * 10).cast("long").cast("string")), ",").alias("corners"))
+
+
+@query
+def item_extents(spark, sf_dir):
+    """Boxes as four numbers for rows merged from several, as polygons for the others, centres where a row has no box."""
+    rows = read(spark, sf_dir, "result_rows").filter("row_id is not null").dropDuplicates(["row_id"])
+    polygon = F.when(g.valid_polygon(F.col("bbox")), F.col("bbox"))
+    x1, y1, x2, y2 = g.polygon_bounds(polygon)
+    flat = F.when((F.col("source_item_count") > 1) & polygon.isNotNull(), F.array(x1, y1, x2 - x1, y2 - y1))
+    bottom, right, left = g.extent(flat, polygon, F.col("center"))
+    return rows.select("row_id", g.round_to(bottom, 4).alias("bottom"), g.round_to(right, 4).alias("right"), g.round_to(left, 4).alias("left"))
+
+
+@query
+def explicit_boxes(spark, sf_dir):
+    """Checkbox fields keep their own boxes, other mappings get theirs from their lines."""
+    p = _Pages(spark, sf_dir)
+    boxed = rg.checkboxes(p.contours, p.items).select((-(F.col("page_id") * 10 + F.col("region_idx")) - 1).alias("mapping_id"), "page_id", "label", F.lit(0).alias("box_idx"), "x", "y", "width", "height", F.lit("checkbox").alias("field_type"))
+    return ex.all_boxes(p.mappings, boxed).drop("label")
+
+
+@query
+def valid_numbers(spark, sf_dir):
+    m = read(spark, sf_dir, "mappings").filter("mapping_id is not null").groupBy("mapping_id").agg(F.max_by("distance", F.struct("loaded_at", "distance")).alias("distance"))
+    return m.select("mapping_id", ex.valid_number(F.col("distance")).alias("valid"))
+
+
+@query
+def run_addresses(spark, sf_dir):
+    """Addresses and paths of each run's picture, and the address of its mappings."""
+    r = read(spark, sf_dir, "runs")
+    preview = F.concat(F.lit("/runs/"), "run_id", F.when(F.col("mode") == "ml", "/mapping.png").otherwise("/Mapping.PNG?v=2"))
+    return r.select("run_id", ex.absolute_url(F.col("source_image"), "http://host/").alias("url"), ex.rooted_path(F.col("source_image"), "/data").alias("path"), ex.mappings_url(preview).alias("mappings"))
+
+
+@query
+def row_flags(spark, sf_dir):
+    """Useful and noise rows, and whether the lines at a row's height make it a table row."""
+    p = _Pages(spark, sf_dir)
+    rows = rw.row_records(rw.gap_rows(p.items))
+    at = rows.select("page_id", "row_idx", "top_y", "bottom_y").join(p.lines.select("page_id", "cy"), "page_id").filter(F.col("cy").between(F.col("top_y") - 10, F.col("bottom_y") + 10)).groupBy("page_id", "row_idx").agg(F.count("*").alias("n"))
+    flagged = rows.join(rw.useful_rows(rows).select("page_id", "row_idx", F.lit(True).alias("useful")), ["page_id", "row_idx"], "left").join(at, ["page_id", "row_idx"], "left")
+    return flagged.select("page_id", "row_idx", F.coalesce("useful", F.lit(False)).alias("useful"), rw.is_noise(F.col("text")).alias("noise"), rw.is_table_row(F.coalesce("n", F.lit(0)), 2).alias("table_row"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -62,7 +62,7 @@ def build(select: str, *needs: str) -> str:
 S = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
 cte("items", f"select page_id, item_idx, {S % 'text'} as text, case when not isnan(confidence) then confidence end as confidence, coalesce(source_item_count, 1) as source_item_count, list_min([p[1] for p in bbox]) as x1, list_min([p[2] for p in bbox]) as y1, list_max([p[1] for p in bbox]) as x2, list_max([p[2] for p in bbox]) as y2, list_sum([p[1] for p in bbox]) / 4 as cx, list_sum([p[2] for p in bbox]) / 4 as cy from result_rows where row_id is not null and len(bbox) = 4 and {S % 'text'} <> '' qualify row_number() over (partition by row_id order by loaded_at desc) = 1")
 cte("lines", "select page_id, line_idx, sx, sy, ex, ey, coalesce(field_type, 'line') as field_type, cast(least(sx, ex) as double) as x1, cast(least(sy, ey) as double) as y1, cast(greatest(sx, ex) as double) as x2, cast(greatest(sy, ey) as double) as y2, (sx + ex) / 2.0 as cx, (sy + ey) / 2.0 as cy, sqrt(cast((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) as double)) as length from field_lines where line_id is not null and page_id is not null and sx is not null and sy is not null and ex is not null and ey is not null qualify row_number() over (partition by line_id order by loaded_at desc) = 1")
-cte("contours", "select page_id, k as region_idx, 20 + (page_id * 37 + k * 211) % 500 as x, 30 + (page_id * 53 + k * 301) % 700 as y, 18 + (page_id * 29 + k * 97) % 12 * ((page_id + k) % 5 * 6 + 1) as width, 14 + (page_id * 31 + k * 61) % 10 * ((page_id + k * 2) % 4 * 5 + 1) as height, (page_id * 17 + k * 29) % 60 / 100.0 as ink, (page_id * 13 + k * 7) % 100 / 100.0 as rectangularity from runs, range(3) t(k) where stage = 'loaded' and k < page_id % 4")
+cte("contours", "select page_id, k as region_idx, 20 + (page_id * 37 + k * 211) % 500 as x, 30 + (page_id * 53 + k * 301) % 700 as y, 18 + (page_id * 29 + k * 97) % 12 * ((page_id + k) % 5 * 6 + 1) as width, 14 + (page_id * 31 + k * 61) % 10 * ((page_id + k * 2) % 4 * 5 + 1) as height, (page_id * 17 + k * 29) % 60 / 100.0 as ink, (page_id * 13 + k * 7) % 100 / 100.0 as rectangularity, (page_id * 3 + k * 5) % 6 + 2 as vertices, (page_id * 11 + k * 3) % 5 as h_rules, (page_id * 7 + k * 5) % 4 as v_rules from runs, range(3) t(k) where stage = 'loaded' and k < page_id % 4")
 cte("maps", f"select mapping_id, page_id, {S % 'label'} as label, coalesce([{{'start': f.start, 'end': f.\"end\", 'field_type': f.field_type}} for f in field_lines], case when field_line is not null then [{{'start': field_line.start, 'end': field_line.\"end\", 'field_type': 'line'}}] end) as field_lines, field_type, state, case when not isnan(candidate_score) then candidate_score end as candidate_score, confidence_class, region_support, coalesce(multiline_group_size, 1) as multiline_group_size from mappings where mapping_id is not null qualify row_number() over (partition by mapping_id order by loaded_at desc) = 1")
 cte("sizes", "select page_id, max(x2) as image_width, max(y2) as image_height from (select page_id, x2, y2 from items union all select page_id, x2, y2 from lines) group by page_id", "items", "lines")
 cte("counts", f"select c.*, (select count(*) from items i where i.page_id = c.page_id and {inside('(i.x1 + i.x2) / 2', '(i.y1 + i.y2) / 2', 'b.', 4).replace('b.x1', 'c.x').replace('b.y1', 'c.y').replace('b.x2', '(c.x + c.width)').replace('b.y2', '(c.y + c.height)')}) as ocr_count, (select count(*) from lines l where l.page_id = c.page_id and l.cx between c.x and c.x + c.width and l.cy between c.y and c.y + c.height) as line_count from contours c", "contours", "items", "lines")
@@ -326,7 +326,69 @@ cte("old2", "select *, " + _clamped("clamp1(same_row * 0.35 + same_column * 0.2
 SYMBOLS = r"length(regexp_replace(text, '[\p{L}\p{N}\s]', '', 'g')) / greatest(length(text), 1)"
 ALNUM = r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"
 
+_REASONS = ["square_sparse_enclosed_region", "repeated_row_alignment", "aligned_repeated_field_lines", "wide_sparse_enclosed_region", "large_sparse_enclosure", "large_enclosed_sparse_region", "tall_low_text_enclosed_region"]
+cte("bottoms", "select page_id, region_idx as line_idx, cast(x as integer) as sx, cast(y + height as integer) as sy, cast(x + width as integer) as ex, cast(y + height as integer) as ey, 'box' as field_type from contours join sizes using (page_id) where width >= 80 and height between 12 and 90 and width <= image_width * 0.95 and height <= image_height * 0.25 and rectangularity >= 0.35", "contours", "sizes")
+cte("weak", "select page_id, line_idx, sx, sy, ex, ey, 'weak_line' as field_type from lines where abs(sy - ey) <= 8", "lines")
+cte("extra", "select page_id, row_number() over (partition by page_id order by src, line_idx) - 1 as line_idx, sx, sy, ex, ey, field_type from (select 0 as src, * from bottoms union all select 1, * from weak)", "bottoms", "weak")
+cte("ruled", "select c.* from contours c join sizes using (page_id) where width >= 120 and height >= 60 and width <= image_width * 0.98 and height <= image_height * 0.75 and h_rules >= 2 and v_rules >= 2", "contours", "sizes")
+cte("squares", "select c.* from contours c where width between 10 and 32 and height between 10 and 32 and width / height between 0.85 and 1.18 and rectangularity between 0.18 and 0.95 and vertices between 4 and 6 and not exists (select 1 from items i where i.page_id = c.page_id and c.x <= i.x2 + 2 and c.x + c.width >= i.x1 - 2 and c.y <= i.y2 + 2 and c.y + c.height >= i.y1 - 2)", "contours", "items")
+cte("squares1", "select * from squares qualify row_number() over (partition by page_id, round_even(x / 4.0, 0), round_even(y / 4.0, 0), round_even(width / 4.0, 0), round_even(height / 4.0, 0) order by region_idx) = 1", "squares")
+cte("ticks", "select b.page_id, region_idx, cast(x as integer) as x, cast(y as integer) as y, cast(width as integer) as width, cast(height as integer) as height, item_idx, text as label from squares1 b join items i on i.page_id = b.page_id and abs(i.cy - (y + height / 2)) <= 35 and abs(i.cx - (x + width / 2)) + abs(i.cy - (y + height / 2)) * 2 <= 260 qualify row_number() over (partition by b.page_id, region_idx order by abs(i.cx - (x + width / 2)) + abs(i.cy - (y + height / 2)) * 2, item_idx) = 1", "squares1", "items")
+_SKIPPED = "('photo_region', 'signature_area', 'checkbox_region', 'table_like_region', 'stamp_area', 'logo_region', 'decorative_box')"
+cte("l_region", f"select l.page_id, l.line_idx, g.type as region_type from lines l join regions g on g.page_id = l.page_id and g.type not in {_SKIPPED} and least(l.x2, g.x + g.width) > greatest(l.x1, g.x) and least(l.y2, g.y + g.height) > greatest(l.y1, g.y) qualify row_number() over (partition by l.page_id, l.line_idx order by g.region_idx) = 1", "lines", "regions")
+cte("l_wide", "select page_id, coalesce(median(length) filter (where length > 0), 220) as lwm from lines group by page_id", "lines")
+cte("why0", "select c.*, mh, lwm, region_type, 1 - least(abs(c.bcy - ay1), abs(c.bcy - ay2)) / greatest(greatest(42.0, mh * 3.4), 1.0) as near, s.local_score, s.candidate_score, s.distance, row_number() over w as rank, lead(s.candidate_score) over w as second from score1 c join pool using (page_id, item_idx, line_idx) join scores s using (page_id, item_idx, line_idx) join l_wide using (page_id) join lmet using (page_id) left join l_region using (page_id, line_idx) window w as (partition by page_id, item_idx order by s.candidate_score desc, s.bcy, s.bcx, line_idx)", "score1", "pool", "scores", "l_wide", "lmet", "l_region")
+_FOR = ["case when bcx - acx > 0 then 'right_of_label' else 'left_of_label' end", "case when ve >= 0.72 then 'strong_vertical_alignment' when ve >= 0.38 then 'weak_vertical_alignment' end", "case when bcy between ay1 and ay2 + mh * 0.8 then 'row_overlap' when near >= 0.45 then 'row_nearby' else 'row_separated' end", "case when " + _clamped("clamp1(1 - abs(length - lwm) / greatest(lwm * 1.6, 1.0))") + " >= 0.6 then 'field_size_consistent' else 'field_size_outlier' end", "case when field_type in ('box', 'weak_line', 'fallback_text_region') then 'field_source_' || field_type end", "case when length <= 260 then 'compact_field_candidate' end", "case when su < 0.55 then 'low_ocr_confidence' end", "'region_' || region_type"]
+_AGAINST = ["case when bcx <= ax2 - ct * 0.25 then 'not_right_of_label' end", "case when in_table then 'inside_table_region' end", "case when ve < 0.38 then 'poor_vertical_alignment' end", "case when excluded > 0.5 then 'inside_excluded_region' end"]
+
+
+def _listed(parts: list[str]) -> str:
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+cte("why", f"select *, {_listed(_FOR)} as reasons, {_listed(_AGAINST)} as rejection_reasons from why0", "why0")
+cte("classes_", "select page_id, coalesce(confidence_class, 'unknown') as k, count(*) as n from maps group by 1, 2", "maps")
+cte("first_ml", "select station, min(page_id) as page_id from runs where station is not null and mode = 'ml' group by station")
+cte("cat1", "select c.*, b.bp, b.br from cat0 c left join (select r.page_id, p.precision_proxy as bp, p.recall_proxy as br from runs r join first_ml f on f.station = r.station join prox p on p.page_id = f.page_id) b using (page_id)", "cat0", "first_ml", "prox")
+_AGAINST_BASE = [(n, f"({c}) or coalesce(recall_proxy + 0.08 < br, false)" if n == "over-aggressive filtering" else c) for n, c in _CATS] + [("precision/recall trade-off regression", "precision_proxy + 0.05 < bp and ambiguous_mapping_count > 0")]
+cte("raw_items", "select row_id, any_value(bbox) as bbox, any_value(center) as center, any_value(source_item_count) as sic, len(any_value(bbox)) = 4 as boxed from result_rows where row_id is not null group by row_id")
+_ENDS = {"bottom": ("list_max([p[2] for p in bbox])", "center[2]"), "right": ("list_max([p[1] for p in bbox])", "center[1]"), "left": ("list_min([p[1] for p in bbox])", "center[1]")}
+cte("vrow", "select * from grow where not regexp_matches(lower(text), 'snb|jspcb|affix|contd')", "grow")
+cte("kept_l", "select l.* from lines l join nms using (page_id, line_idx) where nms.keep", "lines", "nms")
+cte("clean_l", "select * from (select *, sum(case when abs(cy - pc) < 14 then 0 else 1 end) over (partition by page_id order by cy, line_idx) as gi from (select *, lag(cy) over (partition by page_id order by cy, line_idx) as pc from kept_l)) qualify count(*) over (partition by page_id, gi) < 4", "kept_l")
+cte("cstep", "select a.page_id, a.line_idx as a, b.line_idx as b from clean_l a join clean_l b on a.page_id = b.page_id and abs(b.cx - a.cx) < 120 and b.cy > a.cy and b.cy - a.cy < 75 where not exists (select 1 from vrow r where r.page_id = a.page_id and r.bottom_y > a.cy and r.bottom_y < b.cy)", "clean_l", "vrow")
+cte("creach", "select page_id, a, b from cstep union select r.page_id, r.a, s.b from creach r join cstep s on r.page_id = s.page_id and r.b = s.a", "cstep")
+cte("cbelow", "select page_id, a, list(b) as bs from creach group by page_id, a", "creach")
+cte("rcand", "select page_id, row_idx, any_value(text) as text, list({'line': line_idx, 'd': d, 'g': list_prepend(line_idx, coalesce(bs, []))} order by d, w desc, line_idx) as cs, row_number() over (partition by page_id order by row_idx) as k from (select r.page_id, r.row_idx, r.text, l.line_idx, abs(l.cy - r.bottom_y) as d, l.x2 - l.x1 as w, bs from vrow r join clean_l l on l.page_id = r.page_id and l.cy between r.bottom_y - 10 and r.bottom_y + 75 and l.x1 >= r.right_x - 40 left join cbelow c on c.page_id = l.page_id and c.a = l.line_idx) group by page_id, row_idx", "vrow", "clean_l", "cbelow")
+cte("rtake", "select page_id, k, row_idx, text, cs[1] as best, cs[1].g as taken from rcand where k = 1 union all select page_id, k, row_idx, text, best, case when best is null then taken else list_concat(taken, best.g) end from (select c.page_id, c.k, c.row_idx, c.text, p.taken, list_filter(c.cs, lambda x: not list_contains(p.taken, x.line))[1] as best from rtake p join rcand c on c.page_id = p.page_id and c.k = p.k + 1)", "rcand")
+
 ORACLES: dict[str, str] = {
+    "box_bottom_lines": build("select * from bottoms", "bottoms"),
+    "weak_lines": build("select * from weak", "weak"),
+    "additional_candidates": build(f"select page_id, line_idx, sx, sy, ex, ey, field_type from extra {DEDUP}", "extra"),
+    "region_size_gate": build("select page_id, region_idx from contours join sizes using (page_id) left join textsize using (page_id) where width >= greatest(44, image_width * 0.025) and height >= greatest(14, coalesce(th, 18) * 0.85) and width <= image_width * 0.985 and height <= image_height * 0.9", "contours", "sizes", "textsize"),
+    "region_reasons": build("select page_id, region_idx, type, reason, " + f"{r('a', 4)} as aspect_ratio, {r('area', 4)} as page_area_ratio, {r('ink', 4)} as ink_density, {r('rectangularity', 4)} as box_fill" + " from (select *, case " + " ".join(f"when {c} then '{n}'" for n, _, c in _RULES) + " else 'standard_input' end as type, case " + " ".join(f"when {c} then '{w}'" for (_, _, c), w in zip(_RULES, _REASONS)) + " else 'standard_field_geometry' end as reason from raw_regions)", "raw_regions"),
+    "ruled_tables": build("select page_id, region_idx, cast(x as integer) as x, cast(y as integer) as y, cast(width as integer) as width, cast(height as integer) as height from ruled", "ruled"),
+    "lines_outside_tables": build("select page_id, line_idx from lines l where not exists (select 1 from ruled t where t.page_id = l.page_id and l.cx between t.x and t.x + t.width and l.cy between t.y and t.y + t.height)", "lines", "ruled"),
+    "checkbox_mappings": build("select * from ticks", "ticks"),
+    "candidate_region": build("select * from l_region", "l_region"),
+    "candidate_reasons": build("select page_id, item_idx, line_idx, reasons, rejection_reasons from why", "why"),
+    "score_breakdown": build(f"select page_id, item_idx, line_idx, local_score, global_structure_score, column_consistency, ownership_confidence, {r('ho', 4)} as horizontal_alignment, {r('ve', 4)} as vertical_alignment, {r('ro', 4)} as row_overlap, {r('se', 4)} as semantic_hints, {r('su', 4)} as ocr_confidence, alignment_score, vertical_continuation, x_overlap_ratio, spacing_similarity, size_consistency, ownership_strength, region_support from why where rank = 1", "why"),
+    "rejected_candidates": build("select page_id, item_idx, rank, line_idx, candidate_score, rejection_reasons from why where rank between 2 and 5", "why"),
+    "ambiguity_notes": build(f"select page_id, item_idx, case when candidate_score < 0.42 then 'candidate_score_below_threshold' when second is not null and {r('candidate_score - second', 6)} < 0.08 then 'close_second_candidate' when rejected then 'selected_candidate_has_rejections' else '' end as note from ranked where rank = 1", "ranked"),
+    "api_class_map": build("select page_id, string_agg(k || '=' || n, ',' order by k) as classes from classes_ group by page_id", "classes_"),
+    "merged_counters": build("select page_id, " + ", ".join(f"coalesce(s.{c}, (select n from classes_ q where q.page_id = m.page_id and q.k = '{k}'), 0) as {c}" for c, k in (("strong_match_count", "strong_match"), ("weak_match_count", "weak_match"))) + " from (select distinct page_id from maps) m left join (select * from summary where unmatched_label_count > 0) s using (page_id)", "maps", "summary", "classes_"),
+    "page_diagnostics": build(f"select page_id, labels_processed, merged_item_count, source_items_merged, coalesce(a.n, 0) as mappings_selected, coalesce(b.n, 0) as field_candidate_count, coalesce(c.n, 0) as semantic_region_count, coalesce(d.n, 0) as excluded_region_count from (select page_id, count(*) as labels_processed, count(*) filter (where source_item_count > 1) as merged_item_count, cast(sum(greatest(source_item_count, 1)) as bigint) as source_items_merged from items group by page_id) left join (select page_id, count(*) as n from maps group by page_id) a using (page_id) left join (select page_id, count(*) as n from lines group by page_id) b using (page_id) left join (select page_id, count(*) as n from regions group by page_id) c using (page_id) left join (select page_id, count(*) as n from regions where type in {_TYPES} group by page_id) d using (page_id)", "items", "maps", "lines", "regions"),
+    "field_type_counts": build("select page_id, count(*) as mapping_count, count(*) filter (where field_type = 'checkbox') as checkbox_count, count(*) filter (where field_type = 'multi_line') as multi_line_count from maps group by page_id", "maps"),
+    "category_order": build("select category, n, row_number() over (order by n desc, category) as place from (select category, count(*) as n from cats group by category)", "cats"),
+    "failure_categories_vs_baseline": build(" union all ".join(f"select page_id, '{n}' as category from cat1 where {c}" for n, c in _AGAINST_BASE), "cat1"),
+    "bounds_polygons": build("select page_id, item_idx, array_to_string([cast(floor(v * 10 + 0.5) as bigint) for v in [x1, y1, x2, y1, x2, y2, x1, y2]], ',') as corners from items", "items"),
+    "item_extents": build("select row_id, " + ", ".join(f"{r(f'case when boxed then {a} else coalesce({b}, 0.0) end', 4)} as \"{n}\"" for n, (a, b) in _ENDS.items()) + " from raw_items", "raw_items"),
+    "explicit_boxes": build("select mapping_id, page_id, box_idx, x, y, width, height, field_type from boxes union all select -(page_id * 10 + region_idx) - 1, page_id, 0, x, y, width, height, 'checkbox' from ticks", "boxes", "ticks"),
+    "valid_numbers": ("select mapping_id, coalesce(not isnan(d), false) as valid from (select mapping_id, arg_max(distance, loaded_at) as d from mappings where mapping_id is not null group by mapping_id)"),
+    "run_addresses": ("select run_id, case when regexp_matches(source_image, '^https?://') then source_image when source_image like '/%' then 'http://host' || source_image when source_image <> '' then 'http://host/' || source_image end as url, case when source_image like '/%' then source_image else '/data/' || source_image end as path, '/runs/' || run_id || '/mappings.json' as mappings from runs"),
+    "row_flags": build("select page_id, row_idx, text <> '' as useful, regexp_matches(lower(text), 'snb|jspcb|affix|contd') as noise, (select count(*) from lines l where l.page_id = g.page_id and l.cy between g.top_y - 10 and g.bottom_y + 10) >= 2 as table_row from grow g", "grow", "lines"),
+    "row_assignments": build("select page_id, row_idx, text as label, best.line as line_idx, array_to_string(list_sort(best.g), ',') as group_lines, len(best.g) as group_size, best.d as vertical_distance from rtake where best is not null", "rtake"),
     "flagship_label_field_match": build(f"select page_id, labels, coalesce(matched, 0) as matched, coalesce(lines_used, 0) as lines_used, mean_distance from (select page_id, count(*) as labels from flag_i group by page_id) left join (select page_id, count(*) as matched, count(distinct line_idx) as lines_used, {r('avg(d)', 4)} as mean_distance from flag_m group by page_id) using (page_id)", "flag_i", "flag_m"),
     "geom_bounds": build("select page_id, item_idx, x1, y1, x2, y2, cx, cy from items", "items"),
     "geom_center_length": build(f"select page_id, line_idx, x1, y1, x2, y2, cx, cy, {r('length', 6)} as length from lines", "lines"),

@@ -51,7 +51,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in contours, 0 to 3 a page: page_id, region_idx, x, y, width, height, ink, rectangularity."""
+    """Stand-in contours, 0 to 3 a page: page_id, region_idx, x, y, width, height, ink, rectangularity, vertices, h_rules, v_rules."""
     pages = read(spark, sf_dir, "runs").filter("stage = 'loaded'").select("page_id")
     p, k = F.col("page_id"), F.col("region_idx")
     each = pages.filter("page_id % 4 > 0").select("page_id", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 4 - 1).cast("int"))).alias("region_idx"))
@@ -64,6 +64,9 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(14) + (p * 31 + k * 61) % 10 * ((p + k * 2) % 4 * 5 + 1)).cast("int").alias("height"),
         ((p * 17 + k * 29) % 60 / 100.0).alias("ink"),
         ((p * 13 + k * 7) % 100 / 100.0).alias("rectangularity"),
+        ((p * 3 + k * 5) % 6 + 2).cast("int").alias("vertices"),
+        ((p * 11 + k * 3) % 5).cast("int").alias("h_rules"),
+        ((p * 7 + k * 5) % 4).cast("int").alias("v_rules"),
     )
 
 

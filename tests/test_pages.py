@@ -203,8 +203,8 @@ def test_ranks_and_classes_stay_inside_the_candidate_pool(spark, monkeypatch):
     scores = spark.createDataFrame([(1, 0, 0, 0.90, 5.0, 5.0, False), (1, 0, 1, 0.88, 6.0, 5.0, False)], "page_id long, item_idx int, line_idx int, candidate_score double, b_cy double, b_cx double, rejected boolean")
     pool = spark.createDataFrame([(1, 0, 1)], "page_id long, item_idx int, line_idx int")
     monkeypatch.setattr(pages._Pages, "layout", None)
-    monkeypatch.setattr(pages, "_label_rows", lambda p, lay: None)
-    monkeypatch.setattr(pages.mp, "candidate_scores", lambda lay, found: scores)
+    monkeypatch.setattr(pages, "_label_rows", lambda p, lay: scores.select("page_id", "item_idx").distinct())
+    monkeypatch.setattr(pages.mp, "candidate_scores", lambda lay, found, pool: scores.join(pool, ["page_id", "item_idx", "line_idx"]))
     monkeypatch.setattr(pages.mp, "candidate_pool", lambda lay, found: pool)
     assert [tuple(r) for r in pages.queries()["candidate_top5"](spark, "").collect()] == [(1, 0, 1, 1, 0.88)]
     assert [(r.line_idx, r.confidence_class) for r in pages.queries()["candidate_class"](spark, "").collect()] == [(1, "strong_match")]
