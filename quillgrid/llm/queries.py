@@ -44,7 +44,7 @@ def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ["measure", "station"]
-    return percentiles(value_counts(_measures(spark, sf_dir), groups, "value"), groups, [50, 90, 99])
+    return percentiles(value_counts(_measures(spark, sf_dir), groups, "value"), groups, [50, 90, 99]).withColumn("value", F.round("value", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,14 @@ def oracle_sql() -> dict[str, str]:
             o as (select measure, station, width, value, row_number() over (partition by measure, station order by value) as rn, count(*) over (partition by measure, station) as n from v)
             select measure, station, cast(pct as integer) as pct, cast(floor(value / width) as integer) as bucket
             from o, p where rn = greatest(1, (pct * n + 99) // 100)""",
+        "p3_percentiles": """
+            with r as (select row_id, arg_max(station, loaded_at) as station, arg_max(confidence, loaded_at) as value from result_rows where row_id is not null group by row_id),
+            m as (select mapping_id, arg_max(station, loaded_at) as station, arg_max(distance, loaded_at) as value from mappings where mapping_id is not null group by mapping_id),
+            v as (select 'confidence' as measure, station, value from r where value between 0 and 1 and not isnan(value)
+                  union all select 'distance', station, value from m where value between 0 and 10000 and not isnan(value)),
+            o as (select measure, station, value, row_number() over (partition by measure, station order by value) as rn, count(*) over (partition by measure, station) as n from v)
+            select measure, station, cast(pct as integer) as pct, case when value = 0 then 0.0 else round(exp((floor(ln(value) / (2 * ln(1.001))) + 0.5) * 2 * ln(1.001)), 6) end as value, n as n_values
+            from o, (select unnest([50, 90, 99]) as pct) where rn = greatest(1, (pct * n + 99) // 100)""",
         "p4_found": r"""
             with r as (select row_id, arg_max(text, loaded_at) as text from result_rows where row_id is not null group by row_id),
             m as (select mapping_id, arg_max(label, loaded_at) as label from mappings where mapping_id is not null group by mapping_id),
