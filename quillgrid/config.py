@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Three sets of region types that are kept apart on purpose.
+# Four sets of region types that are kept apart on purpose.
 LAYOUT_EXCLUDED = ("photo_region", "signature_area", "stamp_area", "logo_region", "decorative_box", "non_text_sparse_region", "non_text_candidate", "table_like_region", "checkbox_region")
 PIPELINE_EXCLUDED = ("photo_region", "signature_area", "stamp_area", "logo_region", "decorative_box", "non_text_sparse_region")
 SUPPORT_EXCLUDED = ("photo_region", "signature_area", "checkbox_region", "table_like_region", "stamp_area", "logo_region", "decorative_box")
+PROCESS_EXCLUDED = ("non_text_sparse_region", "non_text_candidate", "photo_region", "signature_area", "table_like_region", "checkbox_region")
 # Words of rows that label no field.
 NOISE_WORDS = ("snb", "jspcb", "affix", "contd")
 

@@ -14,6 +14,7 @@ from quillgrid.operators import evaluate as ev
 from quillgrid.operators import export as ex
 from quillgrid.operators import folds, lines as ln, mapping as mp, ocr, regions as rg, rows as rw, structure as st
 from quillgrid.plans.pages_sql import ORACLES
+from quillgrid.plans.process import Processed, process
 from quillgrid.session import read, store
 from quillgrid.sources import tables
 
@@ -772,6 +773,22 @@ def row_flags(spark, sf_dir):
     return flagged.select("page_id", "row_idx", F.coalesce("useful", F.lit(False)).alias("useful"), rw.is_noise(F.col("text")).alias("noise"), rw.is_table_row(F.coalesce("n", F.lit(0)), 2).alias("table_row"))
 
 
+def _processed(spark: SparkSession, sf_dir: str) -> Processed:
+    p = _Pages(spark, sf_dir)
+    return process(p.items, p.lines, p.contours, p.sizes)
+
+
+@query
+def processed_field_lines(spark, sf_dir):
+    """The field lines of a whole run: all sources of candidates, then the filter."""
+    return _processed(spark, sf_dir).field_lines.select("page_id", "line_idx", "sx", "sy", "ex", "ey", "field_type")
+
+
+@query
+def processed_mappings(spark, sf_dir):
+    return _processed(spark, sf_dir).mappings
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -362,7 +362,15 @@ cte("cbelow", "select page_id, a, list(b) as bs from creach group by page_id, a"
 cte("rcand", "select page_id, row_idx, any_value(text) as text, list({'line': line_idx, 'd': d, 'g': list_prepend(line_idx, coalesce(bs, []))} order by d, w desc, line_idx) as cs, row_number() over (partition by page_id order by row_idx) as k from (select r.page_id, r.row_idx, r.text, l.line_idx, abs(l.cy - r.bottom_y) as d, l.x2 - l.x1 as w, bs from vrow r join clean_l l on l.page_id = r.page_id and l.cy between r.bottom_y - 10 and r.bottom_y + 75 and l.x1 >= r.right_x - 40 left join cbelow c on c.page_id = l.page_id and c.a = l.line_idx) group by page_id, row_idx", "vrow", "clean_l", "cbelow")
 cte("rtake", "select page_id, k, row_idx, text, cs[1] as best, cs[1].g as taken from rcand where k = 1 union all select page_id, k, row_idx, text, best, case when best is null then taken else list_concat(taken, best.g) end from (select c.page_id, c.k, c.row_idx, c.text, p.taken, list_filter(c.cs, lambda x: not list_contains(p.taken, x.line))[1] as best from rtake p join rcand c on c.page_id = p.page_id and c.k = p.k + 1)", "rcand")
 
+cte("extra1", f"select *, least(sx, ex) :: double as x1, least(sy, ey) :: double as y1, greatest(sx, ex) :: double as x2, greatest(sy, ey) :: double as y2, (sx + ex) / 2.0 as cx, (sy + ey) / 2.0 as cy, sqrt(((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) :: double) as length from extra {DEDUP}", "extra")
+cte("every0", "select page_id, row_number() over (partition by page_id order by src, line_idx) - 1 as line_idx, sx, sy, ex, ey, field_type from (select 0 as src, page_id, line_idx, sx, sy, ex, ey, field_type from lines union all select 1, page_id, line_idx, sx, sy, ex, ey, field_type from extra1)", "lines", "extra1")
+cte("every1", f"select *, least(sx, ex) :: double as x1, least(sy, ey) :: double as y1, greatest(sx, ex) :: double as x2, greatest(sy, ey) :: double as y2, (sx + ex) / 2.0 as cx, (sy + ey) / 2.0 as cy, sqrt(((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)) :: double) as length from every0 {DEDUP}", "every0")
+cte("every_counts", "select c.*, (select count(*) from every1 l where l.page_id = c.page_id and l.cx between c.x and c.x + c.width and l.cy between c.y and c.y + c.height) as every_lines from counts c", "counts", "every1")
+cte("run_raw", "select c.* exclude (line_count, every_lines), every_lines as line_count, image_width as iw, image_height as ih, coalesce(th, 18) as th, coalesce(tw, 72) as tw, c.width / greatest(c.height, 1) as a, c.width * c.height / greatest(image_width * image_height, 1.0) as area from every_counts c join sizes using (page_id) left join textsize using (page_id) where rectangularity >= 0.18", "every_counts", "sizes", "textsize")
+cte("run_out", "select page_id, x as x1, y as y1, x + width as x2, y + height as y2 from (select *, case " + " ".join(f"when {c} then '{n}'" for n, _, c in _RULES) + " else 'standard_input' end as type from run_raw) where type in ('non_text_sparse_region', 'non_text_candidate', 'photo_region', 'signature_area', 'table_like_region', 'checkbox_region')", "run_raw")
+
 ORACLES: dict[str, str] = {
+    "processed_field_lines": build(f"select page_id, line_idx, sx, sy, ex, ey, field_type from every1 l where abs(sy - ey) < 5 and length > 100 and cx > 300 and {_NEAR} and not {_TEXT} and not exists (select 1 from run_out g where g.page_id = l.page_id and l.cx between g.x1 and g.x2 and l.cy between g.y1 and g.y2) {DEDUP}", "every1", "items", "run_out"),
     "box_bottom_lines": build("select * from bottoms", "bottoms"),
     "weak_lines": build("select * from weak", "weak"),
     "additional_candidates": build(f"select page_id, line_idx, sx, sy, ex, ey, field_type from extra {DEDUP}", "extra"),

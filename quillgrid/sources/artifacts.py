@@ -59,19 +59,65 @@ def first_input(names: Iterable[str]) -> str | None:
     return next((n for n in DEFAULT_INPUTS if n in there), None)
 
 
-def recognise(files: DataFrame, engine: Callable[[bytes], list[tuple[list[list[float]], str, float | None]]]) -> DataFrame:
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first of the paths that is there."""
+    for path in paths:
+        if path:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+                return path
+    return None
+
+
+def source_image(spark: SparkSession, folder: str, explicit: str | None = None) -> str:
+    """A run's picture: the given one if it is there, else the first converted page by name, else the preview; raises if there is none."""
+    found = first_existing(spark, explicit)
+    if not found:
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        converted = sorted(s.getPath().toString() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/converted_*.png")) or ())
+        found = converted[0] if converted else first_existing(spark, f"{folder}/mapping.png")
+    if not found:
+        raise FileNotFoundError(f"no picture in {folder}")
+    return found
+
+
+def first_pages(files: DataFrame, converter: Callable[[bytes], bytes]) -> DataFrame:
+    """path, length, content, with the first page's picture (from the converter) in place of each PDF; what can't be converted gives no row."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    picture = converter(content)
+                except Exception:  # a damaged document is left out
+                    continue
+                if picture:
+                    rows.append((path, len(picture), picture))
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    is_pdf = F.lower("path").endswith(".pdf")
+    made = files.filter(is_pdf).select("path", "content").mapInArrow(run, "path string, length long, content binary")
+    return files.filter(~is_pdf).select("path", "length", "content").unionByName(made)
+
+
+def recognise(files: DataFrame, engine: Callable[[bytes], list[tuple[list[list[float]], str, float | None]]] | None = None, load: Callable[[], Callable] | None = None) -> DataFrame:
     """Runs a text recogniser (polygon, text, confidence per item) over binary files: path, item_idx, text, bbox, confidence.
 
-    The engine is loaded where it runs, once per worker. Malformed items and
-    files without text give no rows.
+    Give the engine itself, or `load`, which makes it where it runs, once a task.
+    Malformed items and files without text give no rows.
     """
     schema = pa.schema([("path", pa.string()), ("item_idx", pa.int32()), ("text", pa.string()), ("bbox", pa.list_(pa.list_(pa.float64()))), ("confidence", pa.float64())])
 
     def run(batches):
+        read = engine or load()
         for batch in batches:
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                for k, (polygon, text, confidence) in enumerate(engine(content) or ()):
+                for k, (polygon, text, confidence) in enumerate(read(content) or ()):
                     if text and text.strip() and len(polygon) == 4:
                         rows.append((path, k, text.strip(), [[float(x), float(y)] for x, y in polygon], confidence))
             columns = list(zip(*rows)) if rows else [[]] * 5

@@ -208,3 +208,20 @@ def test_ranks_and_classes_stay_inside_the_candidate_pool(spark, monkeypatch):
     monkeypatch.setattr(pages.mp, "candidate_pool", lambda lay, found: pool)
     assert [tuple(r) for r in pages.queries()["candidate_top5"](spark, "").collect()] == [(1, 0, 1, 1, 0.88)]
     assert [(r.line_idx, r.confidence_class) for r in pages.queries()["candidate_class"](spark, "").collect()] == [(1, "strong_match")]
+
+
+def test_process_gives_every_artifact(spark, tmp_path):
+    from quillgrid.plans.process import process, write_artifacts
+
+    i = items(spark, (1, 0, "Name:", 1.0, 0, 100, 80, 20), (1, 1, "Date:", 1.0, 0, 140, 80, 20), (1, 2, "x", 1.0, 900, 100, 10, 20))
+    df = lines(spark, (1, 0, 320, 118, 560, 118, "line"), (1, 1, 320, 158, 560, 158, "line"))
+    contours = spark.createDataFrame([(1, 0, 300, 300, 200, 40, 0.1, 0.9, 4, 0, 0)], "page_id long, region_idx int, x int, y int, width int, height int, ink double, rectangularity double, vertices int, h_rules int, v_rules int")
+    sizes = spark.createDataFrame([(1, 1000.0, 1400.0)], "page_id long, image_width double, image_height double")
+    done = process(i, df, contours, sizes, "ml")
+    assert {(r.label, r.sx) for r in done.mappings.join(done.field_lines, ["page_id", "line_idx"]).collect()} == {("Name:", 320), ("Date:", 320)}
+    assert done.diagnostics.first().labels_processed == 3 and done.mappings.first().mode == "ml"
+    written = write_artifacts(done, str(tmp_path / "run"))
+    assert set(written) == set(done.artifacts()) and spark.read.json(written["mappings"]).count() == 2
+    assert process(i.limit(0), df, contours, sizes).mappings.count() == 0
+    with pytest.raises(ValueError):
+        process(i, df, contours, sizes, "other")

@@ -227,6 +227,33 @@ def test_pluggable_recogniser(spark, tmp_path):
     assert [(r.text, r.item_idx) for r in got] == [("hi", 0)]
 
 
+def test_recogniser_is_loaded_where_it_runs(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"data")
+    (tmp_path / "b.pdf").write_bytes(b"pages")
+    (tmp_path / "c.pdf").write_bytes(b"broken")
+    square = [[0, 0], [1, 0], [1, 1], [0, 1]]
+
+    def convert(content):
+        if content == b"broken":
+            raise ValueError
+        return b"first " + content
+
+    files = artifacts.first_pages(artifacts.uploads(spark, str(tmp_path)), convert)
+    got = artifacts.recognise(files, load=lambda: lambda content: [(square, content.decode(), 0.5)]).collect()
+    assert sorted(r.text for r in got) == ["data", "first pages"]
+
+
+def test_source_image_falls_back(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        artifacts.source_image(spark, str(tmp_path))
+    for name in ("mapping.png", "converted_2.png", "converted_1.png", "given.png"):
+        (tmp_path / name).write_bytes(b"x")
+        want = {"mapping.png": "mapping.png", "converted_2.png": "converted_2.png"}.get(name, "converted_1.png")
+        assert artifacts.source_image(spark, str(tmp_path)).endswith(want)
+    assert artifacts.source_image(spark, str(tmp_path), str(tmp_path / "given.png")).endswith("given.png")
+    assert artifacts.first_existing(spark, None, str(tmp_path / "none"), str(tmp_path / "given.png")).endswith("given.png")
+
+
 def test_streaming_pages(spark, tmp_path, sf_dir):
     source = tmp_path / "in"
     spark.read.parquet(f"{sf_dir}/result_rows.parquet").repartition(3).write.parquet(str(source))
