@@ -54,7 +54,8 @@ def percentiles(counts: DataFrame, groups: list[str], pcts: list[int], ranges: i
     spark = counts.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"_g{k}" for k in range(len(groups))]
-    keyed = counts.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "value", "n")
+    # stored first: the range sort draws its bounds from a run of its own
+    keyed = store(counts.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "value", "n"), "counts")
     # the range of each row is stored with it: bounds are sampled, so they must not be drawn twice
     ranged = store(keyed.repartitionByRange(ranges, *keys, "value").withColumn("range", F.spark_partition_id()), "ranges")
     per_range = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("in_range"))
