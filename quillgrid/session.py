@@ -17,6 +17,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 #: (JVM view, Hadoop configuration, path) of what was written and not removed yet.
 _written: list[tuple] = []
+#: (session, name) of the bucketed tables among them.
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,12 @@ def note(spark: SparkSession, path: str) -> None:
 
 def release() -> None:
     """Removes every stored table; those that still read from one must be done. Also runs when the driver ends."""
+    while _tables:
+        spark, name = _tables.pop()
+        try:
+            spark.sql(f"drop table if exists {name}")
+        except Exception:  # the session may have ended already
+            continue
     while _written:
         jvm, conf, path = _written.pop()
         try:
@@ -62,3 +70,18 @@ def store(df: DataFrame, label: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def store_bucketed(df: DataFrame, key: str, label: str = "cut") -> DataFrame:
+    """store() for a table that is joined by the key again and again: it lies in buckets, so that none of these joins shuffles it.
+
+    The table is in the session's catalogue, under a name of its own, until release().
+    """
+    spark = df.sparkSession
+    name = f"quillgrid_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillgrid/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    note(spark, path)
+    _tables.append((spark, name))
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
