@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.session import store
+from quillgrid.session import store, store_bucketed
 
 # The published Flesch-Kincaid weights (years of schooling), to which levels are linked before ratings speak, and the level bounds.
 PER_SYLLABLE = 11.8
@@ -370,7 +370,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = 40, it
     every = store(source.mapInArrow(_measure(least_words), _STATS_SQL), "prose")
     rest = [c for c in _STATS.names if c not in ("doc_id", "words", "sentences")]
     once = _english(every).groupBy("doc_id").agg(F.max(F.struct("words", "sentences", *rest)).alias("r")).select("doc_id", "r.*")
-    measured = store(once, "prose")
+    measured = store_bucketed(once, "doc_id", "prose")
     ratings = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("reader").cast("string").alias("reader"), F.col("reading_level").cast("int").alias("rating")).filter("rating between 1 and 4").dropDuplicates()
     said = store(ratings.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("reader", "rating"))).alias("ratings")), "ratings")
     published = F.lit(ORIGIN) + PER_SENTENCE_WORD * F.col("words") / F.col("sentences") + PER_SYLLABLE * F.col("syllables") / F.col("words")
