@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -75,7 +76,8 @@ def store(df: DataFrame, label: str = "cut") -> DataFrame:
 def store_bucketed(df: DataFrame, key: str, label: str = "cut") -> DataFrame:
     """store() for a table that is joined by the key again and again: it lies in buckets, so that none of these joins shuffles it.
 
-    The table is in the session's catalogue, under a name of its own, until release().
+    The table is in the session's catalogue, under a name of its own, until
+    release(). A catalogue that takes no tables costs those shuffles, no more.
     """
     spark = df.sparkSession
     name = f"quillgrid_{label}_{uuid.uuid4().hex}"
@@ -83,5 +85,8 @@ def store_bucketed(df: DataFrame, key: str, label: str = "cut") -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     note(spark, path)
     _tables.append((spark, name))
-    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    try:
+        df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+        return spark.table(name)
+    except AnalysisException:
+        return store(df, label)
