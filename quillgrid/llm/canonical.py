@@ -452,7 +452,7 @@ def match_labels(trie: Trie, labels: list[str]) -> list[list[tuple[int, int, int
     return [choose(label, hits, trie.leads, trie.trails) for label, hits in zip(labels, find_hits(trie, labels))]
 
 
-_MATCHES = pa.schema([("id", pa.int64()), ("label_id", pa.int64()), ("errors", pa.int32()), ("cost", pa.float64()), ("candidates", pa.list_(pa.int64()))])
+_MATCHES = pa.schema([("value", pa.string()), ("label_id", pa.int64()), ("errors", pa.int32()), ("cost", pa.float64()), ("candidates", pa.list_(pa.int64()))])
 _HITS_TYPE = pa.list_(pa.struct([("reading", pa.int32()), ("label_id", pa.int64()), ("kind", pa.int32()), ("depth", pa.int32()), ("errors", pa.int32()), ("paths", pa.list_(pa.string()))]))
 _HITS_SQL = "array<struct<reading int, label_id long, kind int, depth int, errors int, paths array<string>>>"
 
@@ -463,6 +463,9 @@ def _answer(chosen: list[tuple[int, int, int, float | None]]) -> tuple:
     return first[0], first[1], first[3], [c[0] for c in chosen]
 
 
+_MATCHES_SQL = "value string, label_id long, errors int, cost double, candidates array<long>"
+
+
 def _batched(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
     waiting: list[tuple] = []
     for b in batches:
@@ -479,14 +482,9 @@ def _map_values(trie_b, batch: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_b.value
-        known: dict[str, tuple] = {}
         for rows in _batched(batches, batch):
-            new = list(dict.fromkeys(v for _, v in rows if v not in known))
-            for v, got in zip(new, match_labels(trie, new)):
-                known[v] = _answer(got)
-            columns = list(zip(*((i, *known[v]) for i, v in rows)))
-            if len(known) > 200_000:
-                known.clear()
+            values = [v for v, in rows]
+            columns = list(zip(*((v, *_answer(got)) for v, got in zip(values, match_labels(trie, values)))))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _MATCHES)], schema=_MATCHES)
 
     return run
@@ -497,12 +495,11 @@ def _hit_values(trie_b, batch: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_b.value
+        names = ("reading", "label_id", "kind", "depth", "errors", "paths")
         for rows in _batched(batches, batch):
-            new = list(dict.fromkeys(v for _, v in rows))
-            known = dict(zip(new, find_hits(trie, new)))
-            kept = [(i, v, known[v]) for i, v in rows if known[v]]
-            names = ("reading", "label_id", "kind", "depth", "errors", "paths")
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array([[dict(zip(names, h)) for h in k[2]] for k in kept], _HITS_TYPE)], names=["id", "value", "hits"])
+            values = [v for v, in rows]
+            kept = [(v, hits) for v, hits in zip(values, find_hits(trie, values)) if hits]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in kept], pa.string()), pa.array([[dict(zip(names, h)) for h in hits] for _, hits in kept], _HITS_TYPE)], names=["value", "hits"])
 
     return run
 
@@ -510,7 +507,7 @@ def _hit_values(trie_b, batch: int):
 def _choose_values(leads: list, trails: list):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _batched(batches, 10_000):
-            columns = list(zip(*((i, *_answer(choose(v, [tuple(h.values()) for part in parts for h in part], leads, trails))) for i, v, parts in rows)))
+            columns = list(zip(*((v, *_answer(choose(v, [tuple(h.values()) for part in parts for h in part], leads, trails))) for v, parts in rows)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _MATCHES)], schema=_MATCHES)
 
     return run
@@ -538,22 +535,24 @@ def map_to_entries(values: DataFrame, reference: DataFrame, id_col: str = "mappi
     if len(entries) > most_entries:
         raise ValueError(f"the reference list has more than {most_entries} entries")
     source = values.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).alias("value")).filter(F.col("id").isNotNull() & F.col("value").rlike(r"[^\s\p{Z}]"))
-    # dealt explicitly: matching takes far more time than its few bytes suggest
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = source.repartition(tasks, "id").groupBy("id").agg(F.min("value").alias("value"))
+    once = store(source.groupBy("id").agg(F.min("value").alias("value")), "values")
+    # each value is matched once, however many rows have it; dealt explicitly, as that takes far more time than its few bytes suggest
+    distinct = once.select("value").distinct().repartition(tasks, "value")
     prefixes = known_prefixes(entries, wording)
     tries = [Trie(entries[k : k + block], prefixes, wording) for k in range(0, max(1, len(entries)), block)]
     if len(tries) == 1:
-        return once.mapInArrow(_map_values(spark.sparkContext.broadcast(tries[0]), batch), "id long, label_id long, errors int, cost double, candidates array<long>")
-    once = store(once, "values")
-    every = None
-    for trie in tries:
-        part = once.mapInArrow(_hit_values(spark.sparkContext.broadcast(trie), batch), f"id long, value string, hits {_HITS_SQL}")
-        every = part if every is None else every.unionByName(part)
-    together = every.groupBy("id").agg(F.first("value").alias("value"), F.collect_list("hits").alias("hits"))
-    chosen = together.select("id", "value", "hits").mapInArrow(_choose_values(tries[0].leads, tries[0].trails), "id long, label_id long, errors int, cost double, candidates array<long>")
-    none = once.select("id").join(chosen, "id", "left")
-    return none.select("id", F.coalesce("label_id", F.lit(-1)).alias("label_id"), F.coalesce("errors", F.lit(-1)).alias("errors"), "cost", F.coalesce("candidates", F.array().cast("array<long>")).alias("candidates"))
+        chosen = distinct.mapInArrow(_map_values(spark.sparkContext.broadcast(tries[0]), batch), _MATCHES_SQL)
+    else:
+        distinct = store(distinct, "values")
+        every = None
+        for trie in tries:
+            part = distinct.mapInArrow(_hit_values(spark.sparkContext.broadcast(trie), batch), f"value string, hits {_HITS_SQL}")
+            every = part if every is None else every.unionByName(part)
+        together = every.groupBy("value").agg(F.collect_list("hits").alias("hits"))  # as many as there are blocks with hits
+        chosen = together.mapInArrow(_choose_values(tries[0].leads, tries[0].trails), _MATCHES_SQL)
+    named = once.join(chosen.filter("label_id >= 0 or size(candidates) > 0"), "value", "left")
+    return named.select("id", F.coalesce("label_id", F.lit(-1)).alias("label_id"), F.coalesce("errors", F.lit(-1)).alias("errors"), "cost", F.coalesce("candidates", F.array().cast("array<long>")).alias("candidates"))
 
 
 def unmatched_values(values: DataFrame, reference: DataFrame, **options) -> DataFrame:
