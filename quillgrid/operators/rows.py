@@ -174,7 +174,8 @@ def map_rows(rows: DataFrame, lines: DataFrame, c: Config = DEFAULT) -> DataFram
     valid = rows.filter(~is_noise(F.col("text"))).groupBy("page_id").agg(F.collect_list(F.struct("row_idx", "text", "bottom_y", "right_x")).alias("rows"))
     clean = clean_lines(lines, c).groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "cx", "cy", "x1", "x2")).alias("lines"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pages = valid.join(clean, "page_id").select("page_id", "rows", "lines").repartition(tasks, "page_id")
+    # dealt by a hash: the plain key would be merged with the join's shuffle and coalesced by its few bytes
+    pages = valid.join(clean, "page_id").select("page_id", "rows", "lines").repartition(tasks, F.xxhash64("page_id"))
     return pages.mapInArrow(_map_pages(c), "page_id long, row_idx long, label string, line_idx int, group_lines string, group_size int, vertical_distance double")
 
 

@@ -544,5 +544,5 @@ def consistent_table(exports: DataFrame, number: str = "confidence", ranges: int
     when = columns.groupBy("export_id").agg(F.max("exported_at").alias("exported_at"))
     scanned = store(scan_feeds(exports, ranges).select("feed_id", "range", "export_id", "fields").join(when, "export_id").withColumn("place", F.struct("exported_at", "export_id")), "scanned")
     tasks = int(exports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = once.join(projections(scanned, number), "export_id", "left").select("export_id", "feed_id", "exported_at", "payload", "projection").repartition(tasks, "export_id")
+    read = once.join(projections(scanned, number), "export_id", "left").select("export_id", "feed_id", "exported_at", "payload", "projection").repartition(tasks, F.xxhash64("export_id"))
     return read.mapInArrow(_project, "export_id long, feed_id long, exported_at timestamp_ntz, row_no int, fields map<string,string>, number double").withColumnRenamed("number", number)
