@@ -537,8 +537,9 @@ def map_to_entries(values: DataFrame, reference: DataFrame, id_col: str = "mappi
     source = values.select(F.col(id_col).cast("long").alias("id"), F.col(value_col).alias("value")).filter(F.col("id").isNotNull() & F.col("value").rlike(r"[^\s\p{Z}]"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = store(source.groupBy("id").agg(F.min("value").alias("value")), "values")
-    # each value is matched once, however many rows have it; dealt explicitly, as that takes far more time than its few bytes suggest
-    distinct = once.select("value").distinct().repartition(tasks, "value")
+    # each value is matched once, however many rows have it; dealt explicitly (by a hash, as the plain key would be
+    # merged with the shuffle before it and then coalesced), as that takes far more time than its few bytes suggest
+    distinct = once.select("value").distinct().repartition(tasks, F.xxhash64("value"))
     prefixes = known_prefixes(entries, wording)
     tries = [Trie(entries[k : k + block], prefixes, wording) for k in range(0, max(1, len(entries)), block)]
     if len(tries) == 1:
