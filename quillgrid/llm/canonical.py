@@ -36,7 +36,9 @@ _SIGNS = ((re.compile(r"%\s*age\b", re.I), " percentage "), (re.compile(r"%"), "
 
 def squash(text: str) -> str:
     """Letters and digits only, without case and accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if c.isalnum())
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    return "".join(filter(str.isalnum, text.lower()))
 
 
 def fold(squashed: str) -> str:
@@ -359,6 +361,10 @@ def word_costs(value: str, path: str) -> list[tuple[int, float]]:
     i, j = m, n
     while i or j:
         here = table[i][j]
+        if i and j and table[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else 0.5 if like_a[i - 1] == like_b[j - 1] else 1) == here:
+            cost[word[j - 1]] += here - table[i - 1][j - 1]  # the first of equal moves
+            i, j = i - 1, j - 1
+            continue
         moves = [(di, dj) for di, dj in ((1, 1), (2, 2), (2, 1), (1, 2), (3, 1), (1, 3), (1, 0), (0, 1)) if i >= di and j >= dj]
         di, dj = min(moves, key=lambda d: (table[i - d[0]][j - d[1]] + _move(a, b, i, j, *d), d[0] + d[1] < 2))
         cost[word[max(j - 1, 0)]] += here - table[i - di][j - dj]
