@@ -433,5 +433,6 @@ def assignments(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT) -> Data
     # a head's numbers aren't read; without nulls they stay plain arrays
     rows = rows.select("page_id", "text", *[F.coalesce(F.col(n), F.lit(False) if n == "rejected" else F.lit(0)).alias(n) for n in _NUMBERS], "lines", "texts", "blocks")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "page_id").sortWithinPartitions("page_id", "item_idx")
+    # by a hash of the page: a repartition by the joins' own key is dropped, and skew joins would then part a page
+    dealt = rows.repartition(tasks, F.xxhash64("page_id")).sortWithinPartitions("page_id", F.col("lines").isNull(), "item_idx")
     return dealt.mapInArrow(_assign_pages(c), "page_id long, item_idx int, label string, line_idx int, group_lines string, group_size int, candidate_score double, confidence_class string, distance double, candidate_count int")
