@@ -15,7 +15,7 @@ from quillgrid.config import DEFAULT, SUPPORT_EXCLUDED, Config
 from quillgrid.functions import geometry as g
 from quillgrid.functions import text as t
 from quillgrid.operators import structure as s
-from quillgrid.session import store
+from quillgrid.session import store_joined
 
 
 def column_split(items: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -65,20 +65,20 @@ class Layout:
 
     @cached_property
     def items(self) -> DataFrame:
-        return store(self._source[0], "items")
+        return store_joined(self._source[0], "items")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return store(self._source[1], "lines")
+        return store_joined(self._source[1], "lines")
 
     @cached_property
     def regions(self) -> DataFrame:
         made = self._source[2]
-        return store(made if isinstance(made, DataFrame) else made(self.items, self.lines), "regions")
+        return store_joined(made if isinstance(made, DataFrame) else made(self.items, self.lines), "regions")
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return store(s.metrics(self.items, self.lines, self.regions), "metrics")
+        return store_joined(s.metrics(self.items, self.lines, self.regions), "metrics")
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -86,19 +86,19 @@ class Layout:
 
     @cached_property
     def band_members(self) -> DataFrame:
-        return store(s.banded(self.entities, self.metrics), "bands")
+        return store_joined(s.banded(self.entities, self.metrics), "bands")
 
     @cached_property
     def bands(self) -> DataFrame:
-        return store(s.bands(self.band_members, self.metrics), "bands")
+        return store_joined(s.bands(self.band_members, self.metrics), "bands")
 
     @cached_property
     def label_members(self) -> DataFrame:
-        return store(s.columned(self.entities, self.metrics, "label"), "columns")
+        return store_joined(s.columned(self.entities, self.metrics, "label"), "columns")
 
     @cached_property
     def field_members(self) -> DataFrame:
-        return store(s.columned(self.entities, self.metrics, "field"), "columns")
+        return store_joined(s.columned(self.entities, self.metrics, "field"), "columns")
 
     @cached_property
     def label_columns(self) -> DataFrame:
@@ -110,15 +110,15 @@ class Layout:
 
     @cached_property
     def label_zones(self) -> DataFrame:
-        return store(s.zones(self.band_members, self.label_members, self.bands, "label"), "zones")
+        return store_joined(s.zones(self.band_members, self.label_members, self.bands, "label"), "zones")
 
     @cached_property
     def field_zones(self) -> DataFrame:
-        return store(s.zones(self.band_members, self.field_members, self.bands, "field"), "zones")
+        return store_joined(s.zones(self.band_members, self.field_members, self.bands, "field"), "zones")
 
     @cached_property
     def owned(self) -> DataFrame:
-        return store(s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics), "owned")
+        return store_joined(s.ownership(self.label_zones, self.field_zones, self.bands, self.metrics), "owned")
 
     @cached_property
     def excluded(self) -> DataFrame:
@@ -126,11 +126,11 @@ class Layout:
 
     @cached_property
     def placed_labels(self) -> DataFrame:
-        return store(self._placed("label"), "placed")
+        return store_joined(self._placed("label"), "placed")
 
     @cached_property
     def placed_lines(self) -> DataFrame:
-        return store(self._placed("line"), "placed")
+        return store_joined(self._placed("line"), "placed")
 
     def _placed(self, kind: str) -> DataFrame:
         """Items or lines with zone, band and column, and for lines the excluded flag: one row per thing."""
@@ -423,7 +423,7 @@ def assignments(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT) -> Data
     The scores are computed as columns; only this step, whose state is the set
     of taken lines, runs page by page. Unresolved labels give no row.
     """
-    label_rows = store(label_rows, "labels")
+    label_rows = store_joined(label_rows, "labels")
     scores = candidate_scores(lay, label_rows, c, candidate_pool(lay, label_rows)).join(lay.metrics.select("page_id", "indent_tolerance"), "page_id")
     kept = lay.regions.filter(~F.col("type").isin("multiline_text_region", "standard_input")).groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("blocks"))
     lines = lay.lines.groupBy("page_id").agg(F.collect_list(F.struct("line_idx", "cx", "cy", "sx", "sy", "length")).alias("lines"))

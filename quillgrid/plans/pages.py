@@ -15,7 +15,7 @@ from quillgrid.operators import export as ex
 from quillgrid.operators import folds, lines as ln, mapping as mp, ocr, regions as rg, rows as rw, structure as st
 from quillgrid.plans.pages_sql import ORACLES
 from quillgrid.plans.process import Processed, process
-from quillgrid.session import read, store
+from quillgrid.session import read, store_joined
 from quillgrid.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,7 +313,7 @@ def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the lines in each label's candidate pool."""
     p = _Pages(spark, sf_dir)
     lay = p.layout
-    found = store(_label_rows(p, lay), "labels")
+    found = store_joined(_label_rows(p, lay), "labels")
     return mp.candidate_scores(lay, found, pool=mp.candidate_pool(lay, found))
 
 
@@ -653,7 +653,7 @@ def candidate_region(spark, sf_dir):
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Pages(spark, sf_dir)
     lay = p.layout
-    found = store(_label_rows(p, lay), "labels")
+    found = store_joined(_label_rows(p, lay), "labels")
     return mp.ranked(mp.candidate_scores(lay, found, pool=mp.candidate_pool(lay, found), explain=True))
 
 

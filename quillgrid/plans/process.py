@@ -14,7 +14,7 @@ from quillgrid.operators import lines as ln
 from quillgrid.operators import mapping as mp
 from quillgrid.operators import regions as rg
 from quillgrid.operators import structure as st
-from quillgrid.session import store
+from quillgrid.session import store, store_joined
 from quillgrid.sources.artifacts import MODES
 
 
@@ -58,9 +58,9 @@ def process(items: DataFrame, strokes: DataFrame, contours: DataFrame, sizes: Da
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    candidates = store(ln.union_candidates(strokes, ln.union_candidates(ln.box_bottoms(contours, sizes), ln.weak_lines(strokes))), "candidates")
-    regions = store(rg.classify(contours, items, candidates, sizes), "regions")
-    fields = store(ln.field_lines(candidates, items, rg.of_types(regions, PROCESS_EXCLUDED), c), "lines")
+    candidates = store_joined(ln.union_candidates(strokes, ln.union_candidates(ln.box_bottoms(contours, sizes), ln.weak_lines(strokes))), "candidates")
+    regions = store_joined(rg.classify(contours, items, candidates, sizes), "regions")
+    fields = store_joined(ln.field_lines(candidates, items, rg.of_types(regions, PROCESS_EXCLUDED), c), "lines")
     lay = mp.Layout(items, fields, regions)
     found = mp.assignments(lay, mp.labels(lay.items, lay.metrics, c), c)
     return Processed(lay.items, lay.lines, lay.regions, lay, store(found.withColumn("mode", F.lit(mode)), "mappings"), mode)

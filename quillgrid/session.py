@@ -59,6 +59,28 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Bytes of files from which on store_joined() keeps a stored table from being broadcast; unpacked and hashed they come to ten times as much or more.
+BROADCAST_BYTES = 256 * 1024
+
+
+def store_joined(df: DataFrame, label: str = "cut") -> DataFrame:
+    """store() for a table that grows with the pages and is joined again and again: unless its files are small, joins merge it.
+
+    Spark's size rule goes by the compressed files of the columns that are read,
+    so a table within the rule may be hundreds of MB once it is collected and
+    hashed on the driver, where several are built at a time.
+    """
+    out = store(df, label)
+    return out.hint("merge") if _bytes(out) > BROADCAST_BYTES else out
+
+
+def _bytes(stored: DataFrame) -> int:
+    """Of the files that a stored table is read from."""
+    jvm, conf = stored.sparkSession.sparkContext._jvm, stored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in stored.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def store(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 

@@ -1,6 +1,7 @@
 """What depends on the size of tables or on how Spark cuts them up."""
 
-from quillgrid.plans import registry
+from quillgrid import session
+from quillgrid.plans import pages, registry
 
 
 def test_pages_are_dealt_after_the_joins(spark, sf_dir):
@@ -12,3 +13,11 @@ def test_pages_are_dealt_after_the_joins(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_large_stored_relations_are_merged(spark, sf_dir, monkeypatch):
+    """A stored relation of the layout that is past the size isn't broadcast, whatever few columns a join takes of it."""
+    plan = lambda lay: lay.lines.join(lay.items.select("page_id", "item_idx"), "page_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(pages._Pages(spark, sf_dir).layout.prepare(1))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    assert "SortMergeJoin" in plan(pages._Pages(spark, sf_dir).layout.prepare(1))
