@@ -60,12 +60,12 @@ def _term_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intervals of depth 1 of the same suffix array that gives the phrases."""
-    return marked_terms(_term_records(spark, sf_dir), longest=3, deepest=1).filter("mark is not null").select("src", "term", "occurrences", "records", "mark")
+    return marked_terms(_term_records(spark, sf_dir), deepest=1).filter("mark is not null").select("src", "term", "occurrences", "records", "mark")
 
 
 def p4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All n-grams of up to three tokens."""
-    return marked_terms(_term_records(spark, sf_dir), longest=3).select("src", "term", "n", "occurrences", "records", "mark")
+    """All n-grams of up to three tokens, off the array of whole suffixes."""
+    return marked_terms(_term_records(spark, sf_dir), deepest=3).select("src", "term", "n", "occurrences", "records", "mark")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

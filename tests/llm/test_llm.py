@@ -449,3 +449,13 @@ def test_text_records_take_the_latest_and_skip_blanks(spark):
     df = spark.createDataFrame([(1, "Old Text", T), (1, "New  TEXT-2 é", T + dt.timedelta(days=1)), (2, "  \t", T), (3, None, T), (None, "x", T)], "row_id long, text string, loaded_at timestamp_ntz")
     assert [(r.record, r.tokens) for r in te.text_records(df, "row_id", "text", "s", True).collect()] == [(1, ["new", "text", "2", "é"])]
     assert [r.tokens for r in te.text_records(df, "row_id", "text", "s", False).collect()] == [["new text-2 é"]]
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_phrases"])
+def test_terms_sort_whole_suffixes(spark, sf_dir, monkeypatch, name):
+    from quillgrid.llm import queries, terms
+
+    seen, cut = [], terms.suffixes
+    monkeypatch.setattr(terms, "suffixes", lambda records, longest: seen.append(longest) or cut(records, longest))
+    queries.queries()[name](spark, sf_dir)
+    assert seen == [None]
