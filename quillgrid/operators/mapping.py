@@ -48,7 +48,7 @@ class Layout:
     """
 
     #: Stored relations in the order in which they need each other; those of one step don't.
-    STEPS = (("items", "lines"), ("regions",), ("metrics",), ("band_members", "label_members", "field_members"), ("bands",), ("label_zones", "field_zones"), ("owned", "placed_labels", "placed_lines"))
+    STEPS = (("items", "lines"), ("regions",), ("metrics",), ("band_members", "label_members", "field_members"), ("bands",), ("label_zones", "field_zones"), ("owned", "label_columns", "field_columns", "excluded"), ("placed_labels", "placed_lines"))
 
     def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame | Callable[[DataFrame, DataFrame], DataFrame]):
         """`regions`: the relation, or what makes it from the stored items and lines."""
@@ -102,11 +102,11 @@ class Layout:
 
     @cached_property
     def label_columns(self) -> DataFrame:
-        return s.columns(self.label_members, self.metrics, "label")
+        return store_joined(s.columns(self.label_members, self.metrics, "label"), "columns")
 
     @cached_property
     def field_columns(self) -> DataFrame:
-        return s.columns(self.field_members, self.metrics, "field")
+        return store_joined(s.columns(self.field_members, self.metrics, "field"), "columns")
 
     @cached_property
     def label_zones(self) -> DataFrame:
@@ -122,7 +122,7 @@ class Layout:
 
     @cached_property
     def excluded(self) -> DataFrame:
-        return s.excluded_regions(self.regions, self.field_zones, self.bands, self.metrics)
+        return store_joined(s.excluded_regions(self.regions, self.field_zones, self.bands, self.metrics), "excluded")
 
     @cached_property
     def placed_labels(self) -> DataFrame:
@@ -136,11 +136,9 @@ class Layout:
         """Items or lines with zone, band and column, and for lines the excluded flag: one row per thing."""
         source, key = (self.items, "item_idx") if kind == "label" else (self.lines, "line_idx")
         zone_rows, cols = (self.label_zones, self.label_columns) if kind == "label" else (self.field_zones, self.field_columns)
-        p = s.best_zone(source.select("page_id", key, "x1", "y1", "x2", "y2"), key, zone_rows, "zone_idx", "zone")
-        p = s.best_zone(p, key, self.bands.drop("support"), "band_idx", "band")
-        p = p.join(zone_rows.select("page_id", F.col("zone_idx").alias("zone"), "column_idx", F.col("x2").alias("zone_x2")), ["page_id", "zone"], "left")
-        p = p.join(cols.select("page_id", "column_idx", "center_x", "is_primary"), ["page_id", "column_idx"], "left")
-        p = p.join(self.bands.select("page_id", F.col("band_idx").alias("band"), "center_y"), ["page_id", "band"], "left")
+        zone_rows = zone_rows.join(cols.select("page_id", "column_idx", "center_x", "is_primary"), ["page_id", "column_idx"], "left")
+        p = s.best_zone(source.select("page_id", key, "x1", "y1", "x2", "y2"), key, zone_rows, "zone_idx", "zone", {"column_idx": "column_idx", "zone_x2": "x2", "center_x": "center_x", "is_primary": "is_primary"})
+        p = s.best_zone(p, key, self.bands.drop("support"), "band_idx", "band", {"center_y": "center_y"})
         if kind == "line":
             p = s.excluded_flag(p, key, self.excluded)
         return p.drop("x1", "y1", "x2", "y2")
@@ -154,8 +152,14 @@ def candidate_region(lines: DataFrame, regions: DataFrame) -> DataFrame:
     return hit.groupBy("page_id", "line_idx").agg(F.min(F.struct("region_idx", "type")).alias("r")).select("page_id", "line_idx", F.col("r.type").alias("region_type"))
 
 
-def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """Every label with every line of its page, or with those of its pool, with geometric and structural features (4 decimals)."""
+def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = None, by_page: DataFrame | None = None, by_line: DataFrame | None = None) -> DataFrame:
+    """Every label with every line of its page, or with those of its pool, with geometric and structural features (4 decimals).
+
+    `by_page` (of all pages with labels) and `by_line` (of some lines) give
+    further columns. All that depends on the label or the line alone is joined
+    and stored before they are paired: no join carries the pairs, and no plan
+    grows so large that it fills the driver.
+    """
     lay.prepare()
     m = lay.metrics.select("page_id", "page_width", "row_tolerance", "multiline_band_gap", "column_tolerance", "avg_line_length", "band_tolerance")
     a = label_rows.select("page_id", "item_idx", "text", "confidence", "column_split", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
@@ -164,13 +168,16 @@ def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = N
     bp = lay.placed_lines.select("page_id", "line_idx", "excluded", *[F.col(c).alias(f"b_{c}") for c in ("zone", "band", "zone_support", "band_confidence", "center_x", "center_y", "is_primary")])
     o = lay.owned.select("page_id", "label_zone", "field_zone", F.col("confidence").alias("_oc"))
     # the ownership of a pair of zones is unique, of a label zone too; a missing side is a wildcard
-    left, right = a.join(ap, ["page_id", "item_idx"]), b.join(bp, ["page_id", "line_idx"])
-    pairs = left.join(right, "page_id") if pool is None else pool.join(left, ["page_id", "item_idx"]).join(right, ["page_id", "line_idx"])
-    pairs = pairs.join(m, "page_id")
     by_label = o.select("page_id", F.col("label_zone").alias("a_zone"), F.col("field_zone").alias("_of"), F.col("_oc").alias("_o1"))
     by_field = o.groupBy("page_id", F.col("field_zone").alias("b_zone")).agg(F.max("_oc").alias("_o2"))
     any_zone = o.groupBy("page_id").agg(F.max("_oc").alias("_o3"))
-    pairs = pairs.join(by_label, ["page_id", "a_zone"], "left").join(by_field, ["page_id", "b_zone"], "left").join(any_zone, "page_id", "left")
+    pages = m.join(any_zone, "page_id", "left")
+    left = a.join(ap, ["page_id", "item_idx"]).join(by_label, ["page_id", "a_zone"], "left").join(pages if by_page is None else pages.join(by_page, "page_id"), "page_id")
+    right = b.join(bp, ["page_id", "line_idx"]).join(by_field, ["page_id", "b_zone"], "left")
+    if by_line is not None:
+        right = right.join(by_line, ["page_id", "line_idx"], "left")
+    left, right = store_joined(left, "left"), store_joined(right, "right")
+    pairs = left.join(right, "page_id") if pool is None else pool.join(left, ["page_id", "item_idx"]).join(right, ["page_id", "line_idx"])
     stated = F.coalesce(
         F.when(F.col("a_zone").isNotNull() & F.col("b_zone").isNotNull(), F.when(F.col("_of") == F.col("b_zone"), F.col("_o1")))
         .when(F.col("a_zone").isNotNull(), F.col("_o1"))
@@ -201,7 +208,8 @@ def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = N
     structure = g.clamp01(F.col("_same_band") * 0.22 + F.col("_band_align") * 0.18 + F.col("_colc") * 0.32 + F.col("_own") * 0.26 + F.col("_fs") * 0.10 + F.col("_ls") * 0.06 + F.greatest("_same_band", "_bs") * 0.04 - F.col("excluded") * 0.55)
     strength = g.clamp01(F.col("_same_row") * 0.24 + F.col("_cont") * 0.30 + F.col("_align") * 0.18 + g.round_to(F.col("_own"), 4) * 0.28)
     out = {"same_row": F.col("_same_row"), "same_column": F.col("_same_col"), "vertical_continuation": F.col("_cont"), "x_overlap_ratio": F.col("_xo"), "spacing_similarity": F.col("_space"), "size_consistency": F.col("_size"), "ownership_strength": strength, "region_support": F.greatest(g.round_to(F.col("_fs"), 4), g.round_to(F.col("_ls"), 4)), "alignment_score": F.col("_align"), "column_consistency": F.col("_colc"), "ownership_confidence": F.col("_own"), "global_structure_score": structure, "band_alignment": F.col("_band_align")}
-    keep = ["page_id", "item_idx", "line_idx", "text", "confidence", "column_split", "field_type", "length", "sx", "sy", "ex", "ey", "excluded", "a_zone", "a_band", "a_zone_x2", "a_center_y", "b_zone", *[f"{p}_{c}" for p in "ab" for c in ("x1", "y1", "x2", "y2", "cx", "cy")]]
+    more = [c for d in (by_page, by_line) if d is not None for c in d.columns if c not in ("page_id", "line_idx")]
+    keep = ["page_id", "item_idx", "line_idx", "text", "confidence", "column_split", "row_tolerance", "column_tolerance", *more, "field_type", "length", "sx", "sy", "ex", "ey", "excluded", "a_zone", "a_band", "a_zone_x2", "a_center_y", "b_zone", *[f"{p}_{c}" for p in "ab" for c in ("x1", "y1", "x2", "y2", "cx", "cy")]]
     return f.select(*keep, *[g.round_to(v, 4).alias(k) for k, v in out.items()])
 
 
@@ -213,11 +221,12 @@ def candidate_scores(lay: Layout, label_rows: DataFrame, c: Config = DEFAULT, po
     """
     from quillgrid.operators.lines import table_groups
 
-    m = lay.metrics.select("page_id", "avg_text_width", "row_tolerance", "column_tolerance")
-    tables = table_groups(lay.lines, c).select("page_id", "line_idx").withColumn("_table", F.lit(True))
-    f = pair_features(lay, label_rows, pool).join(m, "page_id").join(local_metrics(lay.items, lay.lines), "page_id").join(tables, ["page_id", "line_idx"], "left")
+    lay.prepare()
+    by_page = local_metrics(lay.items, lay.lines).join(lay.metrics.select("page_id", "avg_text_width"), "page_id")
+    by_line = table_groups(lay.lines, c).select("page_id", "line_idx").withColumn("_table", F.lit(True))
     if explain:
-        f = f.join(candidate_region(lay.lines, lay.regions), ["page_id", "line_idx"], "left")
+        by_line = by_line.join(candidate_region(lay.lines, lay.regions), ["page_id", "line_idx"], "full")
+    f = pair_features(lay, label_rows, pool, by_page, by_line)
     dx, dy = F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")
     horizontal = g.clamp01(1 - F.abs(dx) / F.greatest(F.col("avg_text_width") * 2, F.lit(100.0)))
     vertical = g.clamp01(1 - F.abs(dy) / F.greatest(F.col("row_tolerance") * 1.6, F.lit(1.0)))

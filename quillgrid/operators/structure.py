@@ -146,19 +146,21 @@ def excluded_regions(regions: DataFrame, field_zones: DataFrame, band_rows: Data
     return seen.unionByName(made)
 
 
-def best_zone(things: DataFrame, key: str, zone_rows: DataFrame, zone_key: str, out: str) -> DataFrame:
+def best_zone(things: DataFrame, key: str, zone_rows: DataFrame, zone_key: str, out: str, more: dict[str, str] | None = None) -> DataFrame:
     """Adds `out` (null if none) and `<out>_support`, `<out>_confidence`: the zone or band that holds each thing best; first of equals.
 
-    A zone qualifies if the boxes overlap or the thing's centre is within 6 of it.
+    A zone qualifies if the boxes overlap or the thing's centre is within 6 of
+    it. `more`: further columns of the zone, by the name that they get.
     """
+    more = more or {}
     support = F.col("support") if "support" in zone_rows.columns else F.lit(0.0)
-    z = zone_rows.select("page_id", F.col(zone_key).alias("_z"), support.alias("_s"), F.col("confidence").alias("_c"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    z = zone_rows.select("page_id", F.col(zone_key).alias("_z"), support.alias("_s"), F.col("confidence").alias("_c"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")], *[F.col(c).alias(f"_m_{n}") for n, c in more.items()])
     over = g.overlap_ratio(g.box(), g.box("_"))
     cx, cy = g.center(g.box())
     pairs = things.select("page_id", key, "x1", "y1", "x2", "y2").join(z, "page_id").filter((over > 0) | g.inside(cx, cy, g.box("_"), 6.0))
     score = g.round_to(over * 0.7 + F.col("_c") * 0.2 + F.col("_s") * 0.1, 9)
-    best = pairs.groupBy("page_id", key).agg(F.max(F.struct(score.alias("s"), (-F.col("_z")).alias("z"), "_s", "_c")).alias("b"))
-    return things.join(best.select("page_id", key, (-F.col("b.z")).alias(out), F.col("b._s").alias(f"{out}_support"), F.col("b._c").alias(f"{out}_confidence")), ["page_id", key], "left")
+    best = pairs.groupBy("page_id", key).agg(F.max(F.struct(score.alias("s"), (-F.col("_z")).alias("z"), "_s", "_c", *[f"_m_{n}" for n in more])).alias("b"))
+    return things.join(best.select("page_id", key, (-F.col("b.z")).alias(out), F.col("b._s").alias(f"{out}_support"), F.col("b._c").alias(f"{out}_confidence"), *[F.col(f"b._m_{n}").alias(n) for n in more]), ["page_id", key], "left")
 
 
 def excluded_flag(things: DataFrame, key: str, excluded: DataFrame) -> DataFrame:

@@ -21,3 +21,14 @@ def test_large_stored_relations_are_merged(spark, sf_dir, monkeypatch):
     assert "BroadcastHashJoin" in plan(pages._Pages(spark, sf_dir).layout.prepare(1))
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     assert "SortMergeJoin" in plan(pages._Pages(spark, sf_dir).layout.prepare(1))
+
+
+def _joins(spark, sf_dir, name: str) -> int:
+    """In the plan that is left once the stored relations are there."""
+    return registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_pairs_are_carried_through_no_join(spark, sf_dir):
+    """What a label or a line has alone is joined and stored before the two are paired."""
+    assert _joins(spark, sf_dir, "pair_features") == 1
+    assert _joins(spark, sf_dir, "candidate_scores") == 1
