@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.config import LAYOUT_EXCLUDED
 from quillgrid.functions import geometry as g
 from quillgrid.operators.folds import running_mean_groups
+from quillgrid.session import store
 
 
 def metrics(items: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFrame:
@@ -222,7 +223,10 @@ def theta_edges(ents: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def membership_edges(ents: DataFrame, band_rows: DataFrame, label_zones: DataFrame, field_zones: DataFrame, label_columns: DataFrame, field_columns: DataFrame, excluded: DataFrame, owned: DataFrame) -> DataFrame:
-    """Edges of the layout graph: page_id, source, target, relationship, score."""
+    """Edges of the layout graph: page_id, source, target, relationship, score.
+
+    What boxes in common decide is stored kind by kind, as one plan of all kinds grows large on the driver.
+    """
     flat = ents.filter("kind <> 'semantic_region'")
 
     def named(df: DataFrame, source: Column, target: Column, relation: Column, score: Column) -> DataFrame:
@@ -230,13 +234,13 @@ def membership_edges(ents: DataFrame, band_rows: DataFrame, label_zones: DataFra
 
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     held = best_zone(flat, "id", band_rows.drop("support"), "band_idx", "band").filter("band is not null")
-    out = named(held, F.col("id"), text("band-", "band"), F.concat("kind", F.lit("_band_membership")), F.col("band_confidence"))
+    out = store(named(held, F.col("id"), text("band-", "band"), F.concat("kind", F.lit("_band_membership")), F.col("band_confidence")), "edges")
     for kind, zone_type, rows in (("ocr", "label", label_zones), ("field_line", "field", field_zones)):
         z = rows.select("page_id", "zone_idx", F.col("confidence").alias("_c"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
         hit = flat.filter(F.col("kind") == kind).join(z, "page_id").filter(g.overlap_ratio(g.box(), g.box("_")) > 0)
-        out = out.unionByName(named(hit, F.col("id"), text(f"{zone_type}-zone-", "zone_idx"), F.lit(f"{kind}_zone_membership"), F.col("_c")))
+        out = out.unionByName(store(named(hit, F.col("id"), text(f"{zone_type}-zone-", "zone_idx"), F.lit(f"{kind}_zone_membership"), F.col("_c")), "edges"))
     e = excluded.select("page_id", F.concat_ws("-", F.lit("excluded"), "source", F.col("idx").cast("string")).alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
-    out = out.unionByName(named(flat.join(e, "page_id").filter(g.overlap_ratio(g.box(), g.box("_")) > 0), F.col("id"), F.col("_id"), F.lit("excluded_region"), F.lit(1.0)))
+    out = out.unionByName(store(named(flat.join(e, "page_id").filter(g.overlap_ratio(g.box(), g.box("_")) > 0), F.col("id"), F.col("_id"), F.lit("excluded_region"), F.lit(1.0)), "edges"))
     for zone_type, rows, cols in (("label", label_zones, label_columns), ("field", field_zones, field_columns)):
         c = cols.select("page_id", "column_idx", F.col("confidence").alias("_c"))
         out = out.unionByName(named(rows.join(c, ["page_id", "column_idx"]), text(f"{zone_type}-zone-", "zone_idx"), text(f"{zone_type}-column-", "column_idx"), F.lit("structural_alignment"), F.col("_c")))

@@ -32,3 +32,8 @@ def test_pairs_are_carried_through_no_join(spark, sf_dir):
     """What a label or a line has alone is joined and stored before the two are paired."""
     assert _joins(spark, sf_dir, "pair_features") == 1
     assert _joins(spark, sf_dir, "candidate_scores") == 1
+
+
+def test_edges_are_stored_kind_by_kind(spark, sf_dir):
+    """Two joins are left, of zones with their columns."""
+    assert _joins(spark, sf_dir, "graph_membership_edges") == 2
