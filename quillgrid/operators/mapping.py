@@ -177,7 +177,7 @@ def pair_features(lay: Layout, label_rows: DataFrame, pool: DataFrame | None = N
     if by_line is not None:
         right = right.join(by_line, ["page_id", "line_idx"], "left")
     left, right = store_joined(left, "left"), store_joined(right, "right")
-    pairs = left.join(right, "page_id") if pool is None else pool.join(left, ["page_id", "item_idx"]).join(right, ["page_id", "line_idx"])
+    pairs = left.join(right, "page_id") if pool is None else store_joined(pool, "pool").join(left, ["page_id", "item_idx"]).join(right, ["page_id", "line_idx"])
     stated = F.coalesce(
         F.when(F.col("a_zone").isNotNull() & F.col("b_zone").isNotNull(), F.when(F.col("_of") == F.col("b_zone"), F.col("_o1")))
         .when(F.col("a_zone").isNotNull(), F.col("_o1"))
