@@ -50,9 +50,10 @@ class Layout:
     #: Stored relations in the order in which they need each other; those of one step don't.
     STEPS = (("items", "lines"), ("regions",), ("metrics",), ("band_members", "label_members", "field_members"), ("bands",), ("label_zones", "field_zones"), ("owned", "label_columns", "field_columns", "excluded"), ("placed_labels", "placed_lines"))
 
-    def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame | Callable[[DataFrame, DataFrame], DataFrame]):
-        """`regions`: the relation, or what makes it from the stored items and lines."""
+    def __init__(self, items: DataFrame, lines: DataFrame, regions: DataFrame | Callable[[DataFrame, DataFrame], DataFrame], boxes: Callable[[], DataFrame] | None = None):
+        """`regions`: the relation, or what makes it from the stored items and lines; `boxes` makes no more of it than the pages' extents need, of any pages."""
         self._source = items, lines, regions
+        self._boxes = boxes
 
     def prepare(self, steps: int = len(STEPS)) -> "Layout":
         """Builds the relations of the first steps, those of one step at once: each is small work with much waiting."""
@@ -78,7 +79,9 @@ class Layout:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return store_joined(s.metrics(self.items, self.lines, self.regions), "metrics")
+        if self._boxes is None or "regions" in self.__dict__:
+            return store_joined(s.metrics(self.items, self.lines, self.regions), "metrics")
+        return store_joined(s.metrics(self.items, self.lines, self._boxes()).filter("ocr_count + field_line_count > 0"), "metrics")
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -86,7 +89,7 @@ class Layout:
 
     @cached_property
     def band_members(self) -> DataFrame:
-        return store_joined(s.banded(self.entities, self.metrics), "bands")
+        return store_joined(s.banded(s.entities(self.items, self.lines), self.metrics), "bands")
 
     @cached_property
     def bands(self) -> DataFrame:
@@ -94,11 +97,11 @@ class Layout:
 
     @cached_property
     def label_members(self) -> DataFrame:
-        return store_joined(s.columned(self.entities, self.metrics, "label"), "columns")
+        return store_joined(s.columned(s.entities(self.items, self.lines), self.metrics, "label"), "columns")
 
     @cached_property
     def field_members(self) -> DataFrame:
-        return store_joined(s.columned(self.entities, self.metrics, "field"), "columns")
+        return store_joined(s.columned(s.entities(self.items, self.lines), self.metrics, "field"), "columns")
 
     @cached_property
     def label_columns(self) -> DataFrame:
@@ -132,6 +135,17 @@ class Layout:
     def placed_lines(self) -> DataFrame:
         return store_joined(self._placed("line"), "placed")
 
+    def owned_alone(self) -> DataFrame:
+        """`owned` from few stages, one relation after the other and without the regions' types.
+
+        A stage costs the driver a block of broadcast, a scan another: many of
+        them, of several plans at once, have its heap grow to the limit.
+        """
+        columns = s.columned(s.entities(self.items, self.lines), self.metrics)
+        zones = store_joined(s.zones(self.band_members, columns, self.bands), "zones")
+        label_zones, field_zones = (zones.filter(F.col("zone_type") == k) for k in ("label", "field"))
+        return store_joined(s.ownership(label_zones, field_zones, self.bands, self.metrics), "owned")
+
     def _placed(self, kind: str) -> DataFrame:
         """Items or lines with zone, band and column, and for lines the excluded flag: one row per thing."""
         source, key = (self.items, "item_idx") if kind == "label" else (self.lines, "line_idx")

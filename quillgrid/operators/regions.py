@@ -22,6 +22,15 @@ def with_counts(regions: DataFrame, items: DataFrame, lines: DataFrame) -> DataF
     return _counted(_counted(regions, boxes, 4.0, "ocr_count"), lines, 0.0, "line_count")
 
 
+#: Contours that are too ragged to be boxes fill less of them.
+RAGGED = 0.18
+
+
+def boxes(regions: DataFrame) -> DataFrame:
+    """page_id, x, y, width, height of the regions that classify() keeps, but on any page, without what lies in them."""
+    return regions.filter(F.col("rectangularity") >= RAGGED).select("page_id", "x", "y", "width", "height")
+
+
 def classify(regions: DataFrame, items: DataFrame, lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """page_id, region_idx, x, y, width, height, type, confidence, reason and features; regions too ragged to be boxes are left out.
 
@@ -46,7 +55,7 @@ def classify(regions: DataFrame, items: DataFrame, lines: DataFrame, sizes: Data
     for name, confidence, reason, rule in reversed(rules):
         kind, sure, why = (F.when(rule, F.lit(v)).otherwise(else_) for v, else_ in ((name, kind), (confidence, sure), (reason, why)))
     features = [g.round_to(v, 4).alias(n) for n, v in (("aspect_ratio", a), ("page_area_ratio", area), ("ink_density", k), ("box_fill", F.col("rectangularity")))]
-    return r.filter(F.col("rectangularity") >= 0.18).select("page_id", "region_idx", "x", "y", "width", "height", kind.alias("type"), sure.alias("confidence"), "ocr_count", "line_count", why.alias("reason"), *features)
+    return r.filter(F.col("rectangularity") >= RAGGED).select("page_id", "region_idx", "x", "y", "width", "height", kind.alias("type"), sure.alias("confidence"), "ocr_count", "line_count", why.alias("reason"), *features)
 
 
 def large_enough(contours: DataFrame, items: DataFrame, sizes: DataFrame) -> DataFrame:

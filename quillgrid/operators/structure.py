@@ -35,20 +35,19 @@ def metrics(items: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFrame
     )
 
 
-def entities(items: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Items, lines and regions as one relation: page_id, kind, idx, id, text, entity_type, confidence, length, box, cx, cy (2 decimals)."""
+def entities(items: DataFrame, lines: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Items, lines and, if given, regions as one relation: page_id, kind, idx, id, text, entity_type, confidence, length, box, cx, cy (2 decimals)."""
 
     def one(kind: str, prefix: str, df: DataFrame, idx: str, text: Column, etype: Column, confidence: Column, length: Column, b: tuple[Column, ...]) -> DataFrame:
         cx, cy = g.center(b)
         return df.select("page_id", F.lit(kind).alias("kind"), F.col(idx).cast("int").alias("idx"), F.concat(F.lit(prefix), F.col(idx).cast("string")).alias("id"), text.cast("string").alias("text"), etype.cast("string").alias("entity_type"), confidence.cast("double").alias("confidence"), length.cast("double").alias("length"), *[g.round_to(v, 2).alias(n) for v, n in zip((*b, cx, cy), ("x1", "y1", "x2", "y2", "cx", "cy"))])
 
     none = F.lit(None)
+    out = one("ocr", "ocr-", items, "item_idx", F.col("text"), none, F.coalesce("confidence", F.lit(0.0)), none, g.box()).unionByName(one("field_line", "field-", lines, "line_idx", none, F.col("field_type"), none, g.round_to(F.col("length"), 2), g.box()))
+    if regions is None:
+        return out
     r = (F.col("x").cast("double"), F.col("y").cast("double"), (F.col("x") + F.col("width")).cast("double"), (F.col("y") + F.col("height")).cast("double"))
-    return (
-        one("ocr", "ocr-", items, "item_idx", F.col("text"), none, F.coalesce("confidence", F.lit(0.0)), none, g.box())
-        .unionByName(one("field_line", "field-", lines, "line_idx", none, F.col("field_type"), none, g.round_to(F.col("length"), 2), g.box()))
-        .unionByName(one("semantic_region", "region-", regions, "region_idx", none, F.col("type"), F.coalesce("confidence", F.lit(0.0)), none, r))
-    )
+    return out.unionByName(one("semantic_region", "region-", regions, "region_idx", none, F.col("type"), F.coalesce("confidence", F.lit(0.0)), none, r))
 
 
 def banded(ents: DataFrame, m: DataFrame) -> DataFrame:
@@ -71,13 +70,13 @@ def bands(members: DataFrame, m: DataFrame) -> DataFrame:
     return b.select("page_id", "band_idx", kind.alias("type"), "center_y", "x1", "y1", "x2", "y2", "label_count", "field_count", "item_count", F.lit(0.8).alias("confidence"), g.round_to(F.col("field_count") / F.col("item_count"), 4).alias("repetition_score"))
 
 
-def columned(ents: DataFrame, m: DataFrame, column_type: str) -> DataFrame:
-    """Label items (left of 1.12 times the page's middle) or lines with their column: adds column_idx and center_x."""
-    kind = "ocr" if column_type == "label" else "field_line"
-    rows = ents.filter(F.col("kind") == kind).join(m.select("page_id", "column_tolerance", "page_mid_x"), "page_id")
-    if column_type == "label":
-        rows = rows.filter(F.col("cx") <= F.col("page_mid_x") * 1.12)
-    return running_mean_groups(rows.drop("page_mid_x"), ["page_id"], "cx", "column_tolerance", "column_idx").withColumnRenamed("column_idx_mean", "center_x").drop("column_tolerance")
+def columned(ents: DataFrame, m: DataFrame, column_type: str | None = None) -> DataFrame:
+    """Label items (left of 1.12 times the page's middle), lines, or each of both, with their column: adds column_idx and center_x."""
+    kinds = {"label": ["ocr"], "field": ["field_line"], None: ["ocr", "field_line"]}[column_type]
+    rows = ents.filter(F.col("kind").isin(kinds)).join(m.select("page_id", "column_tolerance", "page_mid_x"), "page_id")
+    if "ocr" in kinds:
+        rows = rows.filter((F.col("kind") != "ocr") | (F.col("cx") <= F.col("page_mid_x") * 1.12))
+    return running_mean_groups(rows.drop("page_mid_x"), ["page_id"] if column_type else ["page_id", "kind"], "cx", "column_tolerance", "column_idx").withColumnRenamed("column_idx_mean", "center_x").drop("column_tolerance")
 
 
 def columns(members: DataFrame, m: DataFrame, column_type: str) -> DataFrame:
@@ -93,19 +92,24 @@ def columns(members: DataFrame, m: DataFrame, column_type: str) -> DataFrame:
     )
 
 
-def zones(band_members: DataFrame, column_members: DataFrame, band_rows: DataFrame, zone_type: str) -> DataFrame:
-    """Band by column: page_id, zone_type, zone_idx, band_idx, column_idx, box (the band's), item_count, support, confidence, line_count, text_count, band_type, multiline."""
-    kind = "ocr" if zone_type == "label" else "field_line"
-    b = band_members.filter(F.col("kind") == kind).select("page_id", "idx", "band_idx")
-    z = b.join(column_members.select("page_id", "idx", "column_idx"), ["page_id", "idx"]).groupBy("page_id", "band_idx", "column_idx").agg(F.count("*").alias("item_count"))
+def zones(band_members: DataFrame, column_members: DataFrame, band_rows: DataFrame, zone_type: str | None = None) -> DataFrame:
+    """Band by column, of one type or, from columns of both kinds, of each: page_id, zone_type, zone_idx, band_idx, column_idx, box (the band's), item_count, support, confidence, line_count, text_count, band_type, multiline."""
+    if zone_type:
+        b = band_members.filter(F.col("kind") == ("ocr" if zone_type == "label" else "field_line")).select("page_id", "idx", "band_idx")
+        z = b.join(column_members.select("page_id", "idx", "column_idx"), ["page_id", "idx"]).groupBy("page_id", "band_idx", "column_idx").agg(F.count("*").alias("item_count"))
+        of_type, within, field = F.lit(zone_type), ["page_id"], F.lit(zone_type == "field")
+    else:
+        b = band_members.select("page_id", "kind", "idx", "band_idx")
+        z = b.join(column_members.select("page_id", "kind", "idx", "column_idx"), ["page_id", "kind", "idx"]).groupBy("page_id", "kind", "band_idx", "column_idx").agg(F.count("*").alias("item_count"))
+        of_type, within, field = F.when(F.col("kind") == "ocr", "label").otherwise("field"), ["page_id", "kind"], F.col("kind") == "field_line"
     r = z.join(band_rows.select("page_id", "band_idx", "x1", "y1", "x2", "y2", F.col("type").alias("band_type"), F.col("confidence").alias("_bc"), F.col("item_count").alias("_n")), ["page_id", "band_idx"])
     support = g.clamp01(F.col("item_count") / F.col("_n"))
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("band_idx", "column_idx")) - 1
+    number = F.row_number().over(Window.partitionBy(*within).orderBy("band_idx", "column_idx")) - 1
     none = F.lit(0).cast("long")
     return r.select(
-        "page_id", F.lit(zone_type).alias("zone_type"), number.alias("zone_idx"), "band_idx", "column_idx", "x1", "y1", "x2", "y2", "item_count", g.round_to(support, 4).alias("support"), g.round_to(g.clamp01(0.45 + 0.35 * support + 0.10 * F.col("_bc")), 4).alias("confidence"),
-        (F.col("item_count") if zone_type == "field" else none).alias("line_count"), (F.col("item_count") if zone_type == "label" else none).alias("text_count"), "band_type",
-        ((F.col("band_type") == "multiline_band") | (F.col("item_count") > 2) if zone_type == "field" else F.lit(False)).alias("multiline"),
+        "page_id", of_type.alias("zone_type"), number.alias("zone_idx"), "band_idx", "column_idx", "x1", "y1", "x2", "y2", "item_count", g.round_to(support, 4).alias("support"), g.round_to(g.clamp01(0.45 + 0.35 * support + 0.10 * F.col("_bc")), 4).alias("confidence"),
+        F.when(field, F.col("item_count")).otherwise(none).alias("line_count"), F.when(field, none).otherwise(F.col("item_count")).alias("text_count"), "band_type",
+        (field & ((F.col("band_type") == "multiline_band") | (F.col("item_count") > 2))).alias("multiline"),
     )
 
 

@@ -64,7 +64,7 @@ class _Pages:
 
     @property
     def layout(self) -> mp.Layout:
-        return mp.Layout(self.items, self.lines, lambda items, lines: rg.classify(self.contours, items, lines, _sizes(items, lines)))
+        return mp.Layout(self.items, self.lines, lambda items, lines: rg.classify(self.contours, items, lines, _sizes(items, lines)), lambda: rg.boxes(self.contours))
 
 
 def _label_rows(p: _Pages, lay: mp.Layout) -> DataFrame:
@@ -259,7 +259,7 @@ def field_row_clusters(spark, sf_dir):
 
 @query
 def ownership_best_zone(spark, sf_dir):
-    return _Pages(spark, sf_dir).layout.prepare(6).owned
+    return _Pages(spark, sf_dir).layout.owned_alone()
 
 
 @query

@@ -1,6 +1,8 @@
 """What depends on the size of tables or on how Spark cuts them up."""
 
 from quillgrid import session
+from quillgrid.operators import mapping as mp
+from quillgrid.operators import regions as rg
 from quillgrid.plans import pages, registry
 
 
@@ -37,3 +39,27 @@ def test_pairs_are_carried_through_no_join(spark, sf_dir):
 def test_edges_are_stored_kind_by_kind(spark, sf_dir):
     """Two joins are left, of zones with their columns."""
     assert _joins(spark, sf_dir, "graph_membership_edges") == 2
+
+
+def _stored(spark, build) -> int:
+    """Tables that are stored meanwhile."""
+    session.shared_dir(spark)
+    before = len(session._written)
+    build()
+    return len(session._written) - before
+
+
+def test_ownership_stores_few_relations(spark, sf_dir):
+    """Each is some stages, whose broadcasts fill the driver: items, lines, metrics, band members, bands, zones and the result."""
+    assert _stored(spark, lambda: registry.queries()["ownership_best_zone"](spark, sf_dir)) == 7
+
+
+def test_metrics_from_boxes_alone(spark, sf_dir):
+    """Regions count on pages with items or lines only, whether they are classified or not; so does ownership either way."""
+    p = pages._Pages(spark, sf_dir)
+    some = lambda df: df.filter("page_id % 3 = 0")
+    whole = mp.Layout(some(p.items), some(p.lines), p.layout._source[2])
+    alone = mp.Layout(some(p.items), some(p.lines), p.layout._source[2], lambda: rg.boxes(p.contours))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(alone.metrics) == rows(whole.metrics) and "regions" not in alone.__dict__
+    assert rows(alone.owned_alone()) == rows(whole.owned)
